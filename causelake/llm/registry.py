@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causelake.llm import decontaminate, secrets, token_shards
+from causelake.llm import decontaminate, near_dup, secrets, token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_wavelet": token_shards.op2_token_wavelet,
+    "op3_parity_sketch_join": near_dup.op3_parity_sketch_join,
     "op9_secret_ledger": secrets.op9_secret_ledger,
     "op10_simhash_decontamination": decontaminate.op10_simhash_decontamination,
 }
