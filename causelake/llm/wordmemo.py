@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import os
+import string
 from collections.abc import Callable, Sequence
 from functools import lru_cache
+from itertools import chain, groupby
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from causelake.llm.common import flat_take
 
@@ -35,25 +39,24 @@ class WordMemo:
             self._starts = np.concatenate((self._starts, np.zeros_like(self._starts)))
             self._counts = np.concatenate((self._counts, np.zeros_like(self._counts)))
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words on end, and how many ids each word has."""
-        new = list(set(words) - self._index.keys())
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct words: where each one's ids start in the store, how many they are, and the store."""
+        new = [w for w in words if w not in self._index]
         if len(self._index) + len(new) > self._limit and self._index:
             self._reset()
-            new = list(set(words))
+            new = words
         if new:
             encoded = self._encode_new(new)
             counts = np.fromiter(map(len, encoded), np.int64, len(new))
             at, total = len(self._index), int(counts.sum())
             self._room(at + len(new), total)
-            self._flat[self._used : self._used + total] = np.fromiter((i for ids in encoded for i in ids), np.int32, total)
+            self._flat[self._used : self._used + total] = np.fromiter(chain.from_iterable(encoded), np.int32, total)
             self._counts[at : at + len(new)] = counts
             self._starts[at : at + len(new)] = self._used + np.cumsum(counts) - counts
             self._used += total
             self._index.update(zip(new, range(at, at + len(new))))
         which = np.fromiter(map(self._index.__getitem__, words), np.int64, len(words))
-        counts = self._counts[which]
-        return self._flat[flat_take(self._starts[which], counts)], counts
+        return self._starts[which], self._counts[which], self._flat
 
 
 @lru_cache(maxsize=4)
@@ -68,20 +71,68 @@ def library_tokenizer(spec: str):
     return tokenizer
 
 
+class LetterWords:
+    """Encodes chunks for a tokenizer whose pre-tokens are runs of letters or of symbols.
+
+    A chunk of letters with ASCII symbols behind is its letters' ids and its symbols' ids on end,
+    so each distinct letter word meets the library once, many of them in one call; ASCII letters
+    are lower-cased first, as the tokenizer does.  Any other chunk is encoded as it stands.
+    """
+
+    AT_ONCE = 500
+
+    def __init__(self, tokenizer, limit: int = MEMO_WORDS):
+        self._tokenizer, self._limit = tokenizer, limit
+        self._known: dict[str, tuple[int, ...]] = {}
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for i in range(0, len(texts), 5000) for e in self._tokenizer.encode_batch(texts[i : i + 5000], add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        for i in range(0, len(words), self.AT_ONCE):
+            group = words[i : i + self.AT_ONCE]
+            together = self._tokenizer.encode(" ".join(group), add_special_tokens=False)
+            parts = [[t for _, t in g] for _, g in groupby(zip(together.word_ids, together.ids), lambda x: x[0])]
+            if len(parts) != len(group):  # some word is more than one run of letters to the library
+                parts = self._library(group)
+            self._known.update(zip(group, map(tuple, parts)))
+
+    def __call__(self, chunks: list[str]) -> list[Sequence[int]]:
+        letters = [c.rstrip(string.punctuation) for c in chunks]
+        whole = [not w.isalpha() for w in letters]
+        letters = [w.lower() if w.isascii() else w for w in letters]
+        symbols = [c[len(w) :] for c, w in zip(chunks, letters)]
+        needed = {w for w, as_is in zip(letters, whole) if not as_is}
+        if len(self._known) + len(needed) > self._limit:
+            self._known.clear()
+        self._learn(sorted(needed - self._known.keys()))
+        rest = {s for s, as_is in zip(symbols, whole) if not as_is} - self._known.keys()
+        rest |= {c for c, as_is in zip(chunks, whole) if as_is} - self._known.keys()
+        rest = sorted(rest)
+        self._known.update(zip(rest, map(tuple, self._library(rest))))
+        known = self._known
+        return [known[c] if as_is else known[w] + known[s] for c, w, s, as_is in zip(chunks, letters, symbols, whole)]
+
+
 @lru_cache(maxsize=4)
 def space_free_memo(spec: str) -> WordMemo:
     """Memo over the library, for a tokenizer that drops white space before it merges."""
-    tokenizer = library_tokenizer(spec)
-    return WordMemo(lambda words: [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)])
+    return WordMemo(LetterWords(library_tokenizer(spec)))
 
 
-def encode_dropping_space(memo: WordMemo, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts on end, and how many each text has.
+def encode_dropping_space(memo: WordMemo, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts on end, and how many each text has; the tokenizer lower-cases.
 
     Blanks and line ends only part words for such a tokenizer, so a text's ids are its
-    blank-free chunks' ids on end.
+    blank-free chunks' ids on end.  Words are told apart on Arrow's side.
     """
-    chunks = [t.replace("\n", " ").split(" ") for t in texts]
-    ids, counts = memo.encode([w for c in chunks for w in c])
-    ends = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum([len(c) for c in chunks])))]
-    return ids, np.diff(ends)
+    if not pc.any(pc.match_substring(texts, "<|")).as_py():  # else it could make a special token
+        texts = pc.ascii_lower(texts)
+    chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    per_text = pc.list_value_length(chunks).to_numpy(zero_copy_only=False)
+    words = chunks.flatten().dictionary_encode()
+    starts, counts, flat = memo.encode(words.dictionary.to_pylist())
+    at = words.indices.to_numpy()
+    counts = counts[at]
+    ends = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum(per_text)))]
+    return flat[flat_take(starts[at], counts)], np.diff(ends)
