@@ -62,25 +62,22 @@ def differences(a: int, b: int) -> int:
     return (a + b) // 9
 
 
+def sketch_bits(band: int) -> int:
+    """Bits of a dense sketch: some four for each shingle of the band's largest set."""
+    return max(64, 4 * BAND ** (band + 1))
+
+
 def dense_sketch(s: np.ndarray, band: int) -> np.ndarray:
     """A band's dense parity sketch: one bit flips for each shingle."""
-    bits = max(64, 2 * BAND ** (band + 1))
+    bits = sketch_bits(band)
     parity = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def fold(sketch: np.ndarray) -> np.ndarray:
-    """The same sets' sketches for the band below (rows are sketches): quarters XOR."""
-    words = max(1, 2 * BAND ** band_of_words(sketch.shape[-1]) // 64)
-    return np.bitwise_xor.reduce(sketch.reshape(*sketch.shape[:-1], -1, words), axis=-2)
-
-
-def band_of_words(words: int) -> int:
-    """The band that has sketches of so many 64-bit words (the least one, where several share a length)."""
-    k = 0
-    while max(64, 2 * BAND ** (k + 1)) < 64 * words:
-        k += 1
-    return k
+    """The same set's sketch for the band below: its parts XOR."""
+    words = next(sketch_bits(k) // 64 for k in range(30, -1, -1) if sketch_bits(k) < 64 * len(sketch))
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
 
 
 def band_keys(s: np.ndarray, band: int, most: int) -> np.ndarray:
@@ -180,14 +177,38 @@ def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(node[kept]), pa.array(leader[kept])], ["key", "set", "leader"])
 
 
-def close_in_sketch(n_a: np.ndarray, a: np.ndarray, n_b: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Matrix of the pairs whose sizes and sketches allow a link (rows of ``a`` and ``b`` are sketches)."""
+def close_in_sketch(n_a: np.ndarray, a: np.ndarray, n_b: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix of the pairs whose sizes and sketches allow a link, Hamming distances); rows of ``a`` and ``b`` are sketches."""
     most = (n_a[:, None] + n_b[None, :]) // 9
     fits = (4 * n_a[:, None] <= 5 * n_b[None, :]) & (4 * n_b[None, :] <= 5 * n_a[:, None])
-    apart = np.zeros(fits.shape, np.int64)
+    apart = np.zeros(fits.shape, np.int32)
     for w in range(a.shape[1]):
         apart += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
-    return fits & (apart <= most)
+    return fits & (apart <= most), apart
+
+
+def spanning(i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Which of the component pairs ``i, j`` span what all of them connect, nearest first."""
+    low, high = np.minimum(i, j), np.maximum(i, j)
+    order = np.lexsort((apart, high, low))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+    best = order[new]  # the nearest pair of each two components
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    kept = []
+    for e in best[np.argsort(apart[best], kind="stable")].tolist():
+        x, y = find(int(i[e])), find(int(j[e]))
+        if x != y:
+            root[y] = x
+            kept.append(e)
+    return np.array(kept, np.int64)
 
 
 def _level(sketches: list[bytes]) -> np.ndarray:
@@ -201,60 +222,79 @@ def _level(sketches: list[bytes]) -> np.ndarray:
     return np.stack(arrays)
 
 
-PIECES = "a long, b long, key long, piece int, sets binary, sizes binary, components binary, sketches binary"
+PIECES = "key long, a long, b long, piece int, sets binary, sizes binary, components binary, sketches binary"
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each key's pieces: close pairs across components inside the piece; pieces of keys with several."""
-    names = ["a", "b", "key", "piece", "sets", "sizes", "components", "sketches"]
+def _cross_pairs(every: bool):
+    """Of each key's pieces: close pairs across components inside the piece, and the pieces of keys with several.
+
+    With ``every`` all such pairs; else as many as span the components that they connect.
+    """
+    names = ["key", "a", "b", "piece", "sets", "sizes", "components", "sketches"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()] + [pa.binary()] * 4
-    held: dict[str, list] = {}
-    key, piece = None, 0
-
-    def close(ends: bool) -> Iterator[pa.RecordBatch]:
-        node, n, comp = (np.array(held[c], np.int64) for c in ("set", "n", "component"))
-        sketch = _level(held["sketch"])
-        i, j = np.nonzero(np.triu(close_in_sketch(n, sketch, n, sketch) & (comp[:, None] != comp[None, :]), 1))
-        rows = len(i)
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])] + [pa.nulls(rows, k) for k in kinds[2:]], names)
-        if piece or not ends:  # the key has several pieces, which are yet to meet
-            body = [None, None, key, piece, node.tobytes(), n.tobytes(), comp.tobytes(), sketch.tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(body, kinds)], names)
-
-    for k, begins, columns in _groups(batches, ["set", "n", "component", "sketch"]):
-        if begins and held:
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        key, piece = None, 0
+
+        def close(ends: bool) -> Iterator[pa.RecordBatch]:
+            node, n, comp = (np.array(held[c], np.int64) for c in ("set", "n", "component"))
+            sketch = _level(held["sketch"])
+            near, apart = close_in_sketch(n, sketch, n, sketch)
+            i, j = np.nonzero(np.triu(near & (comp[:, None] != comp[None, :]), 1))
+            if len(i) and not every:
+                kept = spanning(comp[i], comp[j], apart[i, j])
+                i, j = i[kept], j[kept]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), key, np.int64)), pa.array(node[i]), pa.array(node[j])] + [pa.nulls(len(i), k) for k in kinds[3:]], names)
+            if piece or not ends:  # the key has several pieces, which are yet to meet
+                body = [key, None, None, piece, node.tobytes(), n.tobytes(), comp.tobytes(), sketch.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(body, kinds)], names)
+
+        for k, begins, columns in _groups(batches, ["set", "n", "component", "sketch"]):
+            if begins and held:
+                yield from close(True)
+                held, piece = {}, 0
+            key = k
+            rows = {c: v.to_pylist() for c, v in columns.items()}
+            for at in range(len(rows["set"])):
+                if held and len(held["set"]) == MEMBERS:
+                    yield from close(False)
+                    held, piece = {}, piece + 1
+                for c, v in rows.items():
+                    held.setdefault(c, []).append(v[at])
+        if held:
             yield from close(True)
-            held, piece = {}, 0
-        key = k
-        rows = {c: v.to_pylist() for c, v in columns.items()}
-        for at in range(len(rows["set"])):
-            if held and len(held["set"]) == MEMBERS:
-                yield from close(False)
-                held, piece = {}, piece + 1
-            for c, v in rows.items():
-                held.setdefault(c, []).append(v[at])
-    if held:
-        yield from close(True)
-
-
-def _piece_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    return stream
+
+
+def _piece_pairs(every: bool):
     """Close pairs across components between two pieces of one key."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            (a, n_a, c_a), (b, n_b, c_b) = ([np.frombuffer(row[f"{c}{k}"], np.int64) for c in ("sets", "sizes", "components")] for k in "12")
-            s_a, s_b = (np.frombuffer(row[f"sketches{k}"], np.uint64).reshape(len(x), -1) for k, x in (("1", a), ("2", b)))
-            while s_a.shape[1] != s_b.shape[1]:
-                s_a, s_b = (fold(s_a), s_b) if s_a.shape[1] > s_b.shape[1] else (s_a, fold(s_b))
-            i, j = np.nonzero(close_in_sketch(n_a, s_a, n_b, s_b) & (c_a[:, None] != c_b[None, :]))
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j])], ["a", "b"])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                (a, n_a, c_a), (b, n_b, c_b) = ([np.frombuffer(row[f"{c}{k}"], np.int64) for c in ("sets", "sizes", "components")] for k in "12")
+                s_a, s_b = (np.frombuffer(row[f"sketches{k}"], np.uint64).reshape(len(x), -1) for k, x in (("1", a), ("2", b)))
+                while s_a.shape[1] != s_b.shape[1]:
+                    wide = s_a.shape[1] > s_b.shape[1]
+                    s_a, s_b = (np.stack([*map(fold, s_a)]), s_b) if wide else (s_a, np.stack([*map(fold, s_b)]))
+                near, apart = close_in_sketch(n_a, s_a, n_b, s_b)
+                i, j = np.nonzero(near & (c_a[:, None] != c_b[None, :]))
+                if len(i) and not every:
+                    kept = spanning(c_a[i], c_b[j], apart[i, j])
+                    i, j = i[kept], j[kept]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), row["key"], np.int64)), pa.array(a[i]), pa.array(b[j])], ["key", "a", "b"])
+
+    return stream
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose whole texts link."""
     for batch in batches:
-        for rows in text_slices(batch, "text_a", 2_000_000):
+        for rows in text_slices(batch, "text_a", 1_000_000):
             a, b = (list(shingle_sets(rows.column(c))) for c in ("text_a", "text_b"))
             common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)]
             ok = pa.array([100 * i >= 80 * (len(x) + len(y) - i) for x, y, i in zip(a, b, common)], pa.bool_())
@@ -281,7 +321,7 @@ def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = []
         for n_a, n_b, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b"))):
             pair = _level([x, y])
-            kept.append(bool(close_in_sketch(np.array([n_a]), pair[:1], np.array([n_b]), pair[1:])[0, 0]))
+            kept.append(bool(close_in_sketch(np.array([n_a]), pair[:1], np.array([n_b]), pair[1:])[0][0, 0]))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
@@ -297,19 +337,40 @@ def set_components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = materialise(_verified(materialise(close, "candidates"), sets, documents), "links")
     first = materialise(connected_components(links), "components")
 
-    labelled = members.join(first.withColumnRenamed("node", "set"), "set", "left").select("key", "set", F.coalesce("component", "set").alias("component"))
+    labelled = _labelled(members, first)
+    tried = _crossing(labelled, sketches, every=False)
+    links = materialise(_verified(tried.select("a", "b").distinct(), sets, documents), "more-links")
+    second = materialise(connected_components(_as_edges(first).unionByName(links)), "components")
+
+    # where a pair of a key's spanning ones fails, all of that key's remaining pairs are verified
+    failed = materialise(tried.join(links, ["a", "b"], "left_anti").select("key", "a", "b"), "failed")
+    again = _labelled(members.join(failed.select("key").distinct(), "key"), second)
+    rest = _crossing(again, sketches, every=True).select("a", "b").distinct().join(failed.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    last = materialise(_verified(materialise(rest, "last-candidates"), sets, documents), "last-links")
+    return sets.drop("sketch", "keys"), connected_components(_as_edges(second).unionByName(last))
+
+
+def _as_edges(components: DataFrame) -> DataFrame:
+    return components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _labelled(members: DataFrame, components: DataFrame) -> DataFrame:
+    """``key, set, component`` of the members of keys that hold several components."""
+    labelled = members.join(components.withColumnRenamed("node", "set"), "set", "left").select("key", "set", F.coalesce("component", "set").alias("component"))
     labelled = materialise(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    rest = labelled.join(mixed, "key").join(sketches, "set").select("key", "set", "n", "component", "sketch")
-    pieces = materialise(rest.repartition("key").sortWithinPartitions("key", "set").mapInArrow(_cross_pairs, PIECES), "pieces")
+    return labelled.join(mixed, "key")
+
+
+def _crossing(labelled: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
+    """``key, a, b``: close pairs of one key's members across components, blockwise."""
+    rows = labelled.join(sketches, "set").select("key", "set", "n", "component", "sketch")
+    pieces = materialise(rows.repartition("key").sortWithinPartitions("key", "set").mapInArrow(_cross_pairs(every), PIECES), "pieces")
     blocks = pieces.where(F.col("piece").isNotNull())
     half = lambda k: blocks.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("piece", "sets", "sizes", "components", "sketches")])
-    between = half(1).join(half(2), "key").where("piece1 < piece2").mapInArrow(_piece_pairs, "a long, b long")
-    more = pieces.where(F.col("piece").isNull()).select("a", "b").unionByName(between)
-    more = materialise(more.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "more-candidates")
-    further = materialise(_verified(more, sets, documents), "more-links")
-    joined = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(further)
-    return sets.drop("sketch", "keys"), connected_components(joined)
+    between = half(1).join(half(2), "key").where("piece1 < piece2").mapInArrow(_piece_pairs(every), "key long, a long, b long")
+    pairs = pieces.where(F.col("piece").isNull()).select("key", "a", "b").unionByName(between)
+    return materialise(pairs.select("key", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "crossing")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
