@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from causelake.llm.common import doc_texts, table, text_slices
 from causelake.llm.labelled import fold, labelled_sample
@@ -146,7 +147,7 @@ def toxicity_scores(documents: DataFrame, model: NoisyOrModel) -> DataFrame:
                 values = pa.array([own.document(t or "") for t in rows.column("text").to_pylist()], pa.float64())
                 yield pa.RecordBatch.from_arrays([*rows.columns, values], [*rows.schema.names, name])
 
-    schema = documents.schema.add(name, "double")
+    schema = StructType([*documents.schema.fields, StructField(name, DoubleType())])
     return documents.mapInArrow(score, schema)
 
 
