@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causelake.llm import bpe, decontaminate, near_dup, quality, secrets, token_shards, toxicity
+from causelake.llm import bpe, decontaminate, mpeg, near_dup, quality, secrets, token_shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_wavelet": token_shards.op2_token_wavelet,
     "op3_parity_sketch_join": near_dup.op3_parity_sketch_join,
     "op4_zstd_quality": quality.op4_zstd_quality,
+    "op5_mpeg_audio": mpeg.op5_mpeg_audio,
     "op7_noisy_or_toxicity": toxicity.op7_noisy_or_toxicity,
     "op8_numpy_bpe": bpe.op8_numpy_bpe,
     "op9_secret_ledger": secrets.op9_secret_ledger,
