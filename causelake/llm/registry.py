@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causelake.llm import bpe, decontaminate, mpeg, near_dup, quality, secrets, token_shards, toxicity
+from causelake.llm import bpe, decontaminate, html, mpeg, near_dup, quality, secrets, token_shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_layout": html.op1_html_layout,
     "op2_token_wavelet": token_shards.op2_token_wavelet,
     "op3_parity_sketch_join": near_dup.op3_parity_sketch_join,
     "op4_zstd_quality": quality.op4_zstd_quality,
