@@ -100,9 +100,9 @@ def weighted_similarity(a: Column, b: Column) -> Column:
 def _hits(documents: DataFrame, items: DataFrame, size: int, longest: int, bounded: bool, similarity: float, radius: int) -> DataFrame:
     """The verified windows for the items that have shingles of ``size`` words."""
     held = F.broadcast if bounded else lambda df: df
-    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("version"), words(F.col("text")).alias("w"))
+    docs = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"))
     grams = held(items.select(F.explode("item").alias("h"), "n").distinct())
-    at_words = docs.select("doc_id", "version", F.size("w").alias("n_doc"), F.posexplode(shingles(F.col("w"), size)).alias("at", "h"))
+    at_words = docs.withColumn("w", words(F.col("text"))).select("doc_id", "version", F.size("w").alias("n_doc"), F.posexplode(shingles(F.col("w"), size)).alias("at", "h"))
     # the windows over a shared shingle, as long as the item and inside the document
     spans = F.transform("ats", lambda at: F.sequence(F.greatest(F.lit(0), at - F.col("n") + size), F.greatest(F.lit(0), F.least(at, F.col("n_doc") - F.col("n")))))
     seeds = (
@@ -112,9 +112,9 @@ def _hits(documents: DataFrame, items: DataFrame, size: int, longest: int, bound
         .groupBy("seed_doc", "seed_version").agg(F.collect_list("seed").alias("seeds"))
     )
     same = F.col("doc_id").eqNullSafe(F.col("seed_doc")) & (F.col("version") == F.col("seed_version"))
-    runs = docs.join(seeds, same).select("doc_id", shingles(F.col("w"), size).alias("s"), F.explode("seeds").alias("seed"))
-    windows = runs.select("doc_id", "s", F.col("seed.n").alias("n"), F.explode("seed.starts").alias("start")).select(
-        "doc_id", "n", "start", F.slice("s", F.col("start") + 1, F.col("n") - (size - 1)).alias("window")
+    runs = docs.join(seeds, same).withColumn("w", words(F.col("text"))).select("doc_id", "version", shingles(F.col("w"), size).alias("s"), F.explode("seeds").alias("seed"))
+    windows = runs.select("doc_id", "version", "s", F.col("seed.n").alias("n"), F.explode("seed.starts").alias("start")).select(
+        "doc_id", "version", "n", "start", F.slice("s", F.col("start") + 1, F.col("n") - (size - 1)).alias("window")
     )
     printed = windows.withColumn("print", simhash(F.col("window"), longest)).withColumn("keys", _block_keys(F.col("print"), radius))
     prints = items.withColumn("item_print", simhash(F.col("item"), longest)).withColumn("item_keys", _block_keys(F.col("item_print"), radius))
@@ -122,20 +122,20 @@ def _hits(documents: DataFrame, items: DataFrame, size: int, longest: int, bound
     near = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     agrees = F.array_position(F.zip_with("keys", "item_keys", lambda x, y: x == y), F.lit(True)) - 1
     candidates = (
-        printed.select("doc_id", "n", "start", "window", "print", "keys", F.posexplode("keys").alias("block", "key"))
+        printed.select("doc_id", "version", "n", "start", "window", "print", "keys", F.posexplode("keys").alias("block", "key"))
         .join(held(index), ["n", "block", "key"])
         .where((near <= radius) & (agrees == F.col("block")))  # each pair once: by its first common block
     )
-    verified = candidates.select("doc_id", "item_id", "start", "n", near.alias("hamming"), weighted_similarity(F.col("window"), F.col("item")).alias("similarity"))
+    verified = candidates.select("doc_id", "version", "item_id", "start", "n", near.alias("hamming"), weighted_similarity(F.col("window"), F.col("item")).alias("similarity"))
     return verified.where(F.col("similarity") >= similarity)
 
 
 def contaminated(
     documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, size: int = SHINGLE
 ) -> DataFrame:
-    """``doc_id, item_id, start_word, n_words, hamming, similarity``: each document's best window on each item.
+    """``doc_id, version, item_id, start_word, n_words, hamming, similarity``: each document's best window on each item.
 
-    Of equally similar windows the first one stands.
+    ``version`` is ``xxhash64`` of the text (a null one as empty).  Of equally similar windows the first one stands.
     """
     items = (
         benchmark.select("item_id", words(F.col("text")).alias("w"))
@@ -151,14 +151,21 @@ def contaminated(
     ]
     best = F.max_by(F.struct("start", "n", "hamming", "similarity"), F.struct("similarity", -F.col("start"))).alias("b")
     kinds = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}"
-    none = documents.sparkSession.createDataFrame([], f"{kinds}, start int, n int, hamming int, similarity double")
+    none = documents.sparkSession.createDataFrame([], f"{kinds}, version long, start int, n int, hamming int, similarity double")
     found = none
     for part in parts:
         found = found.unionByName(part)
-    return found.groupBy("doc_id", "item_id").agg(best).select(
-        "doc_id", "item_id", F.col("b.start").alias("start_word"), F.col("b.n").alias("n_words"), "b.hamming", "b.similarity"
+    return found.groupBy("doc_id", "version", "item_id").agg(best).select(
+        "doc_id", "version", "item_id", F.col("b.start").alias("start_word"), F.col("b.n").alias("n_words"), "b.hamming", "b.similarity"
     )
 
 
+def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``documents`` in which no benchmark item was found, with all their columns."""
+    found = contaminated(documents, benchmark).select(F.col("doc_id").alias("hit_id"), F.col("version").alias("hit_version")).distinct()
+    same = documents["doc_id"].eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == F.col("hit_version"))
+    return documents.join(found, same, "left_anti")
+
+
 def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("version")
