@@ -208,45 +208,32 @@ def byte_bpe(spec: str) -> ByteBPE:
     return ByteBPE(spec)
 
 
-def encode_documents(documents: DataFrame, tokenizer_json: str) -> DataFrame:
-    """``doc_id, ids array<int>, decoded string``: tokens of whole texts and the text they decode to."""
+def encode_documents(documents: DataFrame, tokenizer_json: str, ids: bool = True) -> DataFrame:
+    """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256`` of every whole text (``ids``: whether they are wanted).
+
+    The hashes are of the ids as little-endian unsigned 32-bit integers and of the UTF-8 of the
+    text that they decode to, made beside the ids so that these need not travel for them.
+    """
     spec = documents.sparkSession.sparkContext.broadcast(tokenizer_json)
+    names = ["doc_id", "n_tokens", *["ids"] * ids, "ids_sha256", "decoded_sha256"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(spec.value)
         for batch in batches:
             for rows in text_slices(batch):
-                ids, counts = bpe.encode_batch(rows.column("text").to_pylist())
-                ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
-                decoded = [bpe.decode(ids[a:b]) for a, b in zip(ends, ends[1:])]
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
-
-    return doc_texts(documents).mapInArrow(encode, "doc_id long, ids array<int>, decoded string")
-
-
-def token_digests(documents: DataFrame, tokenizer_json: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of the same tokens, made beside them so that ids need not travel."""
-    spec = documents.sparkSession.sparkContext.broadcast(tokenizer_json)
+                flat, counts = bpe.encode_batch(rows.column("text").to_pylist())
+                ends = np.concatenate(([0], np.cumsum(counts)))
+                raw, decoded = memoryview(flat.astype("<u4").tobytes()), memoryview(bpe.decode_bytes(flat))
+                byte_ends = np.concatenate(([0], np.cumsum(bpe._piece_counts[flat])))[ends].tolist()
+                id_hash = [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(ends.tolist(), ends[1:].tolist())]
+                said = [hashlib.sha256(str(decoded[a:b], "utf-8", "replace").encode()).hexdigest() for a, b in zip(byte_ends, byte_ends[1:])]
+                columns = [rows.column("doc_id"), pa.array(counts, pa.int64())]
+                if ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(id_hash, pa.string()), pa.array(said, pa.string())], names)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_bpe(spec.value)
-        for batch in batches:
-            for rows in text_slices(batch):
-                ids, counts = bpe.encode_batch(rows.column("text").to_pylist())
-                raw = memoryview(ids.astype("<u4").tobytes())
-                pieces = memoryview(bpe.decode_bytes(ids))
-                token_ends = np.concatenate(([0], np.cumsum(counts)))
-                byte_ends = np.concatenate(([0], np.cumsum(bpe._piece_counts[ids])))[token_ends].tolist()
-                token_ends = (4 * token_ends).tolist()
-                id_hash = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(token_ends, token_ends[1:])]
-                said = [hashlib.sha256(str(pieces[a:b], "utf-8", "replace").encode()).hexdigest() for a, b in zip(byte_ends, byte_ends[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(counts, pa.int64()), pa.array(id_hash, pa.string()), pa.array(said, pa.string())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return doc_texts(documents).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    wanted = "ids array<int>, " if ids else ""
+    return doc_texts(documents).mapInArrow(encode, f"doc_id long, n_tokens long, {wanted}ids_sha256 string, decoded_sha256 string")
 
 
 def public_spec(name: str) -> str:
@@ -258,4 +245,4 @@ def public_spec(name: str) -> str:
 
 
 def op8_numpy_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_digests(table(spark, sf_dir, "documents"), public_spec("byte_bpe_50k.json"))
+    return encode_documents(table(spark, sf_dir, "documents"), public_spec("byte_bpe_50k.json"), ids=False)

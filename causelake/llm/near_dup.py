@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causelake.llm.common import doc_texts, materialise, table, text_slices
@@ -373,18 +373,41 @@ def _crossing(labelled: DataFrame, sketches: DataFrame, every: bool) -> DataFram
     return materialise(pairs.select("key", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "crossing")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """Per document: ``doc_id, n_shingles, component_id, version``."""
+def labelled_documents(documents: DataFrame) -> DataFrame:
+    """Per document: ``doc_id, version, n, component`` (null without shingles; else a set's hash)."""
     sets, components = set_components(documents)
     labelled = sets.join(components.withColumnRenamed("node", "set"), "set", "left").select(
         "doc_id", "version", "n", F.coalesce("component", "set").alias("component")
     )
-    labelled = materialise(labelled, "labelled-documents")
+    return materialise(labelled, "labelled-documents")
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """Per document: ``doc_id, n_shingles, component_id``."""
+    labelled = labelled_documents(documents)
     least = labelled.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("least"))
     return labelled.join(least, "component", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "version"
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
+    )
+
+
+def representatives(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents`` with one of each group of near copies: that of the least ``doc_id``.
+
+    Rows without words belong to no group and stay.  All columns are kept as they are.
+    """
+    labelled = labelled_documents(documents)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("first")
+    grouped = labelled.where(F.col("component").isNotNull()).groupBy("component").agg(first).select("first.doc_id", "first.version", F.lit(True).alias("one"))
+    alone = labelled.where(F.col("component").isNull()).select("doc_id", "version", F.lit(False).alias("one")).distinct()
+    kept = grouped.unionByName(alone).toDF("kept_id", "kept_version", "one")
+    rows = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own_version")
     )
+    joined = rows.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_version") == F.col("kept_version")))
+    again = Window.partitionBy("own_id", "own_version").orderBy("one")
+    return joined.withColumn("again", F.row_number().over(again)).where("again = 1 or not one").select("row.*")
 
 
 def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("version")
+    return near_duplicates(table(spark, sf_dir, "documents"))

@@ -139,6 +139,21 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.aggregate(spans, first, cut, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
 
 
+def redacted(documents: DataFrame, ledger_rows: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of ``documents`` with every secret in ``text`` replaced and ``n_chars``, if there, counted anew.
+
+    Without given ledger rows all texts are scanned first.  A null text stays null.
+    """
+    texts = documents.select(F.coalesce("text", F.lit("")).alias("text"))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    spans = findings(rows, found(unseen(texts, None, rules), rules) if ledger_rows is None else ledger_rows, rules)
+    hit = F.size("spans") > 0
+    new = {"text": F.when(hit, redact(F.col("text"), F.col("spans"))).otherwise(F.col("row.text"))}
+    if "n_chars" in documents.columns:
+        new["n_chars"] = F.when(hit, F.length(new["text"])).otherwise(F.col("row.n_chars")).cast(documents.schema["n_chars"].dataType)
+    return spans.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns])
+
+
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = doc_texts(table(spark, sf_dir, "documents"))
     ledger_rows = found(unseen(versions, None))  # of a first run, the ledger rows that hold findings

@@ -151,6 +151,19 @@ def toxicity_scores(documents: DataFrame, model: NoisyOrModel) -> DataFrame:
     return documents.mapInArrow(score, schema)
 
 
+def without_toxic(documents: DataFrame, model: NoisyOrModel, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``documents`` that score below the threshold, with all their columns; scored and dropped in one pass."""
+    held = documents.sparkSession.sparkContext.broadcast((model.weights, model.leak))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = NoisyOrModel(*held.value)
+        for batch in batches:
+            for rows in text_slices(batch):
+                yield rows.filter(pa.array([own.document(t or "") < threshold for t in rows.column("text").to_pylist()], pa.bool_()))
+
+    return documents.mapInArrow(keep, documents.schema)
+
+
 def toxic_sentences(documents: DataFrame, model: NoisyOrModel, threshold: float = 0.5) -> DataFrame:
     """``doc_id, start, end, score, sentence`` of the sentences at or over the threshold."""
     held = documents.sparkSession.sparkContext.broadcast((model.weights, model.leak))
