@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causelake.llm import bpe, decontaminate, html, mpeg, near_dup, quality, secrets, token_shards, toxicity
+from causelake.llm import backoff, bpe, decontaminate, html, mpeg, near_dup, quality, secrets, token_shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_layout": html.op1_html_layout,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_parity_sketch_join": near_dup.op3_parity_sketch_join,
     "op4_zstd_quality": quality.op4_zstd_quality,
     "op5_mpeg_audio": mpeg.op5_mpeg_audio,
+    "op6_stupid_backoff": backoff.op6_stupid_backoff,
     "op7_noisy_or_toxicity": toxicity.op7_noisy_or_toxicity,
     "op8_numpy_bpe": bpe.op8_numpy_bpe,
     "op9_secret_ledger": secrets.op9_secret_ledger,
@@ -21,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_stupid_backoff": backoff.ORACLE_SQL,
     "op9_secret_ledger": secrets.ORACLE_SQL,
 }
