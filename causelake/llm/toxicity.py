@@ -28,7 +28,7 @@ from causelake.llm.common import doc_texts, table, text_slices
 from causelake.llm.labelled import fold, labelled_sample
 
 #: Bounds of the fitted sample: labelled ids of each class, and characters of a sampled text.
-PER_CLASS = 4000
+PER_CLASS = 2500
 MAX_CHARS = 20_000
 #: Log-odds of a sentence without any known feature.
 BASE = -7.0
@@ -93,19 +93,20 @@ def fit(rows: list[tuple[str, int]], sizes: dict[int, int], rounds: int = 300, p
     if not rows or y.min() == y.max():
         total = sum(sizes.values())
         return NoisyOrModel({}, min(max(sizes.get(1, 0) / total if total else 0.5, 1e-6), 1 - 1e-6))
-    parts = [[set(f for w in PIECE.findall(s) if w[0].isalpha() for f in features(w)) for s in re.split(r"[.!?\n]+", t.lower())] for t, _ in rows]
-    seen = {0: Counter(), 1: Counter()}
-    for sentences, label in zip(parts, y):
-        seen[int(label)].update(set().union(*sentences))
+    # texts are read twice, so that only counts and known features are held
+    seen: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
+    for (t, _), label in zip(rows, y):
+        seen[int(label)].update({f for w in set(PIECE.findall(t.lower())) if w[0].isalpha() for f in features(w)})
     share = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     names = sorted(f for f, n in seen[1].items() if n >= LEAST_DOCUMENTS and n / share[1] >= LEAST_RATIO * (seen[0][f] + 0.5) / share[0])
+    del seen
     index = {f: i for i, f in enumerate(names)}
     feature, sentence, document = [], [], []
-    for d, sentences in enumerate(parts):
-        for s in sentences:
-            known = [index[f] for f in s if f in index]
+    for d, (t, _) in enumerate(rows):
+        for part in re.split(r"[.!?\n]+", t.lower()):
+            known = {index[f] for w in set(PIECE.findall(part)) if w[0].isalpha() for f in features(w) if f in index}
             if known:
-                feature += known
+                feature += sorted(known)
                 sentence += [len(document)] * len(known)
                 document.append(d)
     feature, sentence, document = (np.array(x, np.int64) for x in (feature, sentence, document))
