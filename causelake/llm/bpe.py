@@ -160,7 +160,7 @@ class ByteBPE:
                     heapq.heappush(heap, (current[k], k))
         return np.array([s for s, a in zip(sym, alive) if a], np.int64)
 
-    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         raw = [w.encode() for w in words]
         special = {i: self.special[w[1:]] for i, w in enumerate(words) if w[:1] == "\x00" and w[1:] in self.special}
         filled = [i for i, w in enumerate(raw) if w and i not in special]
@@ -171,7 +171,7 @@ class ByteBPE:
                 out[i] = ids
         for i, token in special.items():
             out[i] = np.array([token], np.int64)
-        return out
+        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
 
     def _words(self, text: str) -> list[str]:
         if self._special is None or not self._special.search(text):

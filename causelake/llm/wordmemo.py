@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 import string
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain, groupby
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +15,13 @@ import pyarrow.compute as pc
 from causelake.llm.common import flat_take
 
 #: Words one worker remembers; the memo starts anew beyond it, results do not depend on it.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 700_000
 
 
 class WordMemo:
-    """``encode_new(list of distinct words) -> list of id sequences`` behind a memo."""
+    """``encode_new(list of distinct words) -> (ids on end, how many each has)`` behind a bounded memo."""
 
-    def __init__(self, encode_new: Callable[[list[str]], Sequence[Sequence[int]]], limit: int = MEMO_WORDS):
+    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = MEMO_WORDS):
         self._encode_new, self._limit = encode_new, limit
         self._reset()
 
@@ -29,7 +29,7 @@ class WordMemo:
         self._index: dict[str, int] = {}
         self._flat = np.zeros(1 << 16, np.int32)
         self._starts = np.zeros(1 << 14, np.int64)
-        self._counts = np.zeros(1 << 14, np.int64)
+        self._counts = np.zeros(1 << 14, np.int32)
         self._used = 0
 
     def _room(self, words: int, ids: int) -> None:
@@ -41,22 +41,23 @@ class WordMemo:
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For distinct words: where each one's ids start in the store, how many they are, and the store."""
-        new = [w for w in words if w not in self._index]
-        if len(self._index) + len(new) > self._limit and self._index:
+        which = np.fromiter(map(self._index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(which < 0)
+        if len(self._index) + len(missing) > self._limit and self._index:
             self._reset()
-            new = words
-        if new:
-            encoded = self._encode_new(new)
-            counts = np.fromiter(map(len, encoded), np.int64, len(new))
-            at, total = len(self._index), int(counts.sum())
-            self._room(at + len(new), total)
-            self._flat[self._used : self._used + total] = np.fromiter(chain.from_iterable(encoded), np.int32, total)
+            missing = np.arange(len(words))
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            flat, counts = self._encode_new(new)
+            at = len(self._index)
+            self._room(at + len(new), len(flat))
+            self._flat[self._used : self._used + len(flat)] = flat
             self._counts[at : at + len(new)] = counts
             self._starts[at : at + len(new)] = self._used + np.cumsum(counts) - counts
-            self._used += total
+            self._used += len(flat)
+            which[missing] = np.arange(at, at + len(new))
             self._index.update(zip(new, range(at, at + len(new))))
-        which = np.fromiter(map(self._index.__getitem__, words), np.int64, len(words))
-        return self._starts[which], self._counts[which], self._flat
+        return self._starts[which], self._counts[which].astype(np.int64), self._flat
 
 
 @lru_cache(maxsize=4)
@@ -75,43 +76,56 @@ class LetterWords:
     """Encodes chunks for a tokenizer whose pre-tokens are runs of letters or of symbols.
 
     A chunk of letters with ASCII symbols behind is its letters' ids and its symbols' ids on end,
-    so each distinct letter word meets the library once, many of them in one call; ASCII letters
-    are lower-cased first, as the tokenizer does.  Any other chunk is encoded as it stands.
+    so each distinct letter word meets the library once, many of them in one call.  Any other
+    chunk is encoded as it stands.
     """
 
     AT_ONCE = 500
 
     def __init__(self, tokenizer, limit: int = MEMO_WORDS):
-        self._tokenizer, self._limit = tokenizer, limit
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._tokenizer = tokenizer
+        self._letters = WordMemo(self._learn, limit)
+        self._others = WordMemo(self._library, limit // 4)
 
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for i in range(0, len(texts), 5000) for e in self._tokenizer.encode_batch(texts[i : i + 5000], add_special_tokens=False)]
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for i in range(0, len(texts), 5000) for e in self._tokenizer.encode_batch(texts[i : i + 5000], add_special_tokens=False)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), counts
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flats, all_counts = [], []
         for i in range(0, len(words), self.AT_ONCE):
             group = words[i : i + self.AT_ONCE]
             together = self._tokenizer.encode(" ".join(group), add_special_tokens=False)
-            parts = [[t for _, t in g] for _, g in groupby(zip(together.word_ids, together.ids), lambda x: x[0])]
-            if len(parts) != len(group):  # some word is more than one run of letters to the library
-                parts = self._library(group)
-            self._known.update(zip(group, map(tuple, parts)))
-
-    def __call__(self, chunks: list[str]) -> list[Sequence[int]]:
-        letters = [c.rstrip(string.punctuation) for c in chunks]
-        whole = [not w.isalpha() for w in letters]
-        letters = [w.lower() if w.isascii() else w for w in letters]
-        symbols = [c[len(w) :] for c, w in zip(chunks, letters)]
-        needed = {w for w, as_is in zip(letters, whole) if not as_is}
-        if len(self._known) + len(needed) > self._limit:
-            self._known.clear()
-        self._learn(sorted(needed - self._known.keys()))
-        rest = {s for s, as_is in zip(symbols, whole) if not as_is} - self._known.keys()
-        rest |= {c for c, as_is in zip(chunks, whole) if as_is} - self._known.keys()
-        rest = sorted(rest)
-        self._known.update(zip(rest, map(tuple, self._library(rest))))
-        known = self._known
-        return [known[c] if as_is else known[w] + known[s] for c, w, s, as_is in zip(chunks, letters, symbols, whole)]
+            flat, counts = np.array(together.ids, np.int32), np.bincount(np.array(together.word_ids, np.int64))
+            if len(counts) != len(group):  # some word is more than one run of letters to the library
+                flat, counts = self._library(group)
+            flats.append(flat)
+            all_counts.append(counts)
+        return np.concatenate(flats), np.concatenate(all_counts)
+
+    def _look_up(self, memo: WordMemo, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        coded = words.dictionary_encode()
+        starts, counts, store = memo.encode(coded.dictionary.to_pylist())
+        at = coded.indices.to_numpy()
+        return starts[at], counts[at], store
+
+    def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        chunk = pa.array(chunks, pa.string())
+        letters = pc.utf8_rtrim(chunk, string.punctuation)
+        plain = pc.utf8_is_alpha(letters).to_numpy(zero_copy_only=False)
+        cut = (pc.binary_length(chunk).to_numpy() - pc.binary_length(letters).to_numpy()).tolist()
+        other = pa.array([c[len(c) - n :] if p else c for c, n, p in zip(chunks, cut, plain.tolist())], pa.string())
+        a_start, a_count, a_store = self._look_up(self._letters, letters.filter(pa.array(plain)))
+        b_start, b_count, b_store = self._look_up(self._others, other)
+        first = np.zeros(len(chunks), np.int64)
+        first[plain] = a_count
+        counts = first + b_count
+        ends = np.cumsum(counts)
+        flat = np.empty(int(counts.sum()), np.int32)
+        flat[flat_take((ends - counts)[plain], a_count)] = a_store[flat_take(a_start, a_count)]
+        flat[flat_take(ends - b_count, b_count)] = b_store[flat_take(b_start, b_count)]
+        return flat, counts
 
 
 @lru_cache(maxsize=4)
