@@ -101,8 +101,9 @@ def _hits(documents: DataFrame, items: DataFrame, size: int, longest: int, bound
     """The verified windows for the items that have shingles of ``size`` words."""
     held = F.broadcast if bounded else lambda df: df
     docs = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"))
+    # outer: a plain explode has the optimiser test the array's size first, by computing it again
     grams = held(items.select(F.explode("item").alias("h"), "n").distinct())
-    at_words = docs.withColumn("w", words(F.col("text"))).select("doc_id", "version", F.size("w").alias("n_doc"), F.posexplode(shingles(F.col("w"), size)).alias("at", "h"))
+    at_words = docs.withColumn("w", words(F.col("text"))).select("doc_id", "version", F.size("w").alias("n_doc"), F.posexplode_outer(shingles(F.col("w"), size)).alias("at", "h"))
     # the windows over a shared shingle, as long as the item and inside the document
     spans = F.transform("ats", lambda at: F.sequence(F.greatest(F.lit(0), at - F.col("n") + size), F.greatest(F.lit(0), F.least(at, F.col("n_doc") - F.col("n")))))
     seeds = (
@@ -118,11 +119,11 @@ def _hits(documents: DataFrame, items: DataFrame, size: int, longest: int, bound
     )
     printed = windows.withColumn("print", simhash(F.col("window"), longest)).withColumn("keys", _block_keys(F.col("print"), radius))
     prints = items.withColumn("item_print", simhash(F.col("item"), longest)).withColumn("item_keys", _block_keys(F.col("item_print"), radius))
-    index = prints.select("item_id", "n", "item", "item_print", "item_keys", F.posexplode("item_keys").alias("block", "key"))
+    index = prints.select("item_id", "n", "item", "item_print", "item_keys", F.posexplode_outer("item_keys").alias("block", "key"))
     near = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     agrees = F.array_position(F.zip_with("keys", "item_keys", lambda x, y: x == y), F.lit(True)) - 1
     candidates = (
-        printed.select("doc_id", "version", "n", "start", "window", "print", "keys", F.posexplode("keys").alias("block", "key"))
+        printed.select("doc_id", "version", "n", "start", "window", "print", "keys", F.posexplode_outer("keys").alias("block", "key"))
         .join(held(index), ["n", "block", "key"])
         .where((near <= radius) & (agrees == F.col("block")))  # each pair once: by its first common block
     )
