@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causelake.functions import transforms as tf
@@ -546,3 +546,208 @@ def phase_surrogates(spark, sf_dir):
 @query()
 def average_derivative(spark, sf_dir):
     return est.average_derivative(table(spark, sf_dir, "lineitem"), "l_discount", "l_extendedprice", ["l_quantity", "l_tax"])
+
+
+# --- structural models, attribution, posteriors, decisions, discovery
+
+
+def _chain(spark, sf_dir):
+    """quantity -> price <- discount, quantity -> discount: a linear model of lineitem."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("q"), (F.col("l_discount") * 100).alias("d"), (F.col("l_extendedprice") / 1000).alias("p"), "l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"))
+    return li, Dag(["q", "d", "p"], [("q", "d"), ("q", "p"), ("d", "p")])
+
+
+CHAIN = """li as (select l_quantity as q, l_discount * 100 as d, l_extendedprice / 1000 as p, l_returnflag, l_orderkey * 10 + l_linenumber as key from lineitem),
+m as (select avg(q) as mq, avg(d) as md, avg(p) as mp, var_pop(q) as vq, var_pop(d) as vd, var_pop(p) as vp, covar_pop(q, d) as qd, covar_pop(q, p) as qp, covar_pop(d, p) as dp from li),
+b as (select *, qd / vq as bqd, (qp * vd - qd * dp) / (vq * vd - qd * qd) as bqp, (dp * vq - qd * qp) / (vq * vd - qd * qd) as bdp from m)"""
+
+
+@query(f"""with {CHAIN} select 'd' as parent, round(bdp * bdp * vd, 6) as strength from b union all select 'q', round(bqp * bqp * vq, 6) from b""")
+def arrow_strength(spark, sf_dir):
+    from causelake.operators.attribution import arrow_strength as strength
+    from causelake.operators.scm import Model
+
+    li, g = _chain(spark, sf_dir)
+    return rounded(spark.createDataFrame(sorted(strength(Model.fit(li, g), "p").items()), "parent string, strength double"), 6)
+
+
+@query(f"""with {CHAIN} select l_returnflag, round(avg(p + (bqp + bqd * bdp) * (30 - q)), 6) as mean_at_30, round(sum(p + (bqp + bqd * bdp) * (30 - q) - p), 2) as change
+from li cross join b group by 1""")
+def counterfactual_means(spark, sf_dir):
+    from causelake.operators.scm import Model
+
+    li, g = _chain(spark, sf_dir)
+    cf = Model.fit(li, g).counterfactual(li, [{"q": 30.0}])
+    return rounded(cf.groupBy("l_returnflag").agg(F.avg("cf_p").alias("mean_at_30"), F.sum(F.col("cf_p") - F.col("p")).alias("change")), 6, change=2)
+
+
+@query(f"""with {CHAIN} select 'q -> d -> p' as path, round(bqd * bdp, 8) as contribution from b union all select 'q -> p', round(bqp, 8) from b""")
+def path_decomposition(spark, sf_dir):
+    from causelake.operators.attribution import path_contributions
+    from causelake.operators.scm import Model
+
+    li, g = _chain(spark, sf_dir)
+    return rounded(path_contributions(Model.fit(li, g), "q", "p", spark), 8)
+
+
+def _by_flag(a: str, f: str) -> str:
+    return f"""{a} as (select avg(q) as mq, avg(p) - regr_slope(p, q) * avg(q) as i, regr_slope(p, q) as s from li where l_returnflag = '{f}')"""
+
+
+@query(f"""with {CHAIN}, {_by_flag('x', 'A')}, {_by_flag('y', 'R')}, v as (select x.i + x.s * x.mq as v0, y.i + y.s * x.mq as vp, x.i + x.s * y.mq as vq, y.i + y.s * y.mq as v1 from x, y)
+select 'p' as mechanism, round(((vp - v0) + (v1 - vq)) / 2, 6) as contribution from v union all select 'q', round(((vq - v0) + (v1 - vp)) / 2, 6) from v""")
+def distribution_change(spark, sf_dir):
+    from causelake.operators.attribution import distribution_change as change
+    from causelake.operators.scm import Model
+
+    li, _ = _chain(spark, sf_dir)
+    g = Dag(["q", "p"], [("q", "p")])
+    models = [Model.fit(li.where(F.col("l_returnflag") == f), g) for f in ("A", "R")]
+    return rounded(spark.createDataFrame(sorted(change(*models, "p").items()), "mechanism string, contribution double"), 6)
+
+
+@query("""with m as (select quantile_cont(value, 0.5) as m from events), d as (select quantile_cont(abs(value - m), 0.5) as mad from events cross join m)
+select event_type, round(max(abs(value - m) / (1.4826 * mad)), 6) as top, sum(case when abs(value - m) / (1.4826 * mad) > 3 then 1 else 0 end)::bigint as odd from events cross join m cross join d group by 1""")
+def anomaly_scores(spark, sf_dir):
+    from causelake.operators.attribution import anomaly_scores as scores
+
+    s = scores(table(spark, sf_dir, "events"), "value")
+    return rounded(s.groupBy("event_type").agg(F.max("z").alias("top"), F.sum((F.col("z") > 3).cast("long")).alias("odd")), 6)
+
+
+@query(f"""with {BASE}, s as (select avg(y) filter (where region <= 1) as m1, avg(y) filter (where region > 1) as m0, var_samp(y) filter (where region <= 1) as v1, var_samp(y) filter (where region > 1) as v0,
+  count(*) filter (where region <= 1) as n1, count(*) filter (where region > 1) as n0, var_pop(y) as v, count(*) as n from base)
+select 'y' as "column", round(m1 - m0, 4) as difference, round(abs(m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) as welch, round(n * ln(v) - n1 * ln(v1 * (n1 - 1) / n1) - n0 * ln(v0 * (n0 - 1) / n0), 4) as lr from s""")
+def mechanism_change(spark, sf_dir):
+    from causelake.operators.attribution import mechanism_change as change
+
+    o = orders_frame(spark, sf_dir).withColumn("new", F.col("region") <= 1)
+    return rounded(change(o, "new", ["y"]).select("column", "difference", "welch", "lr"), 4, welch=6)
+
+
+@query("""with s as (select count(*) as n, sum(value) as sy from events) select round((sy / 100.0) / (1e-6 + n / 100.0), 6) as mean, round(1 / (1e-6 + n / 100.0), 9) as variance from s""")
+def conjugate_mean(spark, sf_dir):
+    from causelake.operators.bayes import conjugate
+
+    p = conjugate(red.gram(table(spark, sf_dir, "events"), ["value"]), "value", ["1"], sigma2=100.0)
+    return spark.createDataFrame([(round(float(p.mean[0]), 6), round(float(p.cov[0, 0]), 9))], "mean double, variance double")
+
+
+@query("""with a as (select * from (values ('hold', 0.0), ('grow', 0.1), ('bet', 0.5)) as t(action, stake)), u as (select s_suppkey as draw, action, stake * s_acctbal - 400 * stake * stake * 10 as u from supplier cross join a),
+b as (select *, max(u) over (partition by draw) as best from u) select action, round(avg(u), 4) as utility, round(avg(best - u), 4) as regret from b group by 1""")
+def decision_utilities(spark, sf_dir):
+    from causelake.operators.validate import decide
+
+    actions = spark.createDataFrame([("hold", 0.0), ("grow", 0.1), ("bet", 0.5)], "action string, stake double")
+    draws = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("draw"), "s_acctbal")
+    return rounded(decide(actions, draws, F.col("stake") * F.col("s_acctbal") - 4000 * F.col("stake") * F.col("stake")).select("action", "utility", "regret"))
+
+
+@query("""with g as (select s_nationkey as k, (s_suppkey % 7 + 1)::double as w, case when s_suppkey % 3 = 0 then null else s_acctbal end as e from supplier)
+select round(sum(w * e) / sum(case when e is not null then w end), 4) as identified_mean, min(e) as low, max(e) as high, round(sum(case when e is not null then w end) / sum(w), 8) as identified_mass,
+  round(1 - sum(case when e is not null then w end) / sum(w), 8) as unidentified_mass from g""")
+def effect_envelope(spark, sf_dir):
+    from causelake.operators.bayes import effect_envelope as envelope
+
+    g = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 7 + 1).cast("double").alias("weight"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal")).alias("effect"))
+    return rounded(envelope(g), 8, identified_mean=4)
+
+
+@query(f"with {BASE} select 't' as treatment, 'y' as outcome, round(regr_slope(y, t), 4) as effect from base union all select 'z', 'y', round(regr_slope(y, z), 4) from base")
+def batch_queries(spark, sf_dir):
+    from causelake.api import AverageEffect, many
+
+    g = Dag(["t", "z", "y"], [("t", "y"), ("z", "y")])
+    return rounded(many(orders_frame(spark, sf_dir), g, [AverageEffect("t", "y"), AverageEffect("z", "y")]).select("treatment", "outcome", "effect"))
+
+
+@query(f"""with {BASE}, s as (select regr_slope(y, acct) as b, regr_intercept(y, acct) as a from base)
+select 'x' as model, round(b, 8) as slope, round(a, 4) as intercept from s""")
+def incremental_ols(spark, sf_dir):
+    """Gram rows of batches summed: equal to one batch fit."""
+    from functools import reduce
+
+    from causelake.streaming.state import from_rows, gram_rows
+
+    o = orders_frame(spark, sf_dir)
+    rows = reduce(DataFrame.unionByName, [gram_rows(o.where(F.pmod("o_orderkey", F.lit(3)) == k), ["acct", "y"]) for k in range(3)])
+    fit = red.solve(from_rows(rows, ["acct", "y"]), "y", ["1", "acct"])
+    return spark.createDataFrame([("x", round(fit["acct"], 8), round(fit["1"], 4))], "model string, slope double, intercept double")
+
+
+def _columns(spark, sf_dir):
+    """Four dependent columns: quantity -> load -> cost <- tax."""
+    li = table(spark, sf_dir, "lineitem")
+    load = 2 * F.col("l_quantity") + 300 * F.col("l_discount")
+    return li.select(F.col("l_quantity").alias("quantity"), load.alias("load"), (load + 400 * F.col("l_tax") + F.col("l_extendedprice") / 10_000).alias("cost"), F.col("l_tax").alias("tax"))
+
+
+@query()
+def pc_skeleton(spark, sf_dir):
+    from causelake.operators.ci import Covariance
+    from causelake.operators.discovery import pc
+
+    x = _columns(spark, sf_dir)
+    return spark.createDataFrame(pc(x.columns, Covariance.of(x, x.columns).test, 0.01).edges(), "a string, edge string, b string")
+
+
+@query()
+def ges_search(spark, sf_dir):
+    from causelake.operators.discovery import GaussianScore, ges
+
+    x = _columns(spark, sf_dir)
+    return spark.createDataFrame(ges(GaussianScore(red.gram(x, x.columns))).edges(), "a string, edge string, b string")
+
+
+@query()
+def pcmci_events(spark, sf_dir):
+    from causelake.operators.discovery import pcmci
+
+    e = table(spark, sf_dir, "events").withColumn("other", F.lag("value", 1).over(Window.partitionBy("user_id").orderBy("event_id"))).where("other is not null")
+    links, _ = pcmci(e, ["value", "other"], 2, "event_id", ["user_id"])
+    return spark.createDataFrame([(x.cause, x.lag, x.effect, x.statistic, x.p) for x in links], "cause string, lag long, effect string, statistic double, p double")
+
+
+@query()
+def graph_posterior(spark, sf_dir):
+    from causelake.operators.discovery import GaussianScore, exact_posterior
+
+    x = _columns(spark, sf_dir)
+    return spark.createDataFrame(exact_posterior(GaussianScore(red.gram(x, x.columns))), "mask long, weight double")
+
+
+@query()
+def validation_suite(spark, sf_dir):
+    from causelake.operators.validate import suite
+
+    return suite(orders_frame(spark, sf_dir), "t", "y", ["acct"], "o_orderkey", 20)
+
+
+@query()
+def sensitivity_grid(spark, sf_dir):
+    from causelake.operators.validate import partial_r2_grid
+
+    return partial_r2_grid(orders_frame(spark, sf_dir), "t", "y", ["acct"])
+
+
+@query()
+def hmc_posterior(spark, sf_dir):
+    from causelake.operators.bayes import hmc_gaussian, mcmc_diagnostics
+
+    d = hmc_gaussian(spark, red.gram(orders_frame(spark, sf_dir), ["t", "y"]), "y", ["1", "t"], 1e10, steps=200, warmup=100)
+    return mcmc_diagnostics(d, ["1", "t"])
+
+
+@query()
+def interventional_sample(spark, sf_dir):
+    from causelake.operators.scm import Model
+
+    li, g = _chain(spark, sf_dir)
+    return Model.fit(li, g).sample(spark, 10_000, {"q": 30.0}, 1).agg(F.avg("p").alias("mean"), F.count("*").alias("n"))
+
+
+@query()
+def particle_filters(spark, sf_dir):
+    from causelake.streaming.state import particle_filter
+
+    return particle_filter(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 0.9, 1.0, 5.0)
