@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causelake.llm.common import doc_texts, materialise, table, text_slices
+from causelake.llm.common import doc_texts, lean, materialise, table, text_slices
 from causelake.llm.shingles import WORD_MIX, mix, word_hashes
 
 ORDER = 2
@@ -80,7 +80,7 @@ def word_slices(documents: DataFrame) -> DataFrame:
         if ids:
             yield close()
 
-    return doc_texts(documents).mapInArrow(cut, SLICES)
+    return doc_texts(documents).mapInArrow(lean(cut), SLICES)
 
 
 def _grams(words: bytes, vocabulary: bytes, counts: list[int], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -191,10 +191,10 @@ def backoff_scores(documents: DataFrame, order: int = ORDER, backoff: float = BA
     slices = materialise(word_slices(documents), "word-slices")
     all_words = slices.agg(F.sum("n_words")).first()[0] or 0
     partitions = max(4, math.ceil(order * all_words / PARTITION_ENTRIES))
-    asked = slices.select("slice", "counts", "words", "vocabulary").mapInArrow(_requests(order, partitions), "part int, slice long, block array<binary>")
+    asked = slices.select("slice", "counts", "words", "vocabulary").mapInArrow(lean(_requests(order, partitions)), "part int, slice long, block array<binary>")
     totals = materialise(asked.groupBy("part").applyInArrow(_count(order, least), "slice long, part int, totals array<binary>"), "totals")
     answers = totals.groupBy("slice").agg(F.collect_list(F.struct("part", "totals")).alias("answers"))
-    return slices.join(answers, "slice").mapInArrow(_score(order, backoff, all_words), SCORES)
+    return slices.join(answers, "slice").mapInArrow(lean(_score(order, backoff, all_words)), SCORES)
 
 
 def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from causelake.llm.common import doc_texts, flat_take, table, text_slices
+from causelake.llm.common import doc_texts, flat_take, lean, table, text_slices
 from causelake.llm.wordmemo import WordMemo
 
 #: Fixed value: the pattern that parts a text into words for byte-level BPE.
@@ -233,7 +233,7 @@ def encode_documents(documents: DataFrame, tokenizer_json: str, ids: bool = True
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(id_hash, pa.string()), pa.array(said, pa.string())], names)
 
     wanted = "ids array<int>, " if ids else ""
-    return doc_texts(documents).mapInArrow(encode, f"doc_id long, n_tokens long, {wanted}ids_sha256 string, decoded_sha256 string")
+    return doc_texts(documents).mapInArrow(lean(encode), f"doc_id long, n_tokens long, {wanted}ids_sha256 string, decoded_sha256 string")
 
 
 def public_spec(name: str) -> str:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +19,19 @@ from pyspark.sql import functions as F
 CHARS_AT_ONCE = 4_000_000
 
 
+def lean(stream):
+    """A batch stream whose worker hands its freed memory back when the task ends, for idle workers are kept."""
+
+    def run(batches):
+        yield from stream(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # no such call outside glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, through Spark's reader (any file system Spark can read)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

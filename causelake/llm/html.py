@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causelake.llm.common import table, text_slices
+from causelake.llm.common import lean, table, text_slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title plaintext".split())
@@ -448,7 +448,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
                 texts = pa.array([page_text(p) for p in rows.column("html").to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([rows.column("page_id"), rows.column("url"), texts], ["page_id", "url", "text"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(extract, "page_id long, url string, text string")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(lean(extract), "page_id long, url string, text string")
 
 
 def op1_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:

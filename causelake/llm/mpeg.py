@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from causelake.llm.common import doc_texts, table, text_slices
+from causelake.llm.common import doc_texts, lean, table, text_slices
 
 # Bit rates (kbit/s) by (MPEG-1 or not, layer), and sample rates by version.
 BITRATES = {
@@ -272,7 +272,7 @@ def text_media(documents: DataFrame) -> DataFrame:
                 media = [store(padded(t), {"bytes": str(len(t.encode()))}) for t in rows.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(media, pa.binary())], ["doc_id", "media"])
 
-    return doc_texts(documents).mapInArrow(write, "doc_id long, media binary")
+    return doc_texts(documents).mapInArrow(lean(write), "doc_id long, media binary")
 
 
 FACTS = (
@@ -301,7 +301,7 @@ def media_facts(media: DataFrame) -> DataFrame:
             arrays = [pa.array(v, k) for v, k in zip(rows.values(), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", *rows])
 
-    return media.mapInArrow(read, f"doc_id long, {FACTS}")
+    return media.mapInArrow(lean(read), f"doc_id long, {FACTS}")
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -326,7 +326,7 @@ def media_digests(media: DataFrame) -> DataFrame:
                 rows.append((doc_id, int(s.tags["bytes"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return media.mapInArrow(read, DIGEST)
+    return media.mapInArrow(lean(read), DIGEST)
 
 
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

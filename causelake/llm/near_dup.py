@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causelake.llm.common import doc_texts, materialise, table, text_slices
+from causelake.llm.common import doc_texts, lean, materialise, table, text_slices
 from causelake.llm.components import connected_components
 from causelake.llm.shingles import mix, shingle_sets
 
@@ -138,7 +138,7 @@ def set_table(documents: DataFrame) -> DataFrame:
                 )
 
     texts = doc_texts(documents).select("doc_id", "text", F.xxhash64("text").alias("version"))
-    return texts.mapInArrow(sets, SET_SCHEMA)
+    return texts.mapInArrow(lean(sets), SET_SCHEMA)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, bool, dict[str, list]]]:
@@ -313,7 +313,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame) -> DataFr
     )
     texts = materialise(texts, "verify-texts")
     side = lambda k: texts.select(F.col("set").alias(k), F.col("text").alias(f"text_{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(_linked), "a long, b long")
 
 
 def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,10 +330,10 @@ def set_components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = materialise(set_table(documents), "sets")
     sketches = sets.where(F.col("sketch").isNotNull()).groupBy("set").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     keys = sets.select(F.explode("keys").alias("key"), "set")
-    members = materialise(keys.repartition("key").sortWithinPartitions("key", "set").mapInArrow(_with_leaders, "key long, set long, leader long"), "members")
+    members = materialise(keys.repartition("key").sortWithinPartitions("key", "set").mapInArrow(lean(_with_leaders), "key long, set long, leader long"), "members")
     side = lambda k: sketches.select(F.col("set").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
     pairs = members.select(F.col("set").alias("a"), F.col("leader").alias("b")).distinct()
-    close = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_close_pairs, "a long, b long")
+    close = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(_close_pairs), "a long, b long")
     links = materialise(_verified(materialise(close, "candidates"), sets, documents), "links")
     first = materialise(connected_components(links), "components")
 
@@ -365,10 +365,10 @@ def _labelled(members: DataFrame, components: DataFrame) -> DataFrame:
 def _crossing(labelled: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
     """``key, a, b``: close pairs of one key's members across components, blockwise."""
     rows = labelled.join(sketches, "set").select("key", "set", "n", "component", "sketch")
-    pieces = materialise(rows.repartition("key").sortWithinPartitions("key", "set").mapInArrow(_cross_pairs(every), PIECES), "pieces")
+    pieces = materialise(rows.repartition("key").sortWithinPartitions("key", "set").mapInArrow(lean(_cross_pairs(every)), PIECES), "pieces")
     blocks = pieces.where(F.col("piece").isNotNull())
     half = lambda k: blocks.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("piece", "sets", "sizes", "components", "sketches")])
-    between = half(1).join(half(2), "key").where("piece1 < piece2").mapInArrow(_piece_pairs(every), "key long, a long, b long")
+    between = half(1).join(half(2), "key").where("piece1 < piece2").mapInArrow(lean(_piece_pairs(every)), "key long, a long, b long")
     pairs = pieces.where(F.col("piece").isNull()).select("key", "a", "b").unionByName(between)
     return materialise(pairs.select("key", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "crossing")
 

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causelake.llm.common import doc_texts, table, text_slices
+from causelake.llm.common import doc_texts, lean, table, text_slices
 from causelake.llm.labelled import fold, labelled_sample
 
 #: Bounds of the fitted sample: labelled ids of each class, and characters of a sampled text.
@@ -109,7 +109,7 @@ def quality_scores(documents: DataFrame, model: CompressionModel) -> DataFrame:
                 texts = [t.encode() for t in rows.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(held.value.scores(texts))], ["doc_id", "score"])
 
-    return doc_texts(documents).mapInArrow(score, "doc_id long, score double")
+    return doc_texts(documents).mapInArrow(lean(score), "doc_id long, score double")
 
 
 def op4_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

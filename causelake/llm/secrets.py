@@ -44,7 +44,7 @@ RULES = (
 )
 
 LEDGER_SCHEMA = "blob binary, rule string, spans array<struct<start:int,end:int>>"
-NO_SPANS = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+NO_SPANS = "cast(array() as array<struct<start:int,end:int>>)"
 
 
 def blob_id(text: Column) -> Column:
@@ -99,26 +99,29 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     """
     todo = unseen(versions, ledger, rules)
     pairs = todo.select("blob", F.explode("missing").alias("rule"))
-    return pairs.join(found(todo, rules), ["blob", "rule"], "left").select("blob", "rule", F.coalesce("spans", NO_SPANS).alias("spans"))
+    return pairs.join(found(todo, rules), ["blob", "rule"], "left").select("blob", "rule", F.coalesce("spans", F.expr(NO_SPANS)).alias("spans"))
 
 
-def findings(versions: DataFrame, ledger_rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """All rows of ``versions`` with ``blob`` and ``spans`` (``start, kind, end`` by start, then kind as listed)."""
+def _by_blob(ledger_rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``blob, spans`` of the blobs in which current rules found something."""
     kind = F.lit(0)
     for i, rule in enumerate(rules):
         kind = F.when(F.col("rule") == rule.key, i).otherwise(kind)
     current = ledger_rows.where(F.col("rule").isin([r.key for r in rules]) & (F.size("spans") > 0))
-    by_blob = (
+    return (
         current.select("blob", kind.alias("kind"), F.explode("spans").alias("s"))
         .groupBy("blob")
         .agg(F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), F.col("kind"), F.col("s.end").alias("end")))).alias("spans"))
     )
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    return (
-        versions.withColumn("blob", blob_id(F.col("text")))
-        .join(by_blob, "blob", "left")
-        .withColumn("spans", F.coalesce("spans", none))
-    )
+
+
+NO_KINDS = "cast(array() as array<struct<start:int,kind:int,end:int>>)"
+
+
+def findings(versions: DataFrame, ledger_rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """All rows of ``versions`` with ``blob`` and ``spans`` (``start, kind, end`` by start, then kind as listed)."""
+    rows = versions.withColumn("blob", blob_id(F.col("text"))).join(_by_blob(ledger_rows, rules), "blob", "left")
+    return rows.withColumn("spans", F.coalesce("spans", F.expr(NO_KINDS)))
 
 
 def spans_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -144,14 +147,16 @@ def redacted(documents: DataFrame, ledger_rows: DataFrame | None = None, rules:
 
     Without given ledger rows all texts are scanned first.  A null text stays null.
     """
-    texts = documents.select(F.coalesce("text", F.lit("")).alias("text"))
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = findings(rows, found(unseen(texts, None, rules), rules) if ledger_rows is None else ledger_rows, rules)
-    hit = F.size("spans") > 0
-    new = {"text": F.when(hit, redact(F.col("text"), F.col("spans"))).otherwise(F.col("row.text"))}
+    text = F.coalesce("text", F.lit(""))
+    if ledger_rows is None:
+        ledger_rows = found(unseen(documents.select(text.alias("text")), None, rules), rules)
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), blob_id(text).alias("blob"))
+    rows = rows.join(_by_blob(ledger_rows, rules), "blob", "left")
+    hit, own = F.col("spans").isNotNull(), F.col("row.text")
+    new = {"text": F.when(hit, redact(own, F.col("spans"))).otherwise(own)}
     if "n_chars" in documents.columns:
         new["n_chars"] = F.when(hit, F.length(new["text"])).otherwise(F.col("row.n_chars")).cast(documents.schema["n_chars"].dataType)
-    return spans.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns])
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in documents.columns])
 
 
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causelake.llm.common import doc_texts, materialise, table, text_slices
+from causelake.llm.common import doc_texts, lean, materialise, table, text_slices
 from causelake.llm.wordmemo import encode_dropping_space, space_free_memo
 
 MAGIC = b"WMX1"
@@ -214,7 +214,7 @@ def write_shards(documents: DataFrame, tokenizer_json: str, end_id: int = 1, sha
             yield close()
 
     ordered = doc_texts(documents).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return ordered.mapInArrow(shards, SHARD_SCHEMA)
+    return ordered.mapInArrow(lean(shards), SHARD_SCHEMA)
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 )
 
     placed = shards.join(F.broadcast(bases), "part").select("base", "start_in_part", "shard")
-    return placed.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(lean(documents), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:

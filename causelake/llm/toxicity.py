@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from causelake.llm.common import doc_texts, table, text_slices
+from causelake.llm.common import doc_texts, lean, table, text_slices
 from causelake.llm.labelled import fold, labelled_sample
 
 #: Bounds of the fitted sample: labelled ids of each class, and characters of a sampled text.
@@ -149,7 +149,7 @@ def toxicity_scores(documents: DataFrame, model: NoisyOrModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rows.columns, values], [*rows.schema.names, name])
 
     schema = StructType([*documents.schema.fields, StructField(name, DoubleType())])
-    return documents.mapInArrow(score, schema)
+    return documents.mapInArrow(lean(score), schema)
 
 
 def without_toxic(documents: DataFrame, model: NoisyOrModel, threshold: float = 0.5) -> DataFrame:
@@ -162,7 +162,7 @@ def without_toxic(documents: DataFrame, model: NoisyOrModel, threshold: float =
             for rows in text_slices(batch):
                 yield rows.filter(pa.array([own.document(t or "") < threshold for t in rows.column("text").to_pylist()], pa.bool_()))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return documents.mapInArrow(lean(keep), documents.schema)
 
 
 def toxic_sentences(documents: DataFrame, model: NoisyOrModel, threshold: float = 0.5) -> DataFrame:
@@ -183,7 +183,7 @@ def toxic_sentences(documents: DataFrame, model: NoisyOrModel, threshold: float
                 columns = [pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "end", "score", "sentence"])
 
-    return doc_texts(documents).mapInArrow(locate, "doc_id long, start int, end int, score double, sentence string")
+    return doc_texts(documents).mapInArrow(lean(locate), "doc_id long, start int, end int, score double, sentence string")
 
 
 def op7_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
