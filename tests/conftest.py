@@ -8,7 +8,7 @@ for p in (str(ROOT), str(ROOT / "tests")):
     if p not in sys.path:
         sys.path.insert(0, p)
 
-SF = "/root/testdata/sf0.001"
+
 
 
 @pytest.fixture(scope="session")

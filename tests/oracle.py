@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+#: The smallest tables.
+SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
