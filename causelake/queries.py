@@ -201,9 +201,9 @@ def functional_backdoor(spark, sf_dir):
 
 
 @query(f"""with {LINES}, pt as (select t as s, count(*)::double / (select count(*) from lm) as p from lm group by 1),
-ym as (select m, t as s, avg(yb) as e from lm group by 1, 2), inner_sum as (select m, sum(p * e) as v from ym join pt using (s) group by 1),
+ym as (select m, t as s, avg(yb) as e from lm group by 1, 2), inner_sum as (select m, sum(p * e) as v, sum(p) as w from ym join pt using (s) group by 1),
 mt as (select t, m, count(*)::double / sum(count(*)) over (partition by t) as p from lm group by 1, 2),
-d as (select t, sum(p * v) as v from mt join inner_sum using (m) group by 1)
+d as (select t, sum(p * v) / sum(p * w) as v from mt join inner_sum using (m) group by 1)
 select round(max(case when t > 0.5 then v end) - max(case when t <= 0.5 then v end), 6) as value from d""")
 def functional_frontdoor(spark, sf_dir):
     g = Admg(["t", "m", "yb"], [("t", "m"), ("m", "yb")], [("t", "yb")])
