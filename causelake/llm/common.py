@@ -19,6 +19,18 @@ from pyspark.sql import functions as F
 CHARS_AT_ONCE = 4_000_000
 
 
+#: Bytes of an Arrow batch that travels to a Python worker; Spark's default of 64 MB is held several times over.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound of Arrow batches, if it is higher: texts may be long and workers many."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, "0").rstrip("b")
+    if not held.isdigit() or not 0 < int(held) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def lean(stream):
     """A batch stream whose worker hands its freed memory back when the task ends, for idle workers are kept."""
 
@@ -76,6 +88,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     committed in shared storage.  Scratch folders go when the driver ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -121,4 +134,5 @@ def arrow_strings(offsets: np.ndarray, data: bytes | np.ndarray, kind: pa.DataTy
 
 def doc_texts(documents: DataFrame) -> DataFrame:
     """``doc_id, text`` with a null text as the empty one; further columns do not matter."""
+    small_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

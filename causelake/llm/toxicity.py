@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from causelake.llm.common import doc_texts, lean, table, text_slices
+from causelake.llm.common import doc_texts, lean, small_batches, table, text_slices
 from causelake.llm.labelled import fold, labelled_sample
 
 #: Bounds of the fitted sample: labelled ids of each class, and characters of a sampled text.
@@ -35,7 +35,7 @@ BASE = -7.0
 #: Sampled documents that must have a feature, and how much oftener it must be in toxic ones.
 LEAST_DOCUMENTS = 4
 LEAST_RATIO = 3.0
-MEMO = 300_000
+MEMO = 150_000
 
 PIECE = re.compile(r"[^\W\d_]+|[.!?\n]+")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -136,6 +136,7 @@ def toxicity_model(documents: DataFrame, labels: DataFrame) -> NoisyOrModel:
 
 def toxicity_scores(documents: DataFrame, model: NoisyOrModel) -> DataFrame:
     """All columns of ``documents`` and ``score``; the model (of a bounded sample) is broadcast."""
+    small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast((model.weights, model.leak))
     name = "score"
     while name in documents.columns:
@@ -154,6 +155,7 @@ def toxicity_scores(documents: DataFrame, model: NoisyOrModel) -> DataFrame:
 
 def without_toxic(documents: DataFrame, model: NoisyOrModel, threshold: float = 0.5) -> DataFrame:
     """The rows of ``documents`` that score below the threshold, with all their columns; scored and dropped in one pass."""
+    small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast((model.weights, model.leak))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +169,7 @@ def without_toxic(documents: DataFrame, model: NoisyOrModel, threshold: float =
 
 def toxic_sentences(documents: DataFrame, model: NoisyOrModel, threshold: float = 0.5) -> DataFrame:
     """``doc_id, start, end, score, sentence`` of the sentences at or over the threshold."""
+    small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast((model.weights, model.leak))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
