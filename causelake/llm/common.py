@@ -26,7 +26,7 @@ BATCH_BYTES = 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's bound of Arrow batches, if it is higher: texts may be long and workers many."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(name, "0").rstrip("b")
+    held = (spark.conf.get(name, None) or "").rstrip("b")
     if not held.isdigit() or not 0 < int(held) <= BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
