@@ -197,7 +197,7 @@ def write_shards(documents: DataFrame, tokenizer_json: str, end_id: int = 1, sha
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "chunk", "start_in_part", "n_docs", "n_tokens", "shard"])
 
         for batch in batches:
-            for rows in text_slices(batch, limit=6_000_000):
+            for rows in text_slices(batch, limit=9_000_000):
                 ids, n = encode_dropping_space(memo, rows.column("text"))
                 ends = np.cumsum(n)
                 with_end = np.full(len(ids) + len(n), end_id, np.int32)
