@@ -193,7 +193,7 @@ def global_rank(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     sizes = parts.groupBy("__p").agg(F.count("*").alias("__c"))
     before = sizes.select("__p", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
     local = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return parts.withColumn("__r", local).join(F.broadcast(before), "__p").withColumn(out, F.col("__r") + F.col("__b")).drop("__p", "__r", "__b")
+    return parts.withColumn("__local", local).join(F.broadcast(before), "__p").withColumn(out, F.col("__local") + F.col("__b")).drop("__p", "__local", "__b")
 
 
 def stratified_effect(df: DataFrame, t: str, y: str, stratum: str = "stratum", target: str = "ate") -> DataFrame:

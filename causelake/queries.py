@@ -751,3 +751,62 @@ def particle_filters(spark, sf_dir):
     from causelake.streaming.state import particle_filter
 
     return particle_filter(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 0.9, 1.0, 5.0)
+
+
+@query(f"""with {BASE}, c as (select seg, region, avg(t) as p from base group by 1, 2), w as (select y, p from base join c using (seg, region) where t = 1.0)
+select round(sum(y / p) / sum(1 / p), 4) as mean, count(*) as n from w""")
+def do_weighting(spark, sf_dir):
+    from causelake.operators.response import do_weighting as weighted
+
+    return rounded(weighted(orders_frame(spark, sf_dir), "t", "y", ["seg", "region"], 1.0))
+
+
+@query("""with g as (select l_quantity as t, unnest([5.0, 25.0, 60.0])::double as dose from lineitem), w as (select *, exp(-0.5 * ((t - dose) / 2.0) ** 2) as w from g)
+select dose, round(sum(w) ** 2 / sum(w * w), 2) as ess, dose between min(t) and max(t) as inside,
+  case when not (dose between min(t) and max(t)) then 'out of range' when sum(w) ** 2 / sum(w * w) < 30 then 'weak' else 'strong' end as support from w group by 1""")
+def support_report(spark, sf_dir):
+    from causelake.operators.response import support_report as report
+
+    return rounded(report(table(spark, sf_dir, "lineitem"), "l_quantity", [5.0, 25.0, 60.0], 2.0), 2)
+
+
+@query("""with g as (select l_tax as d, l_quantity as q, l_extendedprice as p from lineitem),
+s as (select corr(q, p) as qp, corr(q, d) as qd, corr(p, d) as pd from g)
+select round(sqrt((qd * qd + pd * pd - 2 * qd * pd * qp) / (1 - qp * qp)), 6) as correlation from s""")
+def canonical_correlation(spark, sf_dir):
+    from causelake.operators.response import multivariate_parcorr
+
+    return rounded(multivariate_parcorr(table(spark, sf_dir, "lineitem"), ["l_tax"], ["l_quantity", "l_extendedprice"]).select("correlation"), 6)
+
+
+@query()
+def gam_derivative(spark, sf_dir):
+    from causelake.operators.response import gam_derivative as derivative
+
+    return derivative(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", ["l_tax"], [10.0, 25.0, 40.0])
+
+
+@query()
+def intervention_response(spark, sf_dir):
+    from causelake.operators.response import intervention_response as response
+
+    li = table(spark, sf_dir, "lineitem").withColumn("key", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    policies = {"set": ("set", 0.05), "shift": ("shift", 0.01), "mixture": ("stochastic", [(0.02, 0.5), (0.08, 0.5)])}
+    return response(li, "l_discount", "l_extendedprice", ["l_quantity"], policies, "key")
+
+
+@query()
+def multinomial_segments(spark, sf_dir):
+    from causelake.operators.response import multinomial_logit
+
+    o = orders_frame(spark, sf_dir).withColumn("scaled", F.col("acct") / 1000)
+    levels = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    fit = multinomial_logit(o, "seg", ["1", "scaled"], levels)
+    return spark.createDataFrame([(k, v["1"], v["scaled"]) for k, v in fit.items()], "level string, intercept double, slope double")
+
+
+@query()
+def mean_discrepancy(spark, sf_dir):
+    from causelake.operators.response import mmd
+
+    return mmd(orders_frame(spark, sf_dir).withColumn("g", F.col("t") > 0.5), ["y"], "g", "o_orderkey", 49, 1000)

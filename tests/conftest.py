@@ -8,6 +8,8 @@ for p in (str(ROOT), str(ROOT / "tests")):
     if p not in sys.path:
         sys.path.insert(0, p)
 
+import causelake  # noqa: E402, F401  (sets BLAS threads before numpy loads)
+
 
 
 
