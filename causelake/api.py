@@ -52,7 +52,7 @@ class InterventionalDistribution:
 class PathSpecificEffect:
     treatment: str
     outcome: str
-    through: tuple[tuple[str, str], ...]
+    through: tuple[tuple[str, ...], ...]
     active: float = 1.0
     control: float = 0.0
 
@@ -159,6 +159,8 @@ def estimate(df: DataFrame, query, estimand: Estimand, estimator: str | None = N
         return est.linear_adjustment(df, t, y, z, delta, **options)
     if name == "glm.adjustment":
         return est.glm_adjustment(df, t, y, z, query.active, query.control, **options)
+    if isinstance(query, PathSpecificEffect):
+        return expr.path_contrast(estimand.functional, df, y, t, estimand.mediators, query.active, query.control)
     if name == "functional.effect":
         return expr.contrast(estimand.functional, df, y, t, query.active, query.control)
     if name == "frontdoor.two_stage":

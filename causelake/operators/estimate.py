@@ -299,6 +299,15 @@ def match_effect(matches: DataFrame) -> DataFrame:
     return matches.agg(F.avg(F.col("y") - F.col("donor_y")).alias("effect"), F.count("*").alias("n"))
 
 
+def bias_adjusted(matches: DataFrame, df: DataFrame, t: str, y: str, z: Sequence[str], key: str) -> DataFrame:
+    """Mean matched difference less what a linear fit of the donors expects from unequal covariates."""
+    fit = solve(gram(df.where(~_treated(t)), [*z, y]), y, ["1", *z])
+    m = df.select(F.col(key).alias("__k"), fit.predict().alias("__m"))
+    x = matches.join(m, F.col("key") == F.col("__k")).select("y", "donor", "donor_y", F.col("__m").alias("own"))
+    x = x.join(m, F.col("donor") == F.col("__k"))
+    return x.agg(F.avg(F.col("y") - F.col("donor_y") - (F.col("own") - F.col("__m"))).alias("effect"), F.count("*").alias("n"))
+
+
 # --- instruments, front door, discontinuity
 
 

@@ -196,3 +196,15 @@ def block_resample(df: DataFrame, time: str, length: int, n: int, replicate_coun
     plan = plan.withColumn("position", F.col("block") * length + F.col("offset")).where(F.col("position") < n)
     plan = plan.select("replicate", "position", ((F.col("start") + F.col("offset")) % n).alias(time))
     return plan.join(df, time)
+
+
+def stationary_resample(df: DataFrame, time: str, n: int, mean_length: float, replicate_count: int, seed: int) -> DataFrame:
+    """Blocks of geometric length, wrapped: a position starts a block with probability 1 / mean_length, else follows on."""
+    from causelake.functions.transforms import uniform
+
+    p = df.sparkSession.range(replicate_count).withColumnRenamed("id", "replicate").withColumn("position", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    begins = (F.col("position") == 0) | (uniform(seed, "begin", "replicate", "position") < 1 / mean_length)
+    start = F.when(begins, F.struct(F.floor(uniform(seed, "start", "replicate", "position") * n).alias("s"), F.col("position").alias("at")))
+    held = F.last(start, ignorenulls=True).over(Window.partitionBy("replicate").orderBy("position"))
+    p = p.withColumn("__b", held).select("replicate", "position", ((F.col("__b.s") + F.col("position") - F.col("__b.at")) % n).alias(time))
+    return p.join(df, time)

@@ -166,3 +166,31 @@ def contrast(e, df: DataFrame, outcome: str, treatment: str, active, control) ->
     x, _ = compile_frame(e, df)
     mean = lambda level: F.sum(F.when(F.col(treatment) == F.lit(level), F.col(outcome).cast("double") * F.col("p"))) / F.sum(F.when(F.col(treatment) == F.lit(level), F.col("p")))
     return x.agg((mean(active) - mean(control)).alias("value"))
+
+
+def path_contrast(e: SumOut, df: DataFrame, outcome: str, treatment: str, through, active, control) -> DataFrame:
+    """One row ``value``: the nested mean with the active level in the chosen children's factors, less the mean under control."""
+
+    def mean(levels: dict[str, object]) -> DataFrame:
+        tables = []
+        for f in e.inner.factors:
+            table, names = compile_frame(f, df)
+            if treatment in names:
+                table = table.where(F.col(treatment) == F.lit(levels[f.of[0]])).drop(treatment)
+                names = [n for n in names if n != treatment]
+            tables.append((table, names))
+
+        def join(a, b):
+            (x, xv), (y, yv) = a, b
+            shared = [v for v in xv if v in yv]
+            y = y.withColumnRenamed("p", "__q")
+            z = x.join(y, shared) if shared else x.crossJoin(y)  # tables of levels
+            return z.select(*dict.fromkeys([*xv, *yv]), (F.col("p") * F.col("__q")).alias("p")), list(dict.fromkeys([*xv, *yv]))
+
+        x, _ = fold(join, tables)
+        return x.agg((F.sum(F.col(outcome).cast("double") * F.col("p")) / F.sum("p")).alias("v"))
+
+    children = [f.of[0] for f in e.inner.factors]
+    on = mean({c: active if c in through else control for c in children}).withColumnRenamed("v", "a")
+    off = mean(dict.fromkeys(children, control)).withColumnRenamed("v", "b")
+    return on.crossJoin(off).select((F.col("a") - F.col("b")).alias("value"))  # one row each

@@ -166,30 +166,30 @@ def identify_conditional(g: Admg, y: Iterable[str], x: Iterable[str], z: Iterabl
     return simplify(Ratio(joint, SumOut(tuple(sorted(y)), joint))) if z else joint
 
 
-def path_specific(g: Dag, t: str, y: str, through: Iterable[tuple[str, str]]) -> Estimand:
-    """The effect along chosen edges out of the treatment; a recanting witness is refused.
+def path_specific(g: Dag, t: str, y: str, through: Iterable[tuple[str, ...]]) -> Estimand:
+    """The effect along a set of directed paths (an edge out of the treatment stands for all paths over it).
 
-    In a DAG the nested mean takes the active level in children reached by a chosen edge, the
-    control level in others.
+    Identified when for each child of the treatment all paths over it are chosen or none is; a child
+    with both is a recanting witness.  ``mediators`` are the children that see the active level.
     """
-    chosen = set(through)
-    starts_on = {b for a, b in chosen if a == t}
-    starts_off = {b for b in g.children[t] if b not in starts_on and y in g.descendants([b])}
-    on = set().union(*(g.descendants([b]) for b in starts_on)) if starts_on else set()
-    off = set().union(*(g.descendants([b]) for b in starts_off)) if starts_off else set()
-    witness = sorted((on & off & g.ancestors([y])) - {y} - ((starts_on | starts_off) - (on & off)))
-    witness = [w for w in witness if w in starts_on | starts_off or any(p in on & off for p in g.parents[w])] or [w for w in witness if w in on and w in off]
-    if witness:
-        raise NotIdentified(f"recanting witness {witness[0]}")
-    factors = []
-    for n in g.order():
-        if n == t or n not in g.ancestors([y]):
-            continue
-        parents = tuple(sorted(g.parents[n]))
-        factors.append(P((n,), parents))
-    rest = tuple(sorted(g.ancestors([y]) - {t, y}))
-    e = SumOut(rest, Product(tuple(factors)))
-    return Estimand("path_specific", (t,), y, mediators=tuple(sorted(starts_on)), functional=simplify(e), notes=(f"active through {sorted(starts_on)}",))
+    chosen = [tuple(p) for p in through]
+    paths, capped = g.directed_paths(t, y)
+    if capped:
+        raise NotIdentified("too many directed paths")
+    starts: dict[str, set[bool]] = {}
+    for p in paths:
+        starts.setdefault(p[1], set()).add(p in chosen or p[:2] in chosen)
+    unknown = [c for c in chosen if c not in paths and not (len(c) == 2 and c[0] == t and c[1] in starts)]
+    if unknown:
+        raise NotIdentified(f"no directed path {unknown[0]}")
+    for child, held in starts.items():
+        if len(held) > 1:
+            raise NotIdentified(f"recanting witness {child}")
+    active = tuple(sorted(c for c, held in starts.items() if True in held))
+    above = g.ancestors([y])
+    factors = tuple(P((n,), tuple(sorted(g.parents[n]))) for n in g.order() if n in above and n != t)
+    rest = tuple(sorted(above - {t, y}))
+    return Estimand("path_specific", (t,), y, mediators=active, functional=SumOut(rest, Product(factors)), notes=(f"active through {list(active)}",))
 
 
 def generalised_adjustment(g: Mixed, t: str, y: str, most: int = 1000) -> list[tuple[float, Estimand | None]]:

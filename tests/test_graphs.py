@@ -67,7 +67,8 @@ def test_identification():
 def test_recanting_witness_and_shift_are_refused():
     g = Dag("twamy", [("t", "w"), ("w", "a"), ("a", "y"), ("t", "m"), ("w", "m"), ("m", "y"), ("w", "y")])
     with pytest.raises(NotIdentified):
-        idf.path_specific(g, "t", "y", [("t", "w")])
+        idf.path_specific(g, "t", "y", [("t", "w", "a", "y")])
+    assert idf.path_specific(g, "t", "y", [("t", "w")]).mediators == ("w",)
     ok = Dag("tmy", [("t", "m"), ("m", "y"), ("t", "y")])
     assert idf.path_specific(ok, "t", "y", [("t", "m")]).mediators == ("m",)
     with pytest.raises(Unsupported):

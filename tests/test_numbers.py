@@ -176,3 +176,27 @@ def test_small_fixtures(spark):
     assert {r["unit"]: r["exposure"] for r in x.collect()} == {1: 0.0, 2: 1.0}
     km = spark.createDataFrame([(1, 1.0, False), (2, 2.0, True), (3, 3.0, True)], "k long, time double, event boolean")
     assert [r["weight"] for r in estimate.km_ipcw(km, "time", "event", "k").orderBy("key").collect()] == pytest.approx([0.0, 1.5, 1.5])
+
+
+def test_path_specific_effect(spark):
+    """m copies t in 3 of 4 rows, y = m + 2 t: the paths' effects add up to the total."""
+    rows = [(t, m, m + 2 * t) for t in (0, 1) for m in (t, t, t, 1 - t)]
+    d = spark.createDataFrame(rows, "t int, m int, y int")
+    g = Dag("tmy", [("t", "m"), ("m", "y"), ("t", "y")])
+    effect = lambda *through: api.analyze(d, g, api.PathSpecificEffect("t", "y", through, 1, 0)).estimate.first()["value"]
+    assert effect(("t", "y")) == pytest.approx(2.0)
+    assert effect(("t", "m", "y")) == pytest.approx(0.5)
+    assert effect(("t", "m"), ("t", "y")) == pytest.approx(2.5)
+
+
+def test_bias_adjusted_match_and_stationary_blocks(spark, noisy):
+    matches = estimate.nearest_match(noisy, "t", "y", "z", "k")
+    assert estimate.bias_adjusted(matches, noisy, "t", "y", ["z"], "k").first()["effect"] == pytest.approx(2.0, abs=0.1)
+    s = frames.simulate_lagged(spark, 60, 0.8, 1, 0.2).withColumnRenamed("t", "step")
+    from causelake.operators.series import stationary_resample
+
+    r = stationary_resample(s, "step", 60, 5.0, 3, 1)
+    assert [x["count"] for x in r.groupBy("replicate").count().collect()] == [60] * 3
+    steps = sorted((x["replicate"], x["position"], x["step"]) for x in r.collect())
+    follow = sum(b[2] == (a[2] + 1) % 60 for a, b in zip(steps, steps[1:]) if a[0] == b[0])
+    assert 100 < follow < 177
