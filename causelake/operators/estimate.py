@@ -19,6 +19,8 @@ from causelake.operators.reduce import Fit, gram, irls, linear, sandwich, solve
 from causelake.schema import complete_cases
 
 TARGETS = ("ate", "att", "atc")
+#: Doses at which a pseudo-outcome's marginal density is tabulated.
+KNOTS = 257
 
 
 def _row(df: DataFrame, **values) -> DataFrame:
@@ -465,13 +467,15 @@ def pseudo_outcome(df: DataFrame, t: str, y: str, z: Sequence[str], key: str, fo
     """Cross-fitted doubly robust pseudo-outcome of a continuous treatment: Gaussian density ratio and linear nuisances.
 
     Nuisances of all folds come from one grouped Gram: a fold's training Gram is the total less its own.
-    The marginal density is averaged over the treatment means binned at 200 equal-width points of their range.
+    The marginal density is averaged over the treatment means binned at 200 equal-width points of their
+    range, and interpolated between KNOTS doses.
     """
     from causelake.functions.transforms import gaussian_density
 
     rows = complete_cases(df, [t, y, *z], [key]).withColumn("__f", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
     grams = gram(rows, [*z, t, y], by=["__f"])
     whole = sum(g.matrix for g in grams.values())
+    low, high = (float(v) for v in rows.agg(F.min(t), F.max(t)).first())
     parts = []
     for (k,), g in sorted(grams.items()):
         train = type(g)(g.names, whole - g.matrix)
@@ -482,8 +486,14 @@ def pseudo_outcome(df: DataFrame, t: str, y: str, z: Sequence[str], key: str, fo
         ends = other.agg(F.min("__m"), F.max("__m")).first()
         width = max((ends[1] - ends[0]) / 200, 1e-12)
         bins = other.groupBy(F.floor((F.col("__m") - ends[0]) / width).alias("b")).agg(F.avg("__m").alias("m"), F.count("*").alias("c")).collect()
-        total = sum(b["c"] for b in bins)
-        marginal = fold(lambda a, b: a + b, [F.lit(b["c"] / total) * gaussian_density(F.col(t).cast("double"), b["m"], sd) for b in bins])
+        at, share = np.array([b["m"] for b in bins]), np.array([b["c"] for b in bins], float)
+        # the marginal at equal knots over the doses, then linear between two of them
+        knots = np.linspace(low, high, KNOTS)
+        values = (np.exp(-0.5 * ((knots[:, None] - at) / sd) ** 2) @ share) / (share.sum() * sd * math.sqrt(2 * math.pi))
+        place = (F.col(t).cast("double") - low) / max((high - low) / (KNOTS - 1), 1e-300)
+        left = F.least(F.floor(place), F.lit(KNOTS - 2)).cast("int")
+        table = F.array(*[F.lit(float(v)) for v in values])
+        marginal = F.get(table, left) + (place - left) * (F.get(table, left + 1) - F.get(table, left))
         conditional = F.greatest(gaussian_density(F.col(t).cast("double"), F.col("__m"), sd), F.lit(1e-6))
         z_means = {c: F.lit(train.mean(c)) for c in z}
         at_dose = linear(outcome.names, outcome.beta, z_means)  # additive model: averaging z is an offset
