@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from oracle import SF
 from pyspark.sql import functions as F
 
 from causelake.llm import backoff, bpe, decontaminate, html, mpeg, near_dup, quality, secrets, token_shards, toxicity
