@@ -137,12 +137,9 @@ def gam_derivative(df: DataFrame, t: str, y: str, z: Sequence[str], at: Sequence
     fit, bases = gam(complete_cases(df, [t, y, *z]), y, {t: basis}, z)
     beta = dict(zip(fit.names, fit.beta))
 
-    def smooth(shift: float) -> Column:
-        lo = [b for b in bases[t]]
-        return sum((F.lit(float(beta[f"s({t}){i}"])) * b for i, b in enumerate(lo)), F.lit(0.0)) if shift == 0 else None
-
+    smooth = sum((F.lit(float(beta[f"s({t}){i}"])) * b for i, b in enumerate(bases[t])), F.lit(0.0))
     grid = df.sparkSession.createDataFrame([(float(a), float(a + s)) for a in at for s in (-step, step)], f"dose double, {t} double")
-    v = grid.withColumn("f", smooth(0))
+    v = grid.withColumn("f", smooth)
     w = v.groupBy("dose").agg(((F.max_by("f", t) - F.min_by("f", t)) / (2 * step)).alias("derivative"))
     return w.orderBy("dose")
 

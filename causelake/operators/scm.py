@@ -176,15 +176,11 @@ class Model:
 
 def trajectory(df: DataFrame, unit: str, steps: int, coefficient: float, drift: float, schedule: dict[int, float], start: str) -> DataFrame:
     """x' = drift + coefficient * x per unit, scheduled values set: a recursion folded inside each row."""
-    cases = F.lit(None).cast("double")
-    level = lambda acc, k: F.lit(drift) + F.lit(coefficient) * F.element_at(acc, -1)
-
     def step(acc: Column, k: Column) -> Column:
-        v = level(acc, k)
+        v = F.lit(drift) + F.lit(coefficient) * F.element_at(acc, -1)
         for at, value in schedule.items():
             v = F.when(k == at, F.lit(float(value))).otherwise(v)
         return F.concat(acc, F.array(v))
 
-    del cases
     path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.array(F.col(start).cast("double")), step)
     return df.select(unit, F.posexplode(path).alias("step", "value"))

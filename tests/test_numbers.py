@@ -200,3 +200,9 @@ def test_bias_adjusted_match_and_stationary_blocks(spark, noisy):
     steps = sorted((x["replicate"], x["position"], x["step"]) for x in r.collect())
     follow = sum(b[2] == (a[2] + 1) % 60 for a, b in zip(steps, steps[1:]) if a[0] == b[0])
     assert 100 < follow < 177
+
+
+def test_trajectory(spark):
+    d = spark.createDataFrame([(1, 0.0), (2, 8.0)], "u long, x0 double")
+    got = scm.trajectory(d, "u", 3, 0.5, 1.0, {2: 10.0}, "x0").orderBy("u", "step").collect()
+    assert [r["value"] for r in got] == [0.0, 1.0, 10.0, 6.0, 8.0, 5.0, 10.0, 6.0]
