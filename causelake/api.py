@@ -162,7 +162,7 @@ def estimate(df: DataFrame, query, estimand: Estimand, estimator: str | None = N
     if isinstance(query, PathSpecificEffect):
         return expr.path_contrast(estimand.functional, df, y, t, estimand.mediators, query.active, query.control)
     if name == "functional.effect":
-        return expr.contrast(estimand.functional, df, y, t, query.active, query.control)
+        return expr.contrast(estimand.functional, df, y, t, query.active, query.control, strict=True)
     if name == "frontdoor.two_stage":
         return est.frontdoor_effect(df, t, list(estimand.mediators), y, delta)
     if name == "iv.2sls":

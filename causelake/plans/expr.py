@@ -161,10 +161,22 @@ def expectation(e, df: DataFrame, outcome: str, bind: dict[str, object]) -> Data
     return x.agg((F.sum(F.col(outcome).cast("double") * F.col("p")) / F.sum("p")).alias("value"))
 
 
-def contrast(e, df: DataFrame, outcome: str, treatment: str, active, control) -> DataFrame:
-    """One row ``value``: the difference of the means at two levels, from one compiled frame."""
+def contrast(e, df: DataFrame, outcome: str, treatment: str, active, control, strict: bool = False) -> DataFrame:
+    """One row ``value``: the difference of the means at two levels, from one compiled frame.
+
+    Where cells are missing the functional's mass at a level falls below one; ``strict`` then raises,
+    else the mean is over the supported mass.
+    """
     x, _ = compile_frame(e, df)
-    mean = lambda level: F.sum(F.when(F.col(treatment) == F.lit(level), F.col(outcome).cast("double") * F.col("p"))) / F.sum(F.when(F.col(treatment) == F.lit(level), F.col("p")))
+
+    def mean(level):
+        here = F.col(treatment) == F.lit(level)
+        mass = F.sum(F.when(here, F.col("p")))
+        value = F.sum(F.when(here, F.col(outcome).cast("double") * F.col("p"))) / mass
+        if not strict:
+            return value
+        return F.when(F.coalesce(F.abs(mass - 1) < 1e-6, F.lit(False)), value).otherwise(F.raise_error(F.lit(f"no support for {treatment} = {level} in some cells")).cast("double"))
+
     return x.agg((mean(active) - mean(control)).alias("value"))
 
 

@@ -206,3 +206,12 @@ def test_trajectory(spark):
     d = spark.createDataFrame([(1, 0.0), (2, 8.0)], "u long, x0 double")
     got = scm.trajectory(d, "u", 3, 0.5, 1.0, {2: 10.0}, "x0").orderBy("u", "step").collect()
     assert [r["value"] for r in got] == [0.0, 1.0, 10.0, 6.0, 8.0, 5.0, 10.0, 6.0]
+
+
+def test_functional_effect_refuses_missing_support(spark):
+    g = Dag("zty", [("z", "t"), ("z", "y"), ("t", "y")])
+    full = spark.createDataFrame([(z, t, t + z) for z in (0, 1) for t in (0, 1)], "z int, t int, y int")
+    ask = lambda d: api.analyze(d, g, api.AverageEffect("t", "y", 1, 0), estimator="functional.effect").estimate.first()["value"]
+    assert ask(full) == pytest.approx(1.0)
+    with pytest.raises(Exception, match="no support"):
+        ask(full.where("not (z = 1 and t = 0)"))
