@@ -809,4 +809,4 @@ def multinomial_segments(spark, sf_dir):
 def mean_discrepancy(spark, sf_dir):
     from causelake.operators.response import mmd
 
-    return mmd(orders_frame(spark, sf_dir).withColumn("g", F.col("t") > 0.5), ["y"], "g", "o_orderkey", 49, 1000)
+    return mmd(orders_frame(spark, sf_dir).withColumn("g", F.col("t") > 0.5), ["y"], "g", "o_orderkey", 49)

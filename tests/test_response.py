@@ -63,3 +63,25 @@ def test_distances(d):
     assert null.count() == 20 and abs(null.agg(F.avg("statistic")).first()[0]) < 0.1
     assert rs.custom_test(d, [("x", "y", ["z"])], lambda x, y, z: (np.corrcoef(x, y)[0, 1], 0.0), "k").first()["statistic"] > 0.5
     assert rs.do_weighting(d.withColumn("s", (F.col("z") > 0).cast("int")), "b", "y", ["s"], 1.0).first()["n"] > 1000
+
+
+def test_mmd_reads_all_rows(spark, monkeypatch):
+    n = 4000
+    rows = spark.range(n).select(F.col("id").alias("k"), (F.col("id") % 2 == 0).alias("g"), tf.normal(3, "v", "id").alias("v"), tf.normal(3, "u", "id").alias("u"))
+    rows = rows.withColumn("v", F.col("v") + F.col("g").cast("int") * 0.15).persist()
+    p = rows.orderBy(F.xxhash64("k")).toPandas()
+
+    def brute(columns, most):
+        x, g = p[columns].to_numpy(), p["g"].to_numpy()
+        d = ((x[:, None] - x[None]) ** 2).sum(2)
+        near = d[:most, :most]
+        k = np.exp(-d / np.median(near[near > 0]))
+        return k[np.ix_(g, g)].mean() + k[np.ix_(~g, ~g)].mean() - 2 * k[np.ix_(g, ~g)].mean()
+
+    got = rs.mmd(rows, ["v"], "g", "k", 19, 100).first()
+    assert got["n"] == n and got["statistic"] == pytest.approx(brute(["v"], 100), rel=1e-9) and got["p"] == 0.05
+    monkeypatch.setattr(rs, "PAIR_ROWS", 900)
+    both = rs.mmd(rows, ["v", "u"], "g", "k", 19, 100).first()
+    assert both["n"] == n and both["statistic"] == pytest.approx(brute(["v", "u"], 100), rel=1e-9)
+    monkeypatch.setattr(rs, "MOST_WAVES", 0)  # one column by pairs gives the same, permutations apart
+    assert rs.mmd(rows, ["v"], "g", "k", 19, 100).first()["statistic"] == pytest.approx(got["statistic"], rel=1e-9)
