@@ -197,11 +197,19 @@ def backoff_scores(documents: DataFrame, order: int = ORDER, backoff: float = BA
     return slices.join(answers, "slice").mapInArrow(lean(_score(order, backoff, all_words)), SCORES)
 
 
-def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = backoff_scores(table(spark, sf_dir, "documents"))
+def _means(scores: DataFrame) -> DataFrame:
     return scores.select("doc_id", "n_words", "n_backoffs", F.round(F.col("log_score") / F.col("n_words"), 6).alias("mean_log_score"))
 
 
+def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _means(backoff_scores(table(spark, sf_dir, "documents")))
+
+
+def op6_trigram_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with trigrams; ``ORACLE_SQL`` is the bigram model's."""
+    return _means(backoff_scores(table(spark, sf_dir, "documents"), 3))
+
+
 ORACLE_SQL = f"""
 with docs as (
   select doc_id, row_number() over () as r,
