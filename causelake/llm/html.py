@@ -5,6 +5,9 @@ A tolerant tokenizer feeds a tree builder that supplies what authors leave out:
 renderer then emits all visible text: what style, ``hidden`` or the element itself makes invisible
 is left out, blocks stand on lines of their own with blank lines around paragraphs and headings,
 list items carry their marks, preformatted text keeps its blanks, and table cells are aligned.
+What stands in a table outside its cells goes before the table, as in browsers.  Of SVG the labels are
+shown, each on its own line, and of MathML the tokens, with blanks between the parts of fractions,
+scripts and matrices; text that an SVG only refers to by ``use`` is not.
 
 Defined cases: null and empty pages have the empty text; repeated rows are kept; unclosed, stray
 and crossing tags never fail; deep nesting is walked without recursion; other columns are ignored.
@@ -28,7 +31,7 @@ from causelake.llm.common import lean, table, text_slices
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title plaintext".split())
 NEVER_SHOWN = frozenset(
-    "head title script style template noscript iframe object embed applet audio video canvas svg math datalist noembed noframes param source track meta link base".split()
+    "head title script style template noscript iframe object embed applet audio video canvas datalist noembed noframes param source track meta link base annotation annotation-xml".split()
 )
 BLOCK = frozenset(
     "html body address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -53,6 +56,20 @@ ENDS = {
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
 }
+ENDS["caption"] = ENDS["colgroup"] = ENDS["tbody"]
+#: Only these stand in tables, sections and rows themselves.
+CONTEXT = frozenset({"table", "tbody", "thead", "tfoot", "tr"})
+CELLS = frozenset({"td", "th", "caption"})
+TABLE_PARTS = CONTEXT | CELLS | {"colgroup", "col"}
+#: Embedded languages, where their text is HTML's again, tags that end them, and parts of SVG that are only referred to.
+FOREIGN = frozenset({"svg", "math"})
+AGAIN_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong "
+    "strike sub sup table tt u ul var".split()
+)
+SVG_STORE = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+MATH_PARTS = frozenset("mfrac msup msub msubsup mroot munder mover munderover mmultiscripts mtr mlabeledtr mtable".split())
 #: End tags do not reach beyond these.
 WALLS = frozenset({"table", "td", "th", "caption", "html", "body"})
 
@@ -80,6 +97,7 @@ class TreeBuilder:
         self.open = [self.root, self.head]
         self.in_body = False
         self.count: Counter[str] = Counter()  # of the open elements below head or body
+        self.homes: dict[int, Node] = {}  # parents of tables
 
     def _cut(self, i: int) -> None:
         """Closes the open elements from number ``i`` on."""
@@ -105,6 +123,38 @@ class TreeBuilder:
         if last is not None:
             self._cut(last)
 
+    def _in_table(self) -> int | None:
+        """Number of the open table, section or row that is not yet left for a cell."""
+        if self.count["table"]:
+            for i in range(len(self.open) - 1, 1, -1):
+                if self.open[i].name in CELLS:
+                    return None
+                if self.open[i].name in CONTEXT:
+                    return i
+        return None
+
+    def foreign(self) -> bool:
+        """Whether the next start tag belongs to SVG or MathML."""
+        if self.count["svg"] or self.count["math"]:
+            for n in reversed(self.open):
+                if n.name in FOREIGN:
+                    return True
+                if n.name in AGAIN_HTML:
+                    return False
+        return False
+
+    def _place(self, item: Node | str) -> None:
+        """Appends to the open element; what may not stand in a table itself goes before the table."""
+        if self.open[-1].name == "colgroup" and not (isinstance(item, Node) and item.name == "col") and (isinstance(item, Node) or item.strip()):
+            self._cut(len(self.open) - 1)
+        if self.open[-1].name in CONTEXT and self.count["table"] and (item.name not in TABLE_PARTS if isinstance(item, Node) else item.strip()):
+            table = next(n for n in reversed(self.open) if n.name == "table")
+            self.homes[id(table)].children.insert(-1, item)  # an open table is its parent's last child
+            return
+        if isinstance(item, Node) and item.name == "table":
+            self.homes[id(item)] = self.open[-1]
+        self.open[-1].children.append(item)
+
     def start(self, name: str, attributes: dict[str, str], self_closing: bool) -> None:
         if name in ("html", "body", "head"):
             node = {"html": self.root, "body": self.body, "head": self.head}[name]
@@ -115,6 +165,22 @@ class TreeBuilder:
             return
         if not self.in_body and name not in HEAD_ONLY:
             self._into_body()
+        foreign = self.foreign()
+        if foreign and name in ENDS_FOREIGN:
+            self._cut(next(i for i in range(len(self.open) - 1, 1, -1) if self.open[i].name in FOREIGN))
+            foreign = False
+        if foreign:
+            self._push(Node(name, attributes))
+            if self_closing:
+                self._cut(len(self.open) - 1)
+            return
+        at = self._in_table() if name in TABLE_PARTS or name == "form" else None
+        if at is not None:
+            if name == "form":  # holds nothing in a table
+                return
+            self._cut(at + 1)
+            if name == "table":
+                self._cut(next(i for i in range(at, 1, -1) if self.open[i].name == "table"))
         if name in CLOSES_P and self.count["p"]:
             for i in range(len(self.open) - 1, 1, -1):
                 if self.open[i].name == "p":
@@ -139,7 +205,7 @@ class TreeBuilder:
             self._cut(len(self.open) - 1)
 
     def _push(self, node: Node) -> None:
-        self.open[-1].children.append(node)
+        self._place(node)
         self.open.append(node)
         self.count[node.name] += 1
 
@@ -170,7 +236,7 @@ class TreeBuilder:
             if not data.strip():
                 return
             self._into_body()
-        self.open[-1].children.append(data)
+        self._place(data)
 
 
 def parse(page: str) -> Node:
@@ -195,8 +261,10 @@ def parse(page: str) -> Node:
         if m.group(5):
             for a in ATTRIBUTE.finditer(m.group(5)):
                 attributes.setdefault(a.group(1).lower(), html.unescape(a.group(2) or a.group(3) or a.group(4) or ""))
-        builder.start(name, attributes, m.group(0).endswith("/>"))
-        if name in RAW:
+        closed = m.group(0).endswith("/>")
+        empty = closed and name not in ENDS_FOREIGN and builder.foreign()
+        builder.start(name, attributes, closed)
+        if name in RAW and not empty:
             close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at) if name != "plaintext" else None
             data = page[at : close.start() if close else n]
             if data:
@@ -307,9 +375,6 @@ def render_table(node: Node, depth: int) -> list[str]:
     out: list[str] = []
     grid: list[list[tuple[int, int, list[str]]]] = []  # rows of (column, span, lines)
     taken: dict[int, int] = {}
-    loose = [c for c in node.children if not isinstance(c, Node) and c.strip()]
-    if loose:
-        out += [BLANKS.sub(" ", c).strip() for c in loose]
     for kind, item in _rows(node):
         if kind == "caption":
             out += render(item, depth + 1)
@@ -349,6 +414,22 @@ def render_table(node: Node, depth: int) -> list[str]:
     return out
 
 
+def labels(svg: Node) -> list[Node]:
+    """The texts and embedded HTML of a drawing as blocks."""
+    out, stack = [], svg.children[::-1]
+    while stack:
+        node = stack.pop()
+        if not isinstance(node, Node) or node.name in SVG_STORE or not visible(node):
+            continue
+        if node.attributes.get("display") == "none" or node.attributes.get("visibility") in ("hidden", "collapse"):
+            continue
+        if node.name in ("text", "foreignobject"):
+            out.append(Node("div", {}, [node]))
+        else:
+            stack += node.children[::-1]
+    return out
+
+
 MOST_DEPTH = 60
 
 
@@ -426,7 +507,9 @@ def render(root: Node, depth: int = 0) -> list[str]:
             out.prefixes.append("    " if name == "dd" else "> ")
         inner = pre or name in PREFORMATTED or bool(PRE_STYLE.search(node.attributes.get("style", "")))
         stack.append((node, True, pre, None))
-        children = node.children
+        children = labels(node) if name == "svg" else node.children
+        if name in MATH_PARTS:
+            children = [x for c in children for x in (c, " ")][:-1]
         if name in PREFORMATTED and children and isinstance(children[0], str) and children[0].startswith("\n"):
             children = [children[0][1:], *children[1:]]
         stack += [(c, False, inner, None) for c in reversed(children)]

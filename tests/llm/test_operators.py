@@ -315,6 +315,26 @@ def test_pages(page, want):
     assert got.strip("\n") == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<table><form action=x><tr><td>a<td>b</form></table>z", "a  b\n\nz"),
+        ("<table><center><tr><td>a</center></table>", "a"),
+        ("<table><tbody><p>para</p><tr><td>a</table>", "para\n\na"),
+        ("<table><a href=x>link</a><tr><td>a</td></tr>after</table>end", "linkafter\n\na\n\nend"),
+        ("<table><tr>in row<td>a</td>more</tr></table>", "in rowmore\n\na"),
+        ("<table><tr><td>a</td></tr><caption>c</caption><colgroup>x</table>", "x\n\nc\na"),
+        ("<table><tr><td><table><tr>deep<td>b</table></table>", "deep\n\nb"),
+        ("<table>one<table><tr><td>two</table>", "one\n\ntwo"),
+        ("<svg><defs><text>no</text></defs><title/>no<g><text x=1>A<tspan>B</tspan></text><text>C</text></g></svg>end", "AB\nC\nend"),
+        ("<svg><path d=1><p>after", "after"),
+        ("v <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math> w", "v x=1 2 w"),
+    ],
+)
+def test_text_outside_cells_and_drawings_is_kept(page, want):
+    assert html.page_text(page).strip("\n") == want
+
+
 def test_odd_pages_do_not_fail():
     for page in ("<div>" * 20_000 + "x", "<b " * 5000, "<table>" * 200 + "x", "<!--" * 2000, "<a href='" * 500, "<p" + " a=1" * 5000, "&#99999999;", "<plaintext>a<b>"):
         html.page_text(page)
