@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from itertools import combinations, permutations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from causelake.errors import GraphError, Unsupported
 from causelake.graphs.dag import Dag, Mixed
 from causelake.operators.ci import Covariance
 from causelake.operators.reduce import Gram, gram, lag_frame, solve
+from causelake.schema import complete_cases
 
 Test = Callable[[str, str, Sequence[str]], tuple[float, float]]
 
@@ -337,40 +339,51 @@ def notears(g: Gram, penalty: float = 0.05, threshold: float = 0.3, rounds: int
     return {(names[i], names[j]): float(w[i, j]) for i in range(p) for j in range(p) if abs(w[i, j]) >= threshold}
 
 
-def direct_lingam(df: DataFrame, names: Sequence[str], key: str, most: int = 20_000, threshold: float = 0.05) -> tuple[list[str], dict[tuple[str, str], float]]:
-    """Causal order by residual independence (a kernel-free entropy measure), arrows pruned by OLS.
+def _entropies(rows: DataFrame, names: Sequence[str], directions: np.ndarray) -> np.ndarray:
+    """Approximate entropy of each standardised direction of the columns, from two means over all rows."""
 
-    The order needs whole residual vectors: ``most`` rows of least key hash, a stated subsample.
-    Arrow weights come from all rows' Gram.
-    """
-    x = df.select(*names, key).orderBy(F.xxhash64(key)).limit(most).toPandas()[list(names)].to_numpy(float)
-    x = (x - x.mean(0)) / x.std(0)
+    def sums(batches):
+        total, n = np.zeros((2, len(directions))), 0
+        for batch in batches:
+            x = batch.to_numpy(float)
+            size = max(1, 2_000_000 // len(directions))
+            for i in range(0, len(x), size):
+                u = x[i : i + size] @ directions.T
+                total += (np.logaddexp(u, -u) - math.log(2)).sum(0), (u * np.exp(-u * u / 2)).sum(0)
+            n += len(x)
+        yield pd.DataFrame({"i": np.arange(len(directions)), "a": total[0], "b": total[1], "n": n})
 
-    def entropy(u: np.ndarray) -> float:
-        return (1 + math.log(2 * math.pi)) / 2 - 79.047 * (np.mean(np.log(np.cosh(u))) - 0.37457) ** 2 - 7.4129 * np.mean(u * np.exp(-u * u / 2)) ** 2
+    got = rows.mapInPandas(sums, "i int, a double, b double, n long").groupBy("i").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("n").alias("n")).toPandas().sort_values("i")
+    a, b = (got["a"] / got["n"]).to_numpy(), (got["b"] / got["n"]).to_numpy()
+    return (1 + math.log(2 * math.pi)) / 2 - 79.047 * (a - 0.37457) ** 2 - 7.4129 * b**2
 
-    left, order = list(range(len(names))), []
-    while left:
-        if len(left) == 1:
-            order += left
-            break
-        scores = []
-        for i in left:
-            total = 0.0
+
+def direct_lingam(df: DataFrame, names: Sequence[str], key: str, threshold: float = 0.05) -> tuple[list[str], dict[tuple[str, str], float]]:
+    """Causal order by residual independence (a kernel-free entropy measure), arrows pruned by OLS.
+
+    Residuals are directions of the columns, known from the Gram; a step of the order is one aggregate over all
+    rows for the entropies of all pairs' residuals.  ``key`` is not needed for that.
+    """
+    rows = complete_cases(df, list(names)).select(*[F.col(n).cast("double").alias(n) for n in names]).persist()
+    try:
+        means = np.array(rows.agg(*[F.avg(n) for n in names]).first())
+        centred = rows.select(*[(F.col(n) - float(m)).alias(n) for n, m in zip(names, means)])
+        c = gram(centred, list(names)).covariance(list(names))
+        w = np.diag(1 / np.sqrt(np.diag(c)))  # the variables that are left, as directions
+        left, order = list(range(len(names))), []
+        while len(left) > 1:
+            pairs = [(i, j) for i in left for j in left if i != j]
+            r = {(i, j): w[i] - (w[i] @ c @ w[j]) * w[j] for i, j in pairs}
+            d = np.array([w[i] for i in left] + [r[p] / math.sqrt(r[p] @ c @ r[p]) for p in pairs])
+            h = dict(zip([*left, *pairs], _entropies(centred, names, d)))
+            root = min(left, key=lambda i: sum(min(0.0, h[j] + h[i, j] - h[i] - h[j, i]) ** 2 for j in left if j != i))
+            order.append(root)
+            left.remove(root)
             for j in left:
-                if i == j:
-                    continue
-                c = float(np.mean(x[:, i] * x[:, j]))
-                rij, rji = x[:, i] - c * x[:, j], x[:, j] - c * x[:, i]
-                diff = entropy(x[:, j]) + entropy(rij / rij.std()) - entropy(x[:, i]) - entropy(rji / rji.std())
-                total += min(0.0, diff) ** 2
-            scores.append(total)
-        root = left[int(np.argmin(scores))]
-        order.append(root)
-        left.remove(root)
-        for j in left:
-            r = x[:, j] - np.mean(x[:, root] * x[:, j]) * x[:, root]
-            x[:, j] = (r - r.mean()) / r.std()
+                w[j] = r[j, root] / math.sqrt(r[j, root] @ c @ r[j, root])
+        order += left
+    finally:
+        rows.unpersist()
     ordered = [names[i] for i in order]
     g = gram(df, list(names))
     arrows = {}

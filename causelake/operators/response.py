@@ -439,14 +439,15 @@ def regime_split(df: DataFrame, column: str) -> DataFrame:
     return df.join(F.broadcast(mid)).withColumn("regime", (F.col(column) > F.col("__m")).cast("int")).drop("__m")
 
 
-def custom_test(df: DataFrame, queries: Sequence[tuple[str, str, Sequence[str]]], test, key: str, most: int = 10_000) -> DataFrame:
-    """A caller's test (arrays x, y, z -> statistic, p) on a stated subsample, one group per query."""
-    rows, parts = df.orderBy(F.xxhash64(key)).limit(most), None
+def custom_test(df: DataFrame, queries: Sequence[tuple[str, str, Sequence[str]]], test, key: str) -> DataFrame:
+    """A caller's test (arrays x, y, z -> statistic, p) on all rows in the order of their key's hash, one group per query."""
+    rows, parts = df.withColumn("__h", F.xxhash64(key)), None
     for i, (x, y, z) in enumerate(queries):
-        p = rows.select(F.lit(i).alias("query"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.array(*[F.col(c).cast("double") for c in z]).cast("array<double>").alias("z"))
+        p = rows.select(F.lit(i).alias("query"), "__h", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.array(*[F.col(c).cast("double") for c in z]).cast("array<double>").alias("z"))
         parts = p if parts is None else parts.unionByName(p)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["__h", "x", "y"])
         s, p = test(g["x"].to_numpy(), g["y"].to_numpy(), np.array(g["z"].tolist()))
         return pd.DataFrame({"query": [g["query"].iloc[0]], "statistic": [float(s)], "p": [float(p)]})
 

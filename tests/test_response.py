@@ -85,3 +85,20 @@ def test_mmd_reads_all_rows(spark, monkeypatch):
     assert both["n"] == n and both["statistic"] == pytest.approx(brute(["v", "u"], 100), rel=1e-9)
     monkeypatch.setattr(rs, "MOST_WAVES", 0)  # one column by pairs gives the same, permutations apart
     assert rs.mmd(rows, ["v"], "g", "k", 19, 100).first()["statistic"] == pytest.approx(got["statistic"], rel=1e-9)
+
+
+def test_dependence_reads_all_rows(spark):
+    from causelake.operators.ci import knn_independence
+    from causelake.operators.discovery import direct_lingam
+
+    n = 60_000
+    least = spark.range(n).select("id", F.xxhash64("id").alias("h")).orderBy("h").limit(20_000).withColumn("first", F.lit(True))
+    u, v = (tf.uniform(7, s, "id") - 0.5 for s in "uv")
+    rows = spark.range(n).join(least, "id", "left")
+    # among the 20,000 rows of least hash b drives a weakly; over all rows a drives b
+    rows = rows.select(F.col("id").alias("k"), F.when(F.col("first"), u + 0.8 * v).otherwise(2 * u).alias("a"), F.when(F.col("first"), v).otherwise(1.6 * u + 2 * v).alias("b")).persist()
+    assert direct_lingam(rows, ["a", "b"], "k")[0] == ["a", "b"]
+    assert direct_lingam(rows.join(least.withColumnRenamed("id", "k"), "k"), ["a", "b"], "k")[0] == ["b", "a"]
+    assert knn_independence(rows, [("a", "b")], "k", permutations=3).first()["n"] == n
+    seen = rs.custom_test(rows, [("a", "b", ["k"])], lambda x, y, z: (len(x) + len(z), 0.0), "k").first()
+    assert seen["statistic"] == 2 * n
