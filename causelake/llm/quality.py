@@ -29,7 +29,7 @@ from causelake.llm.labelled import fold, labelled_sample
 PER_CLASS = 4000
 MAX_CHARS = 20_000
 DICTIONARY_BYTES = 112_640
-#: Bytes that one sampled text gives to a dictionary, so that no long one fills it.
+#: Bytes of the pieces in which whole sampled texts are given to the dictionaries.
 SAMPLE_BYTES = 2000
 LEVEL = 3
 
@@ -89,7 +89,7 @@ def fit(rows: list[tuple[str, int]], sizes: dict[int, int]) -> CompressionModel:
         total = sum(sizes.values())
         share = min(max(sizes.get(1, 0) / total, 1e-6), 1 - 1e-6) if total else 0.5
         return CompressionModel(b"", b"", 0.0, math.log(share / (1 - share)))
-    good, bad = ([t[:SAMPLE_BYTES] for i, t in enumerate(by_class[y]) if i % 4 != 1] for y in (1, 0))
+    good, bad = ([t[at : at + SAMPLE_BYTES] for i, t in enumerate(by_class[y]) if i % 4 != 1 for at in range(0, len(t), SAMPLE_BYTES)] for y in (1, 0))
     model = CompressionModel(_dictionary(good), _dictionary(bad), 0.0, 0.0)
     held = {y: by_class[y][1::4] for y in (0, 1)}
     x = np.concatenate([model.differences(held[y]) for y in (0, 1)])

@@ -345,6 +345,15 @@ def test_extraction_keeps_rows(spark):
     assert sorted(str(r["text"]) for r in html.extract_text(p).collect()) == ["", "a", "a"]
 
 
+def test_dictionaries_see_whole_texts():
+    rng = random.Random(3)
+    head = " ".join(sample(rng, 900))[:3000]  # the same in all texts
+    tails = {y: [f"{y}word{i}" for i in range(50)] for y in (0, 1)}
+    rows = [(head + " ".join(rng.choice(tails[y]) for _ in range(300)), y) for y in (0, 1) for _ in range(60)]
+    model = quality.fit(rows, {0: 60, 1: 60})
+    assert b"1word" in model.good and b"0word" in model.bad
+
+
 def test_trigram_query_sees_two_words_back(spark, docs, tmp_path):
     from causelake.llm import registry
 
