@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one Python step holds at once (a longer single text is held alone).
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 1_000_000
 
 
 #: Bytes of an Arrow batch that travels to a Python worker; Spark's default of 64 MB is held several times over.

@@ -5,7 +5,8 @@ with each; the difference of the sizes over the text's length says which side it
 logistic curve, fitted on labelled texts that neither dictionary has seen, makes it a score.
 
 Defined cases: null and empty texts score as a difference of zero; repeated rows score alike;
-texts are compressed whole whatever their length; without labelled rows of both classes every
+texts are compressed and learned whole whatever their length, one at a time; an id with several labels counts
+with the greater one, of equal scores none comes first; without labelled rows of both classes every
 score is the share of label 1 (0.5 without any); other columns are ignored; an empty table gives
 an empty result.
 """
@@ -25,9 +26,8 @@ from pyspark.sql import functions as F
 from causelake.llm.common import doc_texts, lean, table, text_slices
 from causelake.llm.labelled import fold, labelled_sample
 
-#: Bounds of the fitted sample: labelled ids of each class, and characters of a sampled text.
+#: Bound of the fitted sample: labelled ids of each class; their texts are taken whole.
 PER_CLASS = 4000
-MAX_CHARS = 20_000
 DICTIONARY_BYTES = 112_640
 #: Bytes of the pieces in which whole sampled texts are given to the dictionaries.
 SAMPLE_BYTES = 2000
@@ -114,7 +114,7 @@ def quality_scores(documents: DataFrame, model: CompressionModel) -> DataFrame:
 
 def op4_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rows, sizes = labelled_sample(documents, labels, "quality", fold(4) != 2, PER_CLASS, MAX_CHARS)
+    rows, sizes = labelled_sample(documents, labels, "quality", fold(4) != 2, PER_CLASS)
     return quality_scores(documents, fit(rows, sizes)).select(
         "doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
     )

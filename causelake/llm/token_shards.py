@@ -1,11 +1,14 @@
 """Token-id output: one compressed wavelet matrix per shard.
 
-A shard file (``WMX1``) is self-contained: a header, the documents' ids and token offsets, and
-one zstandard frame for each bit-plane.  Planes are stable partitions by bit from the highest
-bit down, so ``rank`` on the planes answers token access, token counts in any range and the
-places where a token occurs without expanding the shard.  Shards travel as a binary column of
+A shard file (``WMX2``) is self-contained: a header, the documents' ids and token offsets, a rank
+directory, and the bit-planes in chunks of 65,536 bits, a zstandard frame each.  Planes are stable
+partitions by bit from the highest bit down, so ``rank`` on the planes answers token access, token
+counts in any range and the places where a token occurs without expanding the shard: the directory
+says how many ones stand before each chunk, so a rank decompresses one chunk of 8 KB.  Shards travel as a binary column of
 a Parquet table: any store that Spark can write works, and the commit of the table is atomic
 when executors are lost.
+
+Texts of any length are encoded whole; a document longer than a shard has a shard of its own.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ from pyspark.sql import functions as F
 from causelake.llm.common import doc_texts, lean, materialise, table, text_slices
 from causelake.llm.wordmemo import encode_dropping_space, space_free_memo
 
-MAGIC = b"WMX1"
+MAGIC = b"WMX2"
 HEADER = struct.Struct("<4sIQQQ")  # magic, bit-planes, tokens, documents, bytes of the documents' frame
-PLANE = struct.Struct("<QQ")  # zeros in the plane, bytes of its frame
+DIRECTORY = struct.Struct("<Q")  # bytes of the frame of the rank directory
 #: Tokens after which a shard closes (a longer document has a shard of its own).
 SHARD_TOKENS = 1 << 20
 WORDS = 64  # bits in a rank block
+CHUNK = 1 << 16  # bits in a frame of a plane
+CHUNK_WORDS = CHUNK // WORDS
 
 SHARD_SCHEMA = "part int, chunk int, start_in_part long, n_docs long, n_tokens long, shard binary"
 
@@ -41,40 +46,51 @@ def build_shard(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray, le
     bits = max(1, int(ids.max()).bit_length()) if n else 1
     cur = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     pack = zstandard.ZstdCompressor(level=level).compress
-    planes = []
-    for b in range(bits - 1, -1, -1):
+    chunks = -(-n // CHUNK)
+    frames, ranks = [], np.zeros((bits, chunks + 1), "<u8")  # ones before each chunk
+    for p, b in enumerate(range(bits - 1, -1, -1)):
         ones = (cur & cur.dtype.type(1 << b)) != 0
-        frame = pack(np.packbits(ones, bitorder="little").tobytes())
-        low = np.compress(~ones, cur)
-        planes.append((len(low), frame))
-        cur = np.concatenate((low, np.compress(ones, cur)))
+        raw = np.zeros(chunks * CHUNK // 8, np.uint8)
+        raw[: -(-n // 8)] = np.packbits(ones, bitorder="little")
+        ranks[p, 1:] = np.cumsum(np.bitwise_count(raw.view(np.uint64)).reshape(chunks, CHUNK_WORDS).sum(1, dtype=np.uint64))
+        view = memoryview(raw)
+        frames += [pack(view[i : i + CHUNK // 8]) for i in range(0, len(raw), CHUNK // 8)]
+        cur = np.concatenate((np.compress(~ones, cur), np.compress(ones, cur)))
     known = np.array([d is not None for d in doc_ids], np.uint8)
     docs = pack(
         np.diff(np.array([0 if d is None else d for d in doc_ids], "<i8"), prepend=0).astype("<i8").tobytes()
         + np.diff(ends, prepend=0).astype("<i8").tobytes()
         + known.tobytes()
     )
-    head = HEADER.pack(MAGIC, bits, n, len(doc_ids), len(docs)) + b"".join(PLANE.pack(z, len(f)) for z, f in planes)
-    return b"".join((head, docs, *(f for _, f in planes)))
+    sizes = np.fromiter(map(len, frames), "<u4", len(frames))
+    directory = pack(ranks.tobytes() + sizes.tobytes())
+    head = HEADER.pack(MAGIC, bits, n, len(doc_ids), len(docs)) + DIRECTORY.pack(len(directory))
+    return b"".join((head, docs, directory, *frames))
 
 
 class WaveletMatrix:
-    """Reads a shard; planes are decompressed when first asked for."""
+    """Reads a shard; chunks of planes are decompressed when first asked for."""
 
     def __init__(self, shard: bytes):
         magic, self.bits, self.n, self.n_docs, held = HEADER.unpack_from(shard)
         if magic != MAGIC:
             raise ValueError("not a token shard")
         at = HEADER.size
-        sizes = [PLANE.unpack_from(shard, at + i * PLANE.size) for i in range(self.bits)]
-        self._zeros = [z for z, _ in sizes]
-        at += self.bits * PLANE.size
+        (size,) = DIRECTORY.unpack_from(shard, at)
+        at += DIRECTORY.size
         self._docs, at = shard[at : at + held], at + held
-        self._frames = []
-        for _, size in sizes:
-            self._frames.append(shard[at : at + size])
-            at += size
-        self._words: list[tuple[np.ndarray, np.ndarray] | None] = [None] * self.bits
+        self._chunks = -(-self.n // CHUNK)
+        raw, k = zstandard.ZstdDecompressor().decompress(shard[at : at + size]), 8 * self.bits * (self._chunks + 1)
+        self._ranks = np.frombuffer(raw[:k], "<u8").reshape(self.bits, -1).astype(np.int64)
+        ends = at + size + np.cumsum(np.frombuffer(raw[k:], "<u4"), dtype=np.int64)
+        self._ends = np.concatenate(([at + size], ends)).reshape(-1)
+        self._shard = shard
+        self._zeros = (self.n - self._ranks[:, -1]).tolist()
+        # filled chunk by chunk: words of the planes, and ones before each word
+        self._words = np.zeros((self.bits, self._chunks * CHUNK_WORDS + 1), np.uint64)
+        self._before = np.zeros(self._words.shape, np.int64)
+        self._before[:, -1] = self._ranks[:, -1]
+        self.loaded = np.zeros((self.bits, self._chunks), bool)
 
     @cached_property
     def _doc_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,24 +110,26 @@ class WaveletMatrix:
     def doc_ends(self) -> np.ndarray:
         return self._doc_table[1]
 
-    def _packed(self, plane: int) -> np.ndarray:
-        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self._frames[plane]), np.uint8)
-
-    def _ranked(self, plane: int) -> tuple[np.ndarray, np.ndarray]:
-        if self._words[plane] is None:
-            raw = self._packed(plane)
-            words = np.zeros(self.n // WORDS + 1, np.uint64)
-            words.view(np.uint8)[: len(raw)] = raw
-            before = np.concatenate(([0], np.cumsum(np.bitwise_count(words).astype(np.int64))))
-            self._words[plane] = words, before
-        return self._words[plane]
+    def _load(self, plane: int, chunks: np.ndarray) -> None:
+        """Decompresses the chunks of a plane that are not yet there."""
+        for c in chunks[~self.loaded[plane, chunks]].tolist():
+            k = plane * self._chunks + c
+            raw = zstandard.ZstdDecompressor().decompress(self._shard[self._ends[k] : self._ends[k + 1]])
+            here = slice(c * CHUNK_WORDS, (c + 1) * CHUNK_WORDS)
+            words = self._words[plane, here]
+            words[:] = np.frombuffer(raw, np.uint64)
+            ones = np.cumsum(np.bitwise_count(words), dtype=np.int64)
+            self._before[plane, here.start] = self._ranks[plane, c]
+            self._before[plane, here.start + 1 : here.stop] = self._ranks[plane, c] + ones[:-1]
+            self.loaded[plane, c] = True
 
     def _rank1(self, plane: int, i: np.ndarray) -> np.ndarray:
         """Ones among the first ``i`` bits."""
-        words, before = self._ranked(plane)
         w, r = i // WORDS, (i % WORDS).astype(np.uint64)
+        chunks = np.unique(w // CHUNK_WORDS)
+        self._load(plane, chunks[chunks < self._chunks])
         mask = (np.uint64(1) << r) - np.uint64(1)
-        return before[w] + np.bitwise_count(words[w] & mask).astype(np.int64)
+        return self._before[plane, w] + np.bitwise_count(self._words[plane, w] & mask).astype(np.int64)
 
     def access(self, positions) -> np.ndarray:
         """Tokens at positions."""
@@ -126,18 +144,23 @@ class WaveletMatrix:
             i = np.where(bit == 1, self._zeros[p] + ones, i - ones)
         return out
 
-    def _range(self, token: int, begin: int, end: int) -> tuple[int, int]:
-        if token >> self.bits:
-            return 0, 0
+    def _range(self, token: int, begin, end) -> np.ndarray:
+        """Where the occurrences of a token in ranges begin and end on the last plane."""
         ends = np.array([begin, end], np.int64)
+        if token >> self.bits:
+            return np.zeros_like(ends)
         for p in range(self.bits):
             ones = self._rank1(p, ends)
             ends = self._zeros[p] + ones if token >> (self.bits - 1 - p) & 1 else ends - ones
-        return int(ends[0]), int(ends[1])
+        return ends
 
     def count(self, token: int, begin: int = 0, end: int | None = None) -> int:
         """How often a token occurs in ``[begin, end)``."""
-        a, b = self._range(token, begin, self.n if end is None else end)
+        return int(self.counts(token, begin, self.n if end is None else end))
+
+    def counts(self, token: int, begin, end) -> np.ndarray:
+        """The same for many ranges at once."""
+        a, b = self._range(token, begin, end)
         return b - a
 
     def _select(self, plane: int, bit: int, k: np.ndarray) -> np.ndarray:
@@ -152,7 +175,7 @@ class WaveletMatrix:
 
     def occurrences(self, token: int, begin: int = 0, end: int | None = None) -> np.ndarray:
         """Ascending positions of a token in ``[begin, end)``."""
-        a, b = self._range(token, begin, self.n if end is None else end)
+        a, b = self._range(token, begin, self.n if end is None else end).tolist()
         at = np.arange(a, b, dtype=np.int64)
         for p in range(self.bits - 1, -1, -1):
             bit = token >> (self.bits - 1 - p) & 1
@@ -164,7 +187,8 @@ class WaveletMatrix:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         values = np.zeros(self.n, kind)
         for p in range(self.bits - 1, -1, -1):
-            ones = np.unpackbits(self._packed(p), count=self.n, bitorder="little").view(bool)
+            self._load(p, np.arange(self._chunks))
+            ones = np.unpackbits(self._words[p].view(np.uint8), count=self.n, bitorder="little").view(bool)
             z, out = self._zeros[p], np.empty(self.n, kind)
             out[np.flatnonzero(~ones)] = values[:z]
             out[np.flatnonzero(ones)] = values[z:] | kind(1 << (self.bits - 1 - p))
@@ -217,10 +241,10 @@ def write_shards(documents: DataFrame, tokenizer_json: str, end_id: int = 1, sha
     return ordered.mapInArrow(lean(shards), SHARD_SCHEMA)
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """Per document of written shards: ``doc_id, start, n_tokens, ids_crc32``.
+def read_shards(shards: DataFrame, end_id: int = 1) -> DataFrame:
+    """Per document of written shards: ``doc_id, start, n_tokens, ids_crc32, last_id, n_end_ids``.
 
-    Where each range partition starts is a running sum over one row a partition (their
+    The last id is looked up and the end ids are counted by ranks on the planes.  Where each range partition starts is a running sum over one row a partition (their
     number is the shuffle's, not the data's), which is what is broadcast.
     """
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -235,13 +259,11 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 ends = shard.doc_ends
                 starts = np.concatenate(([0], ends[:-1]))
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.doc_ids, pa.int64()), pa.array(starts + base + inside, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                values = [shard.doc_ids, starts + base + inside, ends - starts, crc, shard.access(ends - 1), shard.counts(end_id, starts, ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values], ["doc_id", "start", "n_tokens", "ids_crc32", "last_id", "n_end_ids"])
 
     placed = shards.join(F.broadcast(bases), "part").select("base", "start_in_part", "shard")
-    return placed.mapInArrow(lean(documents), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(lean(documents), "doc_id long, start long, n_tokens long, ids_crc32 long, last_id long, n_end_ids long")
 
 
 def op2_token_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:

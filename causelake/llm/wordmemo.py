@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import string
+import sys
+import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain, repeat
@@ -14,14 +16,16 @@ import pyarrow.compute as pc
 
 from causelake.llm.common import flat_take
 
-#: Words one worker remembers; the memo starts anew beyond it, results do not depend on it.
-MEMO_WORDS = 700_000
+#: Bytes (estimated) that one memo remembers; it starts anew beyond them, results do not depend on it.
+MEMO_BYTES = 100 << 20
+#: Estimated bytes of a remembered word beside its letters and ids.
+WORD_BYTES = 120
 
 
 class WordMemo:
     """``encode_new(list of distinct words) -> (ids on end, how many each has)`` behind a bounded memo."""
 
-    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = MEMO_WORDS):
+    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = MEMO_BYTES):
         self._encode_new, self._limit = encode_new, limit
         self._reset()
 
@@ -30,7 +34,7 @@ class WordMemo:
         self._flat = np.zeros(1 << 16, np.int32)
         self._starts = np.zeros(1 << 14, np.int64)
         self._counts = np.zeros(1 << 14, np.int32)
-        self._used = 0
+        self._used = self._letters = 0
 
     def _room(self, words: int, ids: int) -> None:
         while self._used + ids > len(self._flat):
@@ -43,7 +47,7 @@ class WordMemo:
         """For distinct words: where each one's ids start in the store, how many they are, and the store."""
         which = np.fromiter(map(self._index.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(which < 0)
-        if len(self._index) + len(missing) > self._limit and self._index:
+        if self._index and WORD_BYTES * (len(self._index) + len(missing)) + 2 * self._letters + 4 * self._used > self._limit:
             self._reset()
             missing = np.arange(len(words))
         if len(missing):
@@ -55,6 +59,7 @@ class WordMemo:
             self._counts[at : at + len(new)] = counts
             self._starts[at : at + len(new)] = self._used + np.cumsum(counts) - counts
             self._used += len(flat)
+            self._letters += sum(map(len, new))
             which[missing] = np.arange(at, at + len(new))
             self._index.update(zip(new, range(at, at + len(new))))
         return self._starts[which], self._counts[which].astype(np.int64), self._flat
@@ -72,17 +77,27 @@ def library_tokenizer(spec: str):
     return tokenizer
 
 
+@lru_cache(maxsize=1)
+def unlike_letters() -> str:
+    """Pattern of the letters that normalising and lower-casing do not leave a run of letters.
+
+    Such a letter (a dotted capital I becomes i and a mark) may join the symbols behind it.
+    """
+    found = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower().isalpha()]
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in found) + "]"
+
+
 class LetterWords:
     """Encodes chunks for a tokenizer whose pre-tokens are runs of letters or of symbols.
 
-    A chunk of letters with ASCII symbols behind is its letters' ids and its symbols' ids on end,
-    so each distinct letter word meets the library once, many of them in one call.  Any other
+    A chunk of letters with ASCII symbols behind is its letters' ids and its symbols' ids on end
+    (if normalising leaves its letters letters), so each distinct letter word meets the library once, many of them in one call.  Any other
     chunk is encoded as it stands.
     """
 
     AT_ONCE = 500
 
-    def __init__(self, tokenizer, limit: int = MEMO_WORDS):
+    def __init__(self, tokenizer, limit: int = MEMO_BYTES):
         self._tokenizer = tokenizer
         self._letters = WordMemo(self._learn, limit)
         self._others = WordMemo(self._library, limit // 4)
@@ -114,6 +129,8 @@ class LetterWords:
         chunk = pa.array(chunks, pa.string())
         letters = pc.utf8_rtrim(chunk, string.punctuation)
         plain = pc.utf8_is_alpha(letters).to_numpy(zero_copy_only=False)
+        if not pc.all(pc.string_is_ascii(letters)).as_py():
+            plain &= ~pc.match_substring_regex(letters, unlike_letters()).to_numpy(zero_copy_only=False)
         cut = (pc.binary_length(chunk).to_numpy() - pc.binary_length(letters).to_numpy()).tolist()
         other = pa.array([c[len(c) - n :] if p else c for c, n, p in zip(chunks, cut, plain.tolist())], pa.string())
         a_start, a_count, a_store = self._look_up(self._letters, letters.filter(pa.array(plain)))
