@@ -136,3 +136,31 @@ def doc_texts(documents: DataFrame) -> DataFrame:
     """``doc_id, text`` with a null text as the empty one; further columns do not matter."""
     small_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with ``_`` behind it until no column of the others has it."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+#: Rows of one key beyond which it is dealt out, how many such keys are known, and most pieces of a key.
+HOT_ROWS = 500
+MOST_HOT = 1000
+MOST_PIECES = 1000
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, spread: str) -> DataFrame:
+    """Left join of many rows with a table that has one row a key; rows of a hot key go to several tasks.
+
+    The ``MOST_HOT`` most frequent keys (a bounded table, so broadcast) are cut into pieces by the number
+    in ``spread``, and the other side's rows repeated for each piece.  ``spread`` is dropped.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), key).limit(MOST_HOT)
+    hot = materialise(counts.select(F.col(key).alias("hot_key"), F.least(F.lit(MOST_PIECES), F.ceil(F.col("n") / HOT_ROWS)).cast("int").alias("pieces")), "hot-keys")
+    dealt = lambda df: df.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left").drop("hot_key")
+    own = dealt(rows).withColumn("piece", F.coalesce(F.expr(f"pmod({spread}, pieces)"), F.lit(0)).cast("int")).drop("pieces", spread)
+    other = dealt(side).withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
+    return own.join(other, [key, "piece"], "left").drop("piece")

@@ -1,27 +1,34 @@
 """Benchmark decontamination in DataFrame functions only.
 
 For each benchmark item, windows of documents as long as the item are fingerprinted by SimHash
-over their word shingles.  Fingerprints meet through a multi-index: 60 bits in ``RADIUS + 1``
-blocks, so two fingerprints at most ``RADIUS`` bits apart agree on a block at least.  Candidates
-are verified exactly: weighted Jaccard similarity of shingles, weights being their counts.
+over their word shingles.  Fingerprints meet through a multi-index of ``BLOCKS`` wide blocks: the
+radius is dealt out to the blocks so that two fingerprints within it are within a block's own small
+radius in one block at least; of the item every block value in that radius is a key, of the window
+its own.  Only keys and fingerprints are joined; the arrays of shingles come after the Hamming filter.
+Candidates are verified exactly: weighted Jaccard similarity of shingles, weights being their counts.
 
 Which windows need a fingerprint is decided without loss: a window as similar as asked for shares
-a shingle with the item, so only windows over a shared shingle are built.  Items are a bounded
-table (``MAX_ITEM_ROWS`` shingle rows, checked); its shingles are the only thing broadcast, and
-beyond the bound the same joins shuffle.
-
-Words are what stands between the blanks ``\\x20 \\x09-\\x0D``, ASCII-lower-cased.  Defined cases:
-null or empty texts and items match nothing; an item of fewer than five words is one shingle; a
-document shorter than an item is compared whole with it; repeated rows and null ids are kept;
-empty tables give an empty result; other columns are ignored.
+a shingle with the item, so only windows over a shared shingle are built.  What is broadcast has a
+bound that is checked (``MAX_ITEM_ROWS`` shingle rows, ``MAX_KEYS`` index rows); beyond it the same
+joins shuffle.  Documents with a shared shingle, and those found, are written first, so that their
+number is known when they are joined to the texts.
+
+Words are what stands between the blanks ``\\x20 \\x09-\\x0D``, lower-cased.  Defined cases: null or
+empty texts and items match nothing; an item of fewer than five words is one shingle; a document
+shorter than an item is compared whole with it; null ids are kept; findings name a document by its id
+and text, so repeated rows of both give one finding, and the filter keeps or drops all of them; of
+equally similar windows the first stands; texts of any length are read whole; empty tables give an
+empty result; other columns are ignored by the findings and kept by the filter.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causelake.llm.common import table
+from causelake.llm.common import free_name, materialise, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -30,7 +37,10 @@ BITS = 60
 #: Hamming radius of the search. A pair at the threshold is 9.1 bits apart on average with a
 #: standard deviation of 2.8, so 18 bits lose fewer than one in a thousand at the threshold.
 RADIUS = 18
+#: Blocks of the multi-index; with 5 a random pair meets in 0.31 keys on average, with ``RADIUS + 1`` in 2.2.
+BLOCKS = 5
 MAX_ITEM_ROWS = 2_000_000
+MAX_KEYS = 2_000_000
 
 BLANKS = " \t\n\x0b\x0c\r"
 NO_HASHES = "cast(array() as array<bigint>)"
@@ -65,17 +75,43 @@ def simhash(hashes: Column, longest: int) -> Column:
     return out
 
 
-def blocks(radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(shift, width) of ``radius + 1`` blocks that cover the fingerprint."""
-    edges = [i * BITS // (radius + 1) for i in range(radius + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def blocks(radius: int = RADIUS, count: int = BLOCKS) -> list[tuple[int, int, int]]:
+    """(shift, width, radius) of the blocks that cover the fingerprint.
+
+    The block radii and one each sum to ``radius + 1``: were each block over its own radius, the
+    fingerprints would be more than ``radius`` bits apart.
+    """
+    edges = [i * BITS // count for i in range(count + 1)]
+    shares = [(radius + 1) * (i + 1) // count - (radius + 1) * i // count for i in range(count)]
+    return [(a, b - a, max(share - 1, -1)) for a, b, share in zip(edges, edges[1:], shares)]
+
+
+def _block(fingerprint: Column, shift: int, width: int) -> Column:
+    return F.shiftrightunsigned(fingerprint, shift).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def window_keys(fingerprint: Column, radius: int) -> Column:
+    """``(block, key)`` of a fingerprint: its own value in each block."""
+    return F.array(*[F.struct(F.lit(i).alias("block"), _block(fingerprint, a, w).cast("int").alias("key")) for i, (a, w, r) in enumerate(blocks(radius)) if r >= 0])
 
 
-def _block_keys(fingerprint: Column, radius: int) -> Column:
-    return F.array(*[
-        F.shiftrightunsigned(fingerprint, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
-        for shift, width in blocks(radius)
-    ])
+def item_keys(fingerprint: Column, radius: int) -> Column:
+    """``(block, key)`` of all values within each block's radius of a fingerprint."""
+    each = []
+    for i, (shift, width, r) in enumerate(blocks(radius)):
+        if r >= 0:
+            near = F.filter(F.sequence(F.lit(0), F.lit((1 << width) - 1)), lambda m: F.bit_count(m) <= r)  # noqa: B023
+            own = _block(fingerprint, shift, width).cast("int")
+            each.append(F.transform(near, lambda m: F.struct(F.lit(i).alias("block"), own.bitwiseXOR(m).alias("key"))))  # noqa: B023
+    return F.concat(*each)
+
+
+def first_block(difference: Column, radius: int) -> Column:
+    """The first block in which two fingerprints (given their XOR) are within the block's radius."""
+    out = F.lit(None).cast("int")
+    for i, (shift, width, r) in reversed(list(enumerate(blocks(radius)))):
+        out = F.when(F.bit_count(_block(difference, shift, width)) <= r, F.lit(i)).otherwise(out)
+    return out
 
 
 def _numbered(hashes: Column) -> Column:
@@ -97,10 +133,13 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return F.when(union > 0, common / union).otherwise(F.lit(0.0))
 
 
-def _hits(documents: DataFrame, items: DataFrame, size: int, longest: int, bounded: bool, similarity: float, radius: int) -> DataFrame:
+def _hits(documents: DataFrame, items: DataFrame, size: int, longest: int, bounded: bool, few_keys: bool, similarity: float, radius: int) -> DataFrame:
     """The verified windows for the items that have shingles of ``size`` words."""
     held = F.broadcast if bounded else lambda df: df
-    docs = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"))
+    docs = documents.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("version"))
+    # the items with their fingerprints are a table of their own; a few rows are dealt to all cores
+    items = items.repartition(items.sparkSession.sparkContext.defaultParallelism, "item_id", F.xxhash64("item"))
+    items = materialise(items.select("item_id", "n", "item", simhash(F.col("item"), longest).alias("item_print")), "items")
     # outer: a plain explode has the optimiser test the array's size first, by computing it again
     grams = held(items.select(F.explode("item").alias("h"), "n").distinct())
     at_words = docs.withColumn("w", words(F.col("text"))).select("doc_id", "version", F.size("w").alias("n_doc"), F.posexplode_outer(shingles(F.col("w"), size)).alias("at", "h"))
@@ -112,25 +151,33 @@ def _hits(documents: DataFrame, items: DataFrame, size: int, longest: int, bound
         .select(F.col("doc_id").alias("seed_doc"), F.col("version").alias("seed_version"), F.struct("n", F.array_distinct(F.flatten(spans)).alias("starts")).alias("seed"))
         .groupBy("seed_doc", "seed_version").agg(F.collect_list("seed").alias("seeds"))
     )
+    seeds = materialise(seeds, "seeds")  # written, so that the join sees whether they are few
     same = F.col("doc_id").eqNullSafe(F.col("seed_doc")) & (F.col("version") == F.col("seed_version"))
     runs = docs.join(seeds, same).withColumn("w", words(F.col("text"))).select("doc_id", "version", shingles(F.col("w"), size).alias("s"), F.explode("seeds").alias("seed"))
     windows = runs.select("doc_id", "version", "s", F.col("seed.n").alias("n"), F.explode("seed.starts").alias("start")).select(
         "doc_id", "version", "n", "start", F.slice("s", F.col("start") + 1, F.col("n") - (size - 1)).alias("window")
     )
-    printed = windows.withColumn("print", simhash(F.col("window"), longest)).withColumn("keys", _block_keys(F.col("print"), radius))
-    prints = items.withColumn("item_print", simhash(F.col("item"), longest)).withColumn("item_keys", _block_keys(F.col("item_print"), radius))
-    index = prints.select("item_id", "n", "item", "item_print", "item_keys", F.posexplode_outer("item_keys").alias("block", "key"))
-    near = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    agrees = F.array_position(F.zip_with("keys", "item_keys", lambda x, y: x == y), F.lit(True)) - 1
-    candidates = (
-        printed.select("doc_id", "version", "n", "start", "window", "print", "keys", F.posexplode_outer("keys").alias("block", "key"))
-        .join(held(index), ["n", "block", "key"])
-        .where((near <= radius) & (agrees == F.col("block")))  # each pair once: by its first common block
-    )
-    verified = candidates.select("doc_id", "version", "item_id", "start", "n", near.alias("hamming"), weighted_similarity(F.col("window"), F.col("item")).alias("similarity"))
+    near = candidates(windows.withColumn("print", simhash(F.col("window"), longest)), items, radius, few_keys)
+    same = (near["n"] == items["n"]) & (near["item_print"] == items["item_print"]) & near["item_id"].eqNullSafe(items["item_id"])
+    pairs = near.join(held(items), same).select("doc_id", "version", near["item_id"], "start", near["n"], "hamming", "window", "item")
+    verified = pairs.select("doc_id", "version", "item_id", "start", "n", "hamming", weighted_similarity(F.col("window"), F.col("item")).alias("similarity"))
     return verified.where(F.col("similarity") >= similarity)
 
 
+def candidates(windows: DataFrame, items: DataFrame, radius: int = RADIUS, few_keys: bool = True) -> DataFrame:
+    """Pairs of ``windows`` (``n, print`` and more) and ``items`` (``item_id, n, item_print``) of one length within the radius, each once."""
+    index = items.select("item_id", "n", "item_print").distinct()
+    index = index.select("item_id", "n", "item_print", F.inline(item_keys(F.col("item_print"), radius)))
+    probes = windows.select("*", F.inline(window_keys(F.col("print"), radius)))
+    difference = F.col("print").bitwiseXOR(F.col("item_print"))
+    near = F.bit_count(difference)
+    return (
+        probes.join(F.broadcast(index) if few_keys else index, ["n", "block", "key"])
+        .where((near <= radius) & (first_block(difference, radius) == F.col("block")))
+        .withColumn("hamming", near).drop("block", "key")
+    )
+
+
 def contaminated(
     documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, size: int = SHINGLE
 ) -> DataFrame:
@@ -144,11 +191,12 @@ def contaminated(
         .select("item_id", F.size("w").alias("n"), "w")
     )
     # a few numbers of the bounded items table plan the rest: which sizes occur, and the bound itself
-    sizes = items.groupBy(F.least("n", F.lit(size)).alias("size")).agg(F.sum("n").alias("rows"), F.max("n").alias("longest")).collect()
+    sizes = items.groupBy(F.least("n", F.lit(size)).alias("size")).agg(F.sum("n").alias("rows"), F.max("n").alias("longest"), F.count("*").alias("items")).collect()
+    probes = sum(math.comb(w, k) for _, w, r in blocks(radius) for k in range(r + 1))
     parts = [
         _hits(documents, items.where(F.least("n", F.lit(size)) == k).select("item_id", "n", shingles(F.col("w"), k).alias("item")),
-              k, longest, rows <= MAX_ITEM_ROWS, similarity, radius)
-        for k, rows, longest in sorted(map(tuple, sizes))
+              k, longest, rows <= MAX_ITEM_ROWS, held * probes <= MAX_KEYS, similarity, radius)
+        for k, rows, longest, held in sorted(map(tuple, sizes))
     ]
     best = F.max_by(F.struct("start", "n", "hamming", "similarity"), F.struct("similarity", -F.col("start"))).alias("b")
     kinds = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}"
@@ -163,8 +211,10 @@ def contaminated(
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents`` in which no benchmark item was found, with all their columns."""
-    found = contaminated(documents, benchmark).select(F.col("doc_id").alias("hit_id"), F.col("version").alias("hit_version")).distinct()
-    same = documents["doc_id"].eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == F.col("hit_version"))
+    hit_id, hit_version = (free_name(c, documents.columns) for c in ("hit_id", "hit_version"))
+    found = contaminated(documents, benchmark).select(F.col("doc_id").alias(hit_id), F.col("version").alias(hit_version)).distinct()
+    found = materialise(found, "contaminated")  # written, so that the join sees whether they are few
+    same = documents["doc_id"].eqNullSafe(F.col(hit_id)) & (F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == F.col(hit_version))
     return documents.join(found, same, "left_anti")
 
 

@@ -3,14 +3,19 @@
 A tolerant tokenizer feeds a tree builder that supplies what authors leave out: implied ``html``,
 ``head``, ``body``, ``tbody``, ``tr`` and ends of paragraphs, list items, cells and options.  A
 renderer then emits all visible text: what style, ``hidden`` or the element itself makes invisible
-is left out, blocks stand on lines of their own with blank lines around paragraphs and headings,
+is left out (``visibility`` is inherited, so a visible element shows inside a hidden one; of ``style``
+sheets the rules that name an element, class or id are followed, and a rule with a longer selector
+can only show what they hide), closed ``details`` show their summary, buttons and filled fields their
+value, blocks stand on lines of their own with blank lines around paragraphs and headings,
 list items carry their marks, preformatted text keeps its blanks, and table cells are aligned.
 What stands in a table outside its cells goes before the table, as in browsers.  Of SVG the labels are
 shown, each on its own line, and of MathML the tokens, with blanks between the parts of fractions,
 scripts and matrices; text that an SVG only refers to by ``use`` is not.
 
-Defined cases: null and empty pages have the empty text; repeated rows are kept; unclosed, stray
-and crossing tags never fail; deep nesting is walked without recursion; other columns are ignored.
+Defined cases: null and empty pages have the empty text; a null ``page_id`` or ``url`` is kept; repeated
+rows are kept; unclosed, stray and crossing tags never fail; pages of any length are read whole; deep
+nesting is walked without recursion, and beyond ``MOST_DEPTH`` nested tables the text of cells stays but
+is no longer aligned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,10 +78,21 @@ MATH_PARTS = frozenset("mfrac msup msub msubsup mroot munder mover munderover mm
 #: End tags do not reach beyond these.
 WALLS = frozenset({"table", "td", "th", "caption", "html", "body"})
 
-TAG = re.compile(r"<(?:!--(.*?)(?:--!?>|\Z)|([!?][^>]*(?:>|\Z))|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
+#: Attributes by state: only a quote right behind "=" opens a quoted value, elsewhere it is an ordinary letter.
+_VALUE = r"""\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+)"""
+_NAME = r"(?:=?+[^\s/>=]++|=)"
+TAG = re.compile(
+    r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(!\[CDATA\[)|([!?][^>]*+(?:>|\Z)|/(?:>|[^a-zA-Z][^>]*+(?:>|\Z)))"
+    rf"|(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:{_VALUE})?+)*+)(?:>|\Z))",
+    re.S,
+)
+ATTRIBUTE = re.compile(r"""(=?+[^\s/>=]++|=)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]*+)))?+""", re.S)
 BLANKS = re.compile(r"[ \t\n\f\r]+")
-INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?=;|$)", re.I)
+DECLARED = re.compile(r"(?:^|[;{])\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important\s*)?(?=[;}]|$)", re.I)
+RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+SIMPLE = re.compile(r"(\*|[a-z][\w-]*)?((?:[.#][\w-]+)*)", re.I)
+#: Fields whose value is shown.
+SHOWN_INPUTS = frozenset("submit button reset text search email url tel number date time month week datetime-local".split())
 PRE_STYLE = re.compile(r"(?:^|;)\s*white-space\s*:\s*(?:pre|pre-wrap|break-spaces)\s*(?=;|$)", re.I)
 
 
@@ -251,6 +267,13 @@ def parse(page: str) -> Node:
             builder.text(html.unescape(page[at : m.start()]))
         at = m.end()
         name = m.group(4)
+        if m.group(1):  # text in SVG and MathML, a comment elsewhere
+            inside = builder.foreign()
+            end = page.find("]]>" if inside else ">", at)
+            if inside:
+                builder.text(page[at : end if end >= 0 else n])
+            at = n if end < 0 else end + (3 if inside else 1)
+            continue
         if name is None:
             continue
         name = name.lower()
@@ -274,14 +297,88 @@ def parse(page: str) -> Node:
     return builder.root
 
 
-def visible(node: Node) -> bool:
-    """Whether an element is rendered at all."""
-    a = node.attributes
-    if node.name in NEVER_SHOWN or "hidden" in a and a["hidden"].lower() != "until-found":
-        return False
-    if node.name == "input" or node.name == "dialog" and "open" not in a:
-        return False
-    return not ("style" in a and INVISIBLE.search(a["style"]))
+class Sheet:
+    """The rules of a page's style sheets on what is displayed and visible."""
+
+    def __init__(self, root: Node) -> None:
+        self.rules: dict[str, list[tuple]] = {}  # by the last name of the selector
+        stack, order = [root], 0
+        sheets = []
+        while stack:
+            node = stack.pop()
+            if node.name == "style":
+                sheets.append("".join(c for c in node.children if isinstance(c, str)))
+            elif node.name not in RAW:
+                stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+        for text in sheets:
+            if "display" not in text and "visibility" not in text:
+                continue
+            text = re.sub(r"/\*.*?(?:\*/|\Z)", "", text, flags=re.S)
+            text = re.sub(r"@[^{};]*(?:;|\{(?:[^{}]|\{[^{}]*\})*(?:\}|\Z))", "", text)
+            for selectors, body in RULE.findall(text):
+                said = [(k.lower(), v.lower(), bool(i)) for k, v, i in DECLARED.findall(body)]
+                for selector in selectors.split(",") if said else ():
+                    order += 1
+                    self._add(selector.strip(), said, order)
+
+    def _add(self, selector: str, said: list[tuple[str, str, bool]], order: int) -> None:
+        last = re.split(r"[\s>+~]+", selector)[-1]
+        alone = last == selector
+        bare = re.sub(r"::?[\w-]+(?:\([^)]*\))?|\[[^\]]*\]", "", last)
+        m = SIMPLE.fullmatch(bare)
+        if not m or not selector or "::" in last:
+            return
+        exact = alone and bare == last
+        said = [d for d in said if exact or d[1] not in ("none", "hidden", "collapse")]
+        tag = (m.group(1) or "*").lower()
+        parts = re.findall(r"[.#][\w-]+", m.group(2))
+        weight = (sum(x[0] == "#" for x in parts), sum(x[0] == "." for x in parts), int(tag != "*"))
+        # a longer selector outweighs here, as only what shows is left of it
+        weight = weight if exact else (weight[0] + 1, *weight[1:])
+        if said:
+            self.rules.setdefault(parts[-1] if parts else tag, []).append((tag, frozenset(parts), weight, order, said))
+
+    def said(self, node: Node) -> dict[str, str]:
+        """``display`` and ``visibility`` as declared for an element."""
+        best: dict[str, tuple] = {}
+        a = node.attributes
+        if self.rules:
+            names = {f".{c}" for c in a.get("class", "").split()} | ({f"#{a['id']}"} if a.get("id") else set())
+            for key in (*names, node.name, "*"):
+                for tag, parts, weight, order, said in self.rules.get(key, ()):
+                    if tag in ("*", node.name) and parts <= names:
+                        for k, v, important in said:
+                            best[k] = max(best.get(k, ()), (important, 0, weight, order, v))
+        if "style" in a:
+            for i, (k, v, important) in enumerate(DECLARED.findall(a["style"])):
+                k = k.lower()
+                best[k] = max(best.get(k, ()), (bool(important), 1, (0, 0, 0), i, v.lower()))
+        return {k: v[-1] for k, v in best.items()}
+
+    def shown(self, node: Node, hidden: bool) -> tuple[bool, bool]:
+        """(whether an element is rendered at all, whether its own text is hidden)."""
+        a = node.attributes
+        if node.name in NEVER_SHOWN:
+            return False, hidden
+        said = self.said(node) if "style" in a or self.rules else {}
+        display = said.get("display")
+        if display is None and ("hidden" in a and a["hidden"].lower() != "until-found" or node.name == "dialog" and "open" not in a):
+            return False, hidden
+        if "visibility" in said and said["visibility"] != "inherit":
+            hidden = said["visibility"] in ("hidden", "collapse")
+            if said["visibility"] == "collapse" and node.name in ("tr", "tbody", "thead", "tfoot"):
+                return False, hidden
+        return display != "none", hidden
+
+
+def field_text(node: Node) -> str:
+    """What a form field shows: its value, or what stands in its place."""
+    a, kind = node.attributes, node.attributes.get("type", "text").strip().lower()
+    if kind == "image":
+        return a.get("alt", "")
+    if kind in SHOWN_INPUTS or kind not in ("hidden", "checkbox", "radio", "file", "password", "range", "color"):
+        return a.get("value") or ("" if kind in ("submit", "button", "reset") else a.get("placeholder", ""))
+    return ""
 
 
 def width(text: str) -> int:
@@ -347,20 +444,24 @@ class Lines:
             self.line(True)
 
 
-def _rows(node: Node) -> Iterator[tuple[str, Node]]:
-    """Rows and captions of a table in order of show: head, bodies, foot."""
+def _rows(node: Node, sheet: Sheet, hidden: bool) -> Iterator[tuple[str, Node, bool]]:
+    """Rows and captions of a table in order of show (head, bodies, foot), and whether they are hidden."""
     parts = {"thead": [], "tbody": [], "tfoot": []}
     for child in node.children:
-        if isinstance(child, Node) and visible(child):
+        if isinstance(child, Node):
+            shown, h = sheet.shown(child, hidden)
+            if not shown:
+                continue
             if child.name == "caption":
-                yield "caption", child
+                yield "caption", child, h
             elif child.name == "tr":
-                parts["tbody"].append(child)
+                parts["tbody"].append((child, h))
             elif child.name in parts:
-                parts[child.name] += [c for c in child.children if isinstance(c, Node) and c.name == "tr" and visible(c)]
+                rows = [(c, *sheet.shown(c, h)) for c in child.children if isinstance(c, Node) and c.name == "tr"]
+                parts[child.name] += [(c, k) for c, ok, k in rows if ok]
     for rows in parts.values():
-        for row in rows:
-            yield "tr", row
+        for row, h in rows:
+            yield "tr", row, h
 
 
 def _span(cell: Node, name: str) -> int:
@@ -370,23 +471,26 @@ def _span(cell: Node, name: str) -> int:
         return 1
 
 
-def render_table(node: Node, depth: int) -> list[str]:
+def render_table(node: Node, depth: int, sheet: Sheet, hidden: bool) -> list[str]:
     """Captions, then rows of cells in aligned columns; a cell may have several lines."""
     out: list[str] = []
     grid: list[list[tuple[int, int, list[str]]]] = []  # rows of (column, span, lines)
     taken: dict[int, int] = {}
-    for kind, item in _rows(node):
+    for kind, item, h in _rows(node, sheet, hidden):
         if kind == "caption":
-            out += render(item, depth + 1)
+            out += render(item, depth + 1, sheet, h)
             continue
         row, column, later = [], 0, {}
         for cell in item.children:
-            if not isinstance(cell, Node) or not visible(cell):
+            if not isinstance(cell, Node):
+                continue
+            shown, covered = sheet.shown(cell, h)
+            if not shown:
                 continue
             while taken.get(column, 0):
                 column += 1
             across, down = _span(cell, "colspan"), _span(cell, "rowspan")
-            row.append((column, across, render(cell, depth + 1) or [""]))
+            row.append((column, across, render(cell, depth + 1, sheet, covered) or [""]))
             for c in range(column, column + across):
                 later[c] = down
             column += across
@@ -414,35 +518,46 @@ def render_table(node: Node, depth: int) -> list[str]:
     return out
 
 
-def labels(svg: Node) -> list[Node]:
-    """The texts and embedded HTML of a drawing as blocks."""
-    out, stack = [], svg.children[::-1]
+def labels(svg: Node, sheet: Sheet, hidden: bool) -> list[tuple[Node, bool]]:
+    """The texts and embedded HTML of a drawing as blocks, and whether they are hidden."""
+    out, stack = [], [(c, hidden) for c in svg.children[::-1]]
     while stack:
-        node = stack.pop()
-        if not isinstance(node, Node) or node.name in SVG_STORE or not visible(node):
+        node, h = stack.pop()
+        if not isinstance(node, Node) or node.name in SVG_STORE or node.attributes.get("display") == "none":
             continue
-        if node.attributes.get("display") == "none" or node.attributes.get("visibility") in ("hidden", "collapse"):
+        if "visibility" in node.attributes:
+            h = node.attributes["visibility"] in ("hidden", "collapse")
+        shown, inner = sheet.shown(node, h)
+        if not shown:
             continue
         if node.name in ("text", "foreignobject"):
-            out.append(Node("div", {}, [node]))
+            out.append((Node("div", {}, [node]), h))
         else:
-            stack += node.children[::-1]
+            stack += [(c, inner) for c in node.children[::-1]]
     return out
 
 
 MOST_DEPTH = 60
 
 
-def render(root: Node, depth: int = 0) -> list[str]:
+def _number(node: Node, name: str, default: int) -> int:
+    try:
+        return int(node.attributes.get(name, default))
+    except ValueError:
+        return default
+
+
+def render(root: Node, depth: int = 0, sheet: Sheet | None = None, hidden: bool = False) -> list[str]:
     """The lines of an element's visible text."""
-    out = Lines()
-    # walked with a stack of its own: (node, whether leaving, preformatted, list counter)
-    stack: list[tuple] = [(c, False, root.name in PREFORMATTED, None) for c in reversed(root.children)]
-    counters: list[list[int] | None] = []
+    out, sheet = Lines(), sheet or Sheet(root)
+    # walked with a stack of its own: (node, whether leaving, preformatted, whether text is hidden)
+    stack: list[tuple] = [(c, False, root.name in PREFORMATTED, hidden) for c in reversed(root.children)]
+    counters: list[list[int] | None] = []  # next number and step
     while stack:
-        node, leaving, pre, mark = stack.pop()
+        node, leaving, pre, hidden = stack.pop()
         if not isinstance(node, Node):
-            out.text(node, pre)
+            if not hidden:
+                out.text(node, pre)
             continue
         name = node.name
         if leaving:
@@ -464,14 +579,16 @@ def render(root: Node, depth: int = 0) -> list[str]:
             elif name in ("td", "th"):
                 out.pending_blank = True
             continue
-        if not visible(node):
+        shown, hidden = sheet.shown(node, hidden)
+        if not shown:
             continue
         if name == "br":
             out.line(True)
             continue
-        if name == "img":
-            if node.attributes.get("alt", "").strip():
-                out.text(node.attributes["alt"], False)
+        if name in ("img", "input"):
+            said = node.attributes.get("alt", "") if name == "img" else field_text(node)
+            if said.strip() and not hidden:
+                out.text(said, False)
             continue
         if name == "hr":
             out.space()
@@ -480,18 +597,16 @@ def render(root: Node, depth: int = 0) -> list[str]:
             continue
         if name == "table" and depth < MOST_DEPTH:
             out.space()
-            out.block(render_table(node, depth))
+            out.block(render_table(node, depth, sheet, hidden))
             out.space()
             continue
         if name in ("ul", "ol", "menu", "dir"):
             out.line()
             if not counters:
                 out.space()
-            try:
-                first = int(node.attributes.get("start", "1"))
-            except ValueError:
-                first = 1
-            counters.append([first] if name == "ol" else None)
+            down = name == "ol" and "reversed" in node.attributes
+            items = sum(isinstance(c, Node) and c.name == "li" for c in node.children) if down else 1
+            counters.append([_number(node, "start", items), -1 if down else 1] if name == "ol" else None)
         elif name in SPACED:
             out.space()
         elif name in BLOCK:
@@ -500,19 +615,25 @@ def render(root: Node, depth: int = 0) -> list[str]:
             counter = counters[-1] if counters else None
             text = "- "
             if counter is not None:
-                text, counter[0] = f"{counter[0]}. ", counter[0] + 1
-            out.mark = text
+                now = _number(node, "value", counter[0])
+                text, counter[0] = f"{now}. ", now + counter[1]
+            out.mark = " " * len(text) if hidden else text
             out.prefixes.append(" " * len(text))
         elif name in ("dd", "blockquote"):
             out.prefixes.append("    " if name == "dd" else "> ")
         inner = pre or name in PREFORMATTED or bool(PRE_STYLE.search(node.attributes.get("style", "")))
-        stack.append((node, True, pre, None))
-        children = labels(node) if name == "svg" else node.children
+        stack.append((node, True, pre, hidden))
+        if name == "svg":
+            stack += [(c, False, inner, h) for c, h in reversed(labels(node, sheet, hidden))]
+            continue
+        children = node.children
+        if name == "details" and "open" not in node.attributes:
+            children = [c for c in children if isinstance(c, Node) and c.name == "summary"][:1]
         if name in MATH_PARTS:
             children = [x for c in children for x in (c, " ")][:-1]
         if name in PREFORMATTED and children and isinstance(children[0], str) and children[0].startswith("\n"):
             children = [children[0][1:], *children[1:]]
-        stack += [(c, False, inner, None) for c in reversed(children)]
+        stack += [(c, False, inner, hidden) for c in reversed(children)]
     out.line()
     return out.lines
 

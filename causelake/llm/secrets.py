@@ -3,11 +3,13 @@
 Every version of every path is content-addressed by the SHA-256 of its text.  A ledger row says
 that one blob was scanned under one rule version and what was found, so a run scans only the
 (blob, rule version) pairs that the ledger lacks, each blob once however many paths hold it, and
-joins findings back to all paths.
+joins findings back to all paths.  A blob that many paths hold is dealt to several tasks there.
 
 Defined cases: a null text is the empty one; repeated rows are paths of the same blob; a null
-path or ``doc_id`` is kept; an empty table gives an empty result; columns other than those named
-are ignored.  Texts of any length are scanned whole.
+path or ``doc_id`` is kept; spans that begin together come by kind; an empty table gives an empty
+result; columns other than those named are ignored or carried, and a column ``blob`` or ``spans``
+that is there already keeps its name (the new one has ``_`` behind it).  Texts of any length are
+scanned whole.
 """
 
 from __future__ import annotations
@@ -17,12 +19,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causelake.llm.common import doc_texts, table
+from causelake.llm.common import doc_texts, free_name, materialise, spread_join, table
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` finds leftmost non-overlapping matches; one stays if ``group`` has ``least`` characters or more."""
+    """``pattern`` finds leftmost non-overlapping matches; one stays if ``group`` (0: all) has ``least`` characters or more."""
 
     name: str
     version: int
@@ -39,9 +41,13 @@ class Rule:
 # the least length stands in the pattern itself.
 RULES = (
     Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    Rule("access", 1, r"(AKIA[A-Z0-9]{12,})", 1, 16),
-    Rule("hex", 1, r"([0-9a-f]{32,})", 1, 32),
+    Rule("access", 1, r"AKIA[A-Z0-9]{12,}", 0, 16),
+    Rule("hex", 1, r"[0-9a-f]{32,}", 0, 32),
 )
+#: What the query's first run knew: an older version of one rule, whose findings no longer count.
+OLDER_RULES = (*RULES[:2], Rule("hex", 0, r"[0-9a-f]{40,}", 0, 40))
+#: Unseen blobs up to which their ids are broadcast, so that only their texts are exchanged.
+FEW_BLOBS = 200_000
 
 LEDGER_SCHEMA = "blob binary, rule string, spans array<struct<start:int,end:int>>"
 NO_SPANS = "cast(array() as array<struct<start:int,end:int>>)"
@@ -57,27 +63,35 @@ def _matches(rule: Rule) -> Column:
     # split() gives the gaps between the same leftmost matches that regexp_extract_all() gives
     pattern = F.lit(rule.pattern)
     gaps = F.split("text", rule.pattern, -1)
-    whole = F.regexp_extract_all("text", pattern, F.lit(0))
-    part = F.regexp_extract_all("text", pattern, F.lit(rule.group))
+    columns = [F.regexp_extract_all("text", pattern, F.lit(0)).alias("m"), gaps.alias("gap")]
+    if rule.group:
+        columns.append(F.regexp_extract_all("text", pattern, F.lit(rule.group)).alias("g"))
     return F.transform(
-        F.arrays_zip(whole.alias("m"), part.alias("g"), gaps.alias("gap")),
+        F.arrays_zip(*columns),
         lambda z, i: F.struct(
             F.lit(rule.key).alias("rule"), i.alias("i"), F.length(z["gap"]).alias("gap"),
-            F.length(F.coalesce(z["m"], F.lit(""))).alias("length"), (F.length(z["g"]) >= rule.least).alias("stays"),
+            F.length(F.coalesce(z["m"], F.lit(""))).alias("length"), (F.length(z["g" if rule.group else "m"]) >= rule.least).alias("stays"),
         ),
     )
 
 
 def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``blob, text, missing``: each blob once, with the rule versions the ledger lacks for it."""
+    """``blob, text, missing``: each blob once, with the rule versions the ledger lacks for it.
+
+    Where few blobs are unseen their ids are broadcast and no other text is exchanged.
+    """
+    own = versions.select(blob_id(F.col("text")).alias("blob"), "text")
     # pre-aggregated before the shuffle, so a hot blob is one row a task
-    blobs = versions.select(blob_id(F.col("text")).alias("blob"), "text").groupBy("blob").agg(F.first("text").alias("text"))
+    once = lambda rows: rows.groupBy("blob").agg(F.first("text").alias("text"))
     keys = F.array(*[F.lit(r.key) for r in rules])
     if ledger is None:
-        return blobs.withColumn("missing", keys)
+        return once(own).withColumn("missing", keys)
     seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
     missing = F.when(F.col("seen").isNull(), keys).otherwise(F.array_except(keys, "seen"))
-    return blobs.join(seen, "blob", "left").select("blob", "text", missing.alias("missing")).where(F.size("missing") > 0)
+    todo = materialise(own.select("blob").distinct().join(seen, "blob", "left").select("blob", missing.alias("missing")).where(F.size("missing") > 0), "unseen")
+    if todo.count() <= FEW_BLOBS:
+        return once(own.join(F.broadcast(todo.select("blob")), "blob", "left_semi")).join(F.broadcast(todo), "blob").select("blob", "text", "missing")
+    return once(own).join(todo, "blob").select("blob", "text", "missing")
 
 
 def found(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -120,8 +134,17 @@ NO_KINDS = "cast(array() as array<struct<start:int,kind:int,end:int>>)"
 
 def findings(versions: DataFrame, ledger_rows: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All rows of ``versions`` with ``blob`` and ``spans`` (``start, kind, end`` by start, then kind as listed)."""
-    rows = versions.withColumn("blob", blob_id(F.col("text"))).join(_by_blob(ledger_rows, rules), "blob", "left")
-    return rows.withColumn("spans", F.coalesce("spans", F.expr(NO_KINDS)))
+    own, spread = [F.col(f"`{c}`") for c in versions.columns], _spread(versions)
+    rows = versions.select(F.struct(*own).alias("row"), spread.alias("spread"), blob_id(F.coalesce("text", F.lit(""))).alias("blob"))
+    joined = spread_join(rows, _by_blob(ledger_rows, rules), "blob", "spread")
+    blob = free_name("blob", versions.columns)
+    return joined.select("row.*", F.col("blob").alias(blob), F.coalesce("spans", F.expr(NO_KINDS)).alias(free_name("spans", [*versions.columns, blob])))
+
+
+def _spread(rows: DataFrame) -> Column:
+    """A number by which the paths of one blob are dealt out: a hash of what else the row holds."""
+    others = [F.col(f"`{c}`") for c, kind in rows.dtypes if c != "text" and "map" not in kind and kind != "variant"]
+    return F.xxhash64(*others) if others else F.lit(0).cast("long")
 
 
 def spans_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -149,9 +172,9 @@ def redacted(documents: DataFrame, ledger_rows: DataFrame | None = None, rules:
     """
     text = F.coalesce("text", F.lit(""))
     if ledger_rows is None:
-        ledger_rows = found(unseen(documents.select(text.alias("text")), None, rules), rules)
-    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), blob_id(text).alias("blob"))
-    rows = rows.join(_by_blob(ledger_rows, rules), "blob", "left")
+        ledger_rows = materialise(scan(documents.select(text.alias("text")), None, rules), "ledger")
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), _spread(documents).alias("spread"), blob_id(text).alias("blob"))
+    rows = spread_join(rows, _by_blob(ledger_rows, rules), "blob", "spread")
     hit, own = F.col("spans").isNotNull(), F.col("row.text")
     new = {"text": F.when(hit, redact(own, F.col("spans"))).otherwise(own)}
     if "n_chars" in documents.columns:
@@ -160,9 +183,12 @@ def redacted(documents: DataFrame, ledger_rows: DataFrame | None = None, rules:
 
 
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over one ledger: the first sees half of the paths and an older rule; the second all paths, and scans what the ledger lacks."""
     versions = doc_texts(table(spark, sf_dir, "documents"))
-    ledger_rows = found(unseen(versions, None))  # of a first run, the ledger rows that hold findings
-    rows = findings(versions, ledger_rows).select("doc_id", "spans")
+    early = versions.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0)
+    ledger = materialise(scan(early, None, OLDER_RULES), "ledger")
+    ledger = ledger.unionByName(materialise(scan(versions, ledger), "ledger"))
+    rows = findings(versions, ledger).select("doc_id", "spans")
     base = spans_text(F.col("spans"))
     count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
     return rows.select(
