@@ -16,12 +16,16 @@ Links, not pairs: keys are sorted and streamed.  First each key's members meet o
 member; verified links are contracted.  Then only members of one key in *different* components
 are compared, blockwise, by Hamming distance of dense parity sketches, which bounds the symmetric
 difference from below; what passes is verified on the whole texts.  So a group of thousands of
-copies costs its size, not its square, and no link between components is lost.
+copies costs its size, not its square, and no link between components is lost.  Keys that a sample of
+the sets shows to be frequent are dealt out by the sets' hashes: each part has a leader of its own, these
+meet in a second step, and the parts' pieces are compared task by task.  The sample only plans; every
+row is compared alike.
 
 Sets and shingles are told apart by 64-bit hashes.  Defined cases: null, empty or blank texts
 have no shingles and link with nothing; a text of fewer than five words is one shingle; repeated
-rows and ids are kept; a null ``doc_id`` never names a component of others; an empty table gives
-an empty result; other columns are ignored.
+rows and ids are kept; a null ``doc_id`` never names a component of others; texts of any length are
+read whole; of several least ids none matters, as equal ids are one name; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,7 +49,12 @@ FULL = 3.5
 #: Members of a key that are compared at once.
 MEMBERS = 512
 #: Set hashes a task remembers, to send the keys of equal sets once.
-SEEN = 500_000
+SEEN = 250_000
+#: One set in this many is sampled to find frequent keys; rows of one key that a task should get; keys dealt out at most.
+SAMPLE = 16
+KEY_ROWS = 1024
+MOST_HOT = 10_000
+MOST_PARTS = 4096
 
 SET_SCHEMA = "doc_id long, version long, n int, set long, sketch binary, keys array<long>"
 
@@ -141,27 +151,28 @@ def set_table(documents: DataFrame) -> DataFrame:
     return texts.mapInArrow(lean(sets), SET_SCHEMA)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, bool, dict[str, list]]]:
-    """Runs of equal ``key`` in a sorted stream, in pieces: (key, whether the piece begins its run, columns)."""
+def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[int, int, bool, dict[str, list]]]:
+    """Runs of equal ``key`` (and ``part``) in a sorted stream, in pieces: (key, part, whether the piece begins its run, columns)."""
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column("key").to_numpy()
-        cuts = np.flatnonzero(np.diff(key)) + 1
+        key, part = batch.column("key").to_numpy(), batch.column("part").to_numpy()
+        cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0)) + 1
         for a, b in zip(np.concatenate(([0], cuts)).tolist(), np.concatenate((cuts, [len(key)])).tolist()):
-            yield int(key[a]), int(key[a]) != last, {c: batch.column(c).slice(a, b - a) for c in columns}
-            last = int(key[a])
+            here = int(key[a]), int(part[a])
+            yield (*here, here != last, {c: batch.column(c).slice(a, b - a) for c in columns})
+            last = here
 
 
 def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``key, set, leader``: members of a key that has several, without its least one."""
+    """``key, set, leader``: members of a key's part that has several, without its least one."""
     last = lead = prev = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, node = batch.column("key").to_numpy(), batch.column("set").to_numpy()
-        begins = np.concatenate(([last is None or key[0] != last], np.diff(key) != 0))
+        key, part, node = (batch.column(c).to_numpy() for c in ("key", "part", "set"))
+        begins = np.concatenate(([last != (key[0], part[0])], (np.diff(key) != 0) | (np.diff(part) != 0)))
         if not begins[0]:
             leaders = np.concatenate(([lead], node))
             at = np.maximum.accumulate(np.where(begins, np.arange(1, len(key) + 1), 0))
@@ -172,7 +183,7 @@ def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             repeats = np.concatenate(([False], np.diff(node) == 0)) & ~begins
         leader = leaders[at]
         kept = (leader != node) & ~repeats
-        last, lead, prev = key[-1], leader[-1], node[-1]
+        last, lead, prev = (key[-1], part[-1]), leader[-1], node[-1]
         if kept.any():
             yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(node[kept]), pa.array(leader[kept])], ["key", "set", "leader"])
 
@@ -211,6 +222,12 @@ def spanning(i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
+def fold_rows(sketches: np.ndarray) -> np.ndarray:
+    """:func:`fold` of sketches of one width, a row each."""
+    words = next(sketch_bits(k) // 64 for k in range(30, -1, -1) if sketch_bits(k) < 64 * sketches.shape[1])
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, words), axis=1)
+
+
 def _level(sketches: list[bytes]) -> np.ndarray:
     """Sketches of one key's members as rows of the shortest one's length."""
     arrays = [np.frombuffer(x, np.uint64) for x in sketches]
@@ -222,7 +239,7 @@ def _level(sketches: list[bytes]) -> np.ndarray:
     return np.stack(arrays)
 
 
-PIECES = "key long, a long, b long, piece int, sets binary, sizes binary, components binary, sketches binary"
+PIECES = "key long, a long, b long, piece long, sets binary, sizes binary, components binary, sketches binary"
 
 
 def _cross_pairs(every: bool):
@@ -231,11 +248,12 @@ def _cross_pairs(every: bool):
     With ``every`` all such pairs; else as many as span the components that they connect.
     """
     names = ["key", "a", "b", "piece", "sets", "sizes", "components", "sketches"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()] + [pa.binary()] * 4
+    kinds = [pa.int64()] * 4 + [pa.binary()] * 4
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
-        key, piece = None, 0
+        key = part = None
+        piece = 0
 
         def close(ends: bool) -> Iterator[pa.RecordBatch]:
             node, n, comp = (np.array(held[c], np.int64) for c in ("set", "n", "component"))
@@ -247,15 +265,16 @@ def _cross_pairs(every: bool):
                 i, j = i[kept], j[kept]
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), key, np.int64)), pa.array(node[i]), pa.array(node[j])] + [pa.nulls(len(i), k) for k in kinds[3:]], names)
-            if piece or not ends:  # the key has several pieces, which are yet to meet
-                body = [key, None, None, piece, node.tobytes(), n.tobytes(), comp.tobytes(), sketch.tobytes()]
+            if piece or not ends or several:  # the key has several pieces, which are yet to meet
+                body = [key, None, None, part << 32 | piece, node.tobytes(), n.tobytes(), comp.tobytes(), sketch.tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(body, kinds)], names)
 
-        for k, begins, columns in _groups(batches, ["set", "n", "component", "sketch"]):
+        several = False
+        for k, q, begins, columns in _groups(batches, ["set", "n", "component", "sketch", "parts"]):
             if begins and held:
                 yield from close(True)
                 held, piece = {}, 0
-            key = k
+            key, part, several = k, q, columns.pop("parts")[0].as_py() > 1
             rows = {c: v.to_pylist() for c, v in columns.items()}
             for at in range(len(rows["set"])):
                 if held and len(held["set"]) == MEMBERS:
@@ -279,7 +298,7 @@ def _piece_pairs(every: bool):
                 s_a, s_b = (np.frombuffer(row[f"sketches{k}"], np.uint64).reshape(len(x), -1) for k, x in (("1", a), ("2", b)))
                 while s_a.shape[1] != s_b.shape[1]:
                     wide = s_a.shape[1] > s_b.shape[1]
-                    s_a, s_b = (np.stack([*map(fold, s_a)]), s_b) if wide else (s_a, np.stack([*map(fold, s_b)]))
+                    s_a, s_b = (fold_rows(s_a), s_b) if wide else (s_a, fold_rows(s_b))
                 near, apart = close_in_sketch(n_a, s_a, n_b, s_b)
                 i, j = np.nonzero(near & (c_a[:, None] != c_b[None, :]))
                 if len(i) and not every:
@@ -317,35 +336,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame) -> DataFr
 
 
 def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sizes and sketches allow a link; sketches of one width at once."""
     for batch in batches:
-        kept = []
-        for n_a, n_b, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b"))):
-            pair = _level([x, y])
-            kept.append(bool(close_in_sketch(np.array([n_a]), pair[:1], np.array([n_b]), pair[1:])[0][0, 0]))
+        n_a, n_b = (batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
+        kept = (4 * n_a <= 5 * n_b) & (4 * n_b <= 5 * n_a)
+        wide = np.stack([pc.binary_length(batch.column(c)).to_numpy().astype(np.int64) for c in ("sketch_a", "sketch_b")], 1)
+        for shape in np.unique(wide[kept], axis=0):
+            at = np.flatnonzero(kept & (wide == shape).all(1))
+            a, b = (np.frombuffer(b"".join(batch.column(c).take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), -1) for c in ("sketch_a", "sketch_b"))
+            while a.shape[1] != b.shape[1]:
+                a, b = (fold_rows(a), b) if a.shape[1] > b.shape[1] else (a, fold_rows(b))
+            kept[at] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= (n_a[at] + n_b[at]) // 9
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
+def frequent_keys(sets: DataFrame) -> DataFrame:
+    """``hot_key, parts`` of keys that a sample of the sets shows to be frequent: ``MOST_HOT`` rows at most."""
+    sampled = sets.where(F.pmod(F.xxhash64("set"), F.lit(SAMPLE)) == 0).select(F.explode("keys").alias("key"))
+    counts = sampled.groupBy("key").agg((F.count("*") * SAMPLE).alias("n")).where(F.col("n") > KEY_ROWS).orderBy(F.desc("n"), "key").limit(MOST_HOT)
+    return materialise(counts.select(F.col("key").alias("hot_key"), F.least(F.lit(MOST_PARTS), F.ceil(F.col("n") / KEY_ROWS)).cast("int").alias("parts")), "frequent")
+
+
+def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows of keys with ``part`` (by the set's hash) and ``parts`` of the key."""
+    known = rows.join(F.broadcast(hot), F.col("key") == F.col("hot_key"), "left").drop("hot_key").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return known.withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")).cast("int"))
+
+
+def key_members(sets: DataFrame, hot: DataFrame) -> DataFrame:
+    """``key, set, leader``: members of keys that have several, each with the least one of its part.
+
+    The parts' least members of a frequent key are members too, with the least of all for leader.
+    """
+    keys = _dealt(sets.select(F.explode("keys").alias("key"), "set"), hot)
+    ordered = keys.select("key", "part", "set").repartition("key", "part").sortWithinPartitions("key", "part", "set")
+    inside = ordered.mapInArrow(lean(_with_leaders), "key long, set long, leader long")
+    tops = keys.where("parts > 1").groupBy("key", "part").agg(F.min("set").alias("set"))
+    heads = tops.groupBy("key").agg(F.min("set").alias("leader"), F.count("*").alias("held")).where("held > 1")
+    return materialise(inside.unionByName(tops.join(heads, "key").select("key", "set", "leader")), "members")
+
+
 def set_components(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(``doc_id, version, n, set`` of each document, ``node, component`` of the sets that link with others)."""
     sets = materialise(set_table(documents), "sets")
     sketches = sets.where(F.col("sketch").isNotNull()).groupBy("set").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    keys = sets.select(F.explode("keys").alias("key"), "set")
-    members = materialise(keys.repartition("key").sortWithinPartitions("key", "set").mapInArrow(lean(_with_leaders), "key long, set long, leader long"), "members")
+    hot = frequent_keys(sets)
+    members = key_members(sets, hot)
     side = lambda k: sketches.select(F.col("set").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
-    pairs = members.select(F.col("set").alias("a"), F.col("leader").alias("b")).distinct()
+    pairs = members.select(F.col("set").alias("a"), F.col("leader").alias("b")).where("a <> b").distinct()
     close = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(_close_pairs), "a long, b long")
     links = materialise(_verified(materialise(close, "candidates"), sets, documents), "links")
     first = materialise(connected_components(links), "components")
 
     labelled = _labelled(members, first)
-    tried = _crossing(labelled, sketches, every=False)
+    tried = _crossing(labelled, sketches, hot, every=False)
     links = materialise(_verified(tried.select("a", "b").distinct(), sets, documents), "more-links")
     second = materialise(connected_components(_as_edges(first).unionByName(links)), "components")
 
     # where a pair of a key's spanning ones fails, all of that key's remaining pairs are verified
     failed = materialise(tried.join(links, ["a", "b"], "left_anti").select("key", "a", "b"), "failed")
     again = _labelled(members.join(failed.select("key").distinct(), "key"), second)
-    rest = _crossing(again, sketches, every=True).select("a", "b").distinct().join(failed.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    rest = _crossing(again, sketches, hot, every=True).select("a", "b").distinct().join(failed.select("a", "b").distinct(), ["a", "b"], "left_anti")
     last = materialise(_verified(materialise(rest, "last-candidates"), sets, documents), "last-links")
     return sets.drop("sketch", "keys"), connected_components(_as_edges(second).unionByName(last))
 
@@ -359,16 +410,23 @@ def _labelled(members: DataFrame, components: DataFrame) -> DataFrame:
     labelled = members.join(components.withColumnRenamed("node", "set"), "set", "left").select("key", "set", F.coalesce("component", "set").alias("component"))
     labelled = materialise(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    return labelled.join(mixed, "key")
+    return labelled.join(materialise(mixed, "mixed"), "key")  # written, so that the join sees whether they are few
+
 
+def _crossing(labelled: DataFrame, sketches: DataFrame, hot: DataFrame, every: bool) -> DataFrame:
+    """``key, a, b``: close pairs of one key's members across components, blockwise.
 
-def _crossing(labelled: DataFrame, sketches: DataFrame, every: bool) -> DataFrame:
-    """``key, a, b``: close pairs of one key's members across components, blockwise."""
-    rows = labelled.join(sketches, "set").select("key", "set", "n", "component", "sketch")
-    pieces = materialise(rows.repartition("key").sortWithinPartitions("key", "set").mapInArrow(lean(_cross_pairs(every)), PIECES), "pieces")
+    Which pieces of a key meet is a narrow table; their contents are then joined by key and piece, so
+    that the pairs of a frequent key are compared in as many tasks as it has pieces.
+    """
+    rows = _dealt(labelled, hot).join(sketches, "set").select("key", "part", "parts", "set", "n", "component", "sketch")
+    ordered = rows.repartition("key", "part").sortWithinPartitions("key", "part", "set")
+    pieces = materialise(ordered.mapInArrow(lean(_cross_pairs(every)), PIECES), "pieces")
     blocks = pieces.where(F.col("piece").isNotNull())
     half = lambda k: blocks.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("piece", "sets", "sizes", "components", "sketches")])
-    between = half(1).join(half(2), "key").where("piece1 < piece2").mapInArrow(lean(_piece_pairs(every)), "key long, a long, b long")
+    number = lambda k: blocks.select("key", F.col("piece").alias(f"piece{k}"))
+    meet = number(1).join(number(2), "key").where("piece1 < piece2")
+    between = meet.join(half(1), ["key", "piece1"]).join(half(2), ["key", "piece2"]).mapInArrow(lean(_piece_pairs(every)), "key long, a long, b long")
     pairs = pieces.where(F.col("piece").isNull()).select("key", "a", "b").unionByName(between)
     return materialise(pairs.select("key", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "crossing")
 

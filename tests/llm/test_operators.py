@@ -82,12 +82,23 @@ def test_pieces_of_a_large_key_meet(docs, families, monkeypatch):
     members = sets.select(F.explode("keys").alias("key"), "set").distinct()
     sketches = sets.where("sketch is not null").groupBy("set").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     labelled = members.withColumn("component", F.col("set"))
+    none = sets.sparkSession.createDataFrame([], "hot_key long, parts int")
+    every = members.select(F.col("key").alias("hot_key")).distinct().withColumn("parts", F.lit(5))
 
-    def found(size):
+    def found(size, hot):
         monkeypatch.setattr(near_dup, "MEMBERS", size)
-        return {(r["a"], r["b"]) for r in near_dup._crossing(labelled, sketches, every=True).select("a", "b").distinct().collect()}
+        return {(r["a"], r["b"]) for r in near_dup._crossing(labelled, sketches, hot, every=True).select("a", "b").distinct().collect()}
 
-    assert found(3) == found(512)
+    assert found(3, none) == found(512, none) == found(3, every) == found(512, every)
+
+
+def test_frequent_keys_lose_nothing(docs, families, monkeypatch):
+    for name, value in (("SAMPLE", 1), ("KEY_ROWS", 3)):
+        monkeypatch.setattr(near_dup, name, value)
+    assert near_dup.frequent_keys(near_dup.set_table(docs(families))).count() > 20
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs(families)).collect()}
+    want = brute_components(families)
+    assert got == {i: (n, c if n else i) for i, (n, c) in want.items()}
 
 
 def test_sketches_bound_and_fold():
@@ -409,7 +420,7 @@ def ops(spark, d):
         "shards": token_shards.read_shards(token_shards.materialise(token_shards.write_shards(d, spec2), "s")),
         "near": near_dup.near_duplicates(d),
         "kept": near_dup.representatives(d),
-        "quality": quality.quality_scores(d, quality.fit(*quality.labelled_sample(d, labels, "quality", F.lit(True), 10, 100))),
+        "quality": quality.quality_scores(d, quality.fit(*quality.labelled_sample(d, labels, "quality", F.lit(True), 10))),
         "media": mpeg.media_facts(mpeg.text_media(d)),
         "backoff": backoff.backoff_scores(d),
         "toxic": toxicity.toxicity_scores(d, toxicity.toxicity_model(d, labels)),
