@@ -4,7 +4,8 @@ Documents are cut into slices of many words.  Each slice sends its distinct n-gr
 hashes, sorted, delta-coded) and their counts to hash partitions; a partition sums them into its
 part of the count table and joins the table back to every slice's n-grams; a slice then scores its
 documents and sums per document.  N-grams are exploded in numpy, so an occurrence costs bytes in
-the exchange and not a row.  A hot n-gram is one entry a slice however often it occurs.
+the exchange and not a row.  A hot n-gram is one entry a slice however often it occurs, and a
+partition in which a slice has nothing gets no block, so blocks never outnumber distinct n-grams.
 
 The score of a word after its history is count(n-gram) / count(history) if the n-gram was counted
 ``LEAST`` times or more, else ``BACKOFF`` times the score after the history without its first word;
@@ -12,7 +13,7 @@ at the end count(word) / all words.  Histories begin with a mark of the document
 
 Words are what stands between the blanks ``\\x20 \\x09-\\x0D``, A-Z lower-cased.  Defined cases: null,
 empty and blank texts have no words and a null score; repeated rows and null ids are kept and
-counted; whole texts count; other columns are ignored; an empty table gives an empty result.
+counted; whole texts of any length count; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from causelake.llm.common import doc_texts, lean, materialise, table, text_slices
 from causelake.llm.shingles import WORD_MIX, mix, word_hashes
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 LEAST = 2
 #: Words after which a slice closes, and entries of one hash partition on average.
@@ -106,7 +107,7 @@ def _grams(words: bytes, vocabulary: bytes, counts: list[int], order: int) -> tu
 
 
 def _requests(order: int, partitions: int):
-    """Rows ``part, slice, block``: the distinct n-grams of a slice in one hash partition, and their counts."""
+    """Rows ``part, slice, block``: the distinct n-grams of a slice in one hash partition (if it has any there), and their counts."""
     edges = np.array([(i << 64) // partitions for i in range(1, partitions)], np.uint64)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,13 +115,16 @@ def _requests(order: int, partitions: int):
             for row in batch.to_pylist():
                 grams, place, _ = _grams(row["words"], row["vocabulary"], row["counts"], order)
                 blocks: list[list[bytes]] = [[] for _ in range(partitions)]
+                sizes = np.zeros(partitions, np.int64)
                 for k, g in enumerate(grams):
                     u, c = np.unique(g[place >= k], return_counts=True)
                     cuts = np.concatenate(([0], np.searchsorted(u, edges), [len(u)]))
                     for p in range(partitions):
                         a, b = cuts[p], cuts[p + 1]
                         blocks[p] += [_pack(np.diff(u[a:b], prepend=np.uint64(0))), _pack(c[a:b].astype(np.uint32))]
-                rows = [pa.array(range(partitions), pa.int32()), pa.array([row["slice"]] * partitions, pa.int64()), pa.array(blocks, pa.list_(pa.binary()))]
+                        sizes[p] += b - a
+                asked = np.flatnonzero(sizes).tolist()
+                rows = [pa.array(asked, pa.int32()), pa.array([row["slice"]] * len(asked), pa.int64()), pa.array([blocks[p] for p in asked], pa.list_(pa.binary()))]
                 yield pa.RecordBatch.from_arrays(rows, ["part", "slice", "block"])
 
     return ask
@@ -156,11 +160,11 @@ def _score(order: int, backoff: float, all_words: int):
         for batch in batches:
             for row in batch.to_pylist():
                 grams, place, doc = _grams(row["words"], row["vocabulary"], row["counts"], order)
-                parts = [a["totals"] for a in sorted(row["answers"], key=lambda a: a["part"])]
+                parts = [a["totals"] for a in sorted(row["answers"] or [], key=lambda a: a["part"])]
                 counts = []
                 for k, g in enumerate(grams):
                     valid = place >= k
-                    totals = np.concatenate([_unpack(p[k], "<u8") for p in parts]).astype(np.float64)
+                    totals = np.concatenate([np.zeros(0, np.uint64), *[_unpack(p[k], "<u8") for p in parts]]).astype(np.float64)
                     _, which = np.unique(g[valid], return_inverse=True)
                     at = np.zeros(len(g))
                     at[valid] = totals[which]
@@ -192,9 +196,9 @@ def backoff_scores(documents: DataFrame, order: int = ORDER, backoff: float = BA
     all_words = slices.agg(F.sum("n_words")).first()[0] or 0
     partitions = max(4, math.ceil(order * all_words / PARTITION_ENTRIES))
     asked = slices.select("slice", "counts", "words", "vocabulary").mapInArrow(lean(_requests(order, partitions)), "part int, slice long, block array<binary>")
-    totals = materialise(asked.groupBy("part").applyInArrow(_count(order, least), "slice long, part int, totals array<binary>"), "totals")
+    totals = asked.groupBy("part").applyInArrow(_count(order, least), "slice long, part int, totals array<binary>")
     answers = totals.groupBy("slice").agg(F.collect_list(F.struct("part", "totals")).alias("answers"))
-    return slices.join(answers, "slice").mapInArrow(lean(_score(order, backoff, all_words)), SCORES)
+    return slices.join(answers, "slice", "left").mapInArrow(lean(_score(order, backoff, all_words)), SCORES)
 
 
 def _means(scores: DataFrame) -> DataFrame:
@@ -205,29 +209,31 @@ def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _means(backoff_scores(table(spark, sf_dir, "documents")))
 
 
-def op6_trigram_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with trigrams; ``ORACLE_SQL`` is the bigram model's."""
-    return _means(backoff_scores(table(spark, sf_dir, "documents"), 3))
-
-
 ORACLE_SQL = f"""
 with docs as (
   select doc_id, row_number() over () as r,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
   from documents),
 places as (select r, unnest(range(1, len(w) + 1)) as i, w from docs),
-words as (select r, i, w[i] as word, case when i > 1 then w[i - 1] end as before from places),
+words as (
+  select r, i, w[i] as word, case when i > 1 then w[i - 1] else '' end as b1, case when i > 2 then w[i - 2] when i = 2 then '' end as b2
+  from places),
 ones as (select word, count(*) as n from words group by word),
-marks as (select count(*) as n from docs where len(w) > 0),
+marks as (select '' as word, count(*) as n from docs where len(w) > 0),
+history as (select * from ones union all select * from marks),
 total as (select count(*) as n from words),
-twos as (select before, word, count(*) as n from words group by before, word having count(*) >= {LEAST}),
+twos as (select b1, word, count(*) as n from words group by b1, word),
+threes as (select b2, b1, word, count(*) as n from words where i > 1 group by b2, b1, word having count(*) >= {LEAST}),
 scored as (
-  select words.r, case when twos.n is null then 1 else 0 end as backed,
-         case when twos.n is not null then ln(twos.n / coalesce(history.n, marks.n)::double)
-              else ln({BACKOFF}) + ln(ones.n / total.n::double) end as s
-  from words join ones using (word) cross join marks cross join total
-  left join twos on twos.word = words.word and twos.before is not distinct from words.before
-  left join ones history on history.word = words.before),
+  select words.r,
+         case when threes.n is not null then 0 when twos.n >= {LEAST} then least(words.i - 1, 1) else least(words.i, 2) end as backed,
+         case when threes.n is not null then ln(threes.n / h2.n::double)
+              when twos.n >= {LEAST} then least(words.i - 1, 1) * ln({BACKOFF}) + ln(twos.n / history.n::double)
+              else least(words.i, 2) * ln({BACKOFF}) + ln(ones.n / total.n::double) end as s
+  from words join ones using (word) join history on history.word = words.b1 cross join total
+  join twos on twos.word = words.word and twos.b1 = words.b1
+  left join threes on threes.word = words.word and threes.b1 = words.b1 and threes.b2 = words.b2
+  left join twos h2 on h2.word = words.b1 and h2.b1 = words.b2),
 sums as (select r, sum(backed) as backed, sum(s) as s from scored group by r)
 select docs.doc_id, len(w)::bigint as n_words, coalesce(backed, 0)::bigint as n_backoffs,
        round(s / nullif(len(w), 0), 6) as mean_log_score

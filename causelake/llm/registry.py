@@ -15,7 +15,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_zstd_quality": quality.op4_zstd_quality,
     "op5_mpeg_audio": mpeg.op5_mpeg_audio,
     "op6_stupid_backoff": backoff.op6_stupid_backoff,
-    "op6_trigram_backoff": backoff.op6_trigram_backoff,
     "op7_noisy_or_toxicity": toxicity.op7_noisy_or_toxicity,
     "op8_numpy_bpe": bpe.op8_numpy_bpe,
     "op9_secret_ledger": secrets.op9_secret_ledger,

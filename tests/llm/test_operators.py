@@ -369,7 +369,7 @@ def test_trigram_query_sees_two_words_back(spark, docs, tmp_path):
     from causelake.llm import registry
 
     docs([(1, "a b c"), (2, "a b c"), (3, "x b d"), (4, "x b d")]).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: (r["n_backoffs"], r["mean_log_score"]) for r in registry.QUERIES["op6_trigram_backoff"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: (r["n_backoffs"], r["mean_log_score"]) for r in registry.QUERIES["op6_stupid_backoff"](spark, str(tmp_path)).collect()}
     # half of the documents begin so, then each word is certain given two words, not given one
     assert got == {i: (0, round(float(np.log(0.5)) / 3, 6)) for i in (1, 2, 3, 4)}
 
