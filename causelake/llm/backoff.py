@@ -35,8 +35,8 @@ ORDER = 3
 BACKOFF = 0.4
 LEAST = 2
 #: Words after which a slice closes, and entries of one hash partition on average.
-SLICE_WORDS = 1_000_000
-PARTITION_ENTRIES = 3_000_000
+SLICE_WORDS = 1_600_000
+PARTITION_ENTRIES = 1_500_000
 BEGIN = np.uint64(0x5BD1E9955BD1E995)
 
 SLICES = "slice long, doc_ids array<long>, counts array<int>, words binary, vocabulary binary, n_words long"
@@ -63,8 +63,11 @@ def word_slices(documents: DataFrame) -> DataFrame:
         hashes: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            vocabulary, words = np.unique(np.concatenate(hashes), return_inverse=True)
-            row = [part << 32 | number, ids, np.concatenate(counts), _pack(words.astype(np.uint32)), vocabulary.tobytes(), size]
+            vocabulary, words, occurrences = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            order = np.argsort(-occurrences, kind="stable")  # frequent words have small numbers, which pack well
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
+            row = [part << 32 | number, ids, np.concatenate(counts), _pack(rank[words]), vocabulary[order].tobytes(), size]
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["slice", "doc_ids", "counts", "words", "vocabulary", "n_words"])
 
@@ -84,8 +87,8 @@ def word_slices(documents: DataFrame) -> DataFrame:
     return doc_texts(documents).mapInArrow(lean(cut), SLICES)
 
 
-def _grams(words: bytes, vocabulary: bytes, counts: list[int], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Per order the hash of the n-gram that ends at each place, how much of its document precedes it, its document.
+def _grams(words: bytes, vocabulary: bytes, counts: list[int], order: int) -> tuple[Iterator[np.ndarray], np.ndarray, np.ndarray]:
+    """Order by order the hash of the n-gram that ends at each place, how much of its document precedes it, its document.
 
     Every document with words has its beginning mark in front.
     """
@@ -97,13 +100,15 @@ def _grams(words: bytes, vocabulary: bytes, counts: list[int], order: int) -> tu
     mark = np.zeros(len(h), bool)
     mark[starts] = True
     h[mark], h[~mark] = BEGIN, w
-    place = np.arange(len(h)) - np.repeat(starts, sizes)
-    grams, run = [], np.zeros(len(h), np.uint64)
-    for k in range(order):
-        shifted = np.concatenate((np.zeros(k, np.uint64), h[: len(h) - k])) if k else h
-        run = run + shifted * WORD_MIX[k % len(WORD_MIX)] * np.uint64(2 * (k // len(WORD_MIX)) + 1)
-        grams.append(mix(run + np.uint64(k)))
-    return grams, place, np.repeat(held, sizes)
+    place = np.arange(len(h), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
+
+    def grams() -> Iterator[np.ndarray]:
+        run = np.zeros(len(h), np.uint64)
+        for k in range(order):
+            run[k:] += h[: max(0, len(h) - k)] * WORD_MIX[k % len(WORD_MIX)] * np.uint64(2 * (k // len(WORD_MIX)) + 1)
+            yield mix(run + np.uint64(k))
+
+    return grams(), place, np.repeat(held.astype(np.int32), sizes)
 
 
 def _requests(order: int, partitions: int):
@@ -161,22 +166,22 @@ def _score(order: int, backoff: float, all_words: int):
             for row in batch.to_pylist():
                 grams, place, doc = _grams(row["words"], row["vocabulary"], row["counts"], order)
                 parts = [a["totals"] for a in sorted(row["answers"] or [], key=lambda a: a["part"])]
-                counts = []
+                value = steps = before = None
                 for k, g in enumerate(grams):
                     valid = place >= k
                     totals = np.concatenate([np.zeros(0, np.uint64), *[_unpack(p[k], "<u8") for p in parts]]).astype(np.float64)
-                    _, which = np.unique(g[valid], return_inverse=True)
                     at = np.zeros(len(g))
-                    at[valid] = totals[which]
-                    counts.append(at)
-                value = np.log(np.maximum(counts[0], 1) / max(all_words, 1))
-                steps = np.zeros(len(value), np.int64)
-                for k in range(1, order):
-                    before = np.concatenate(([1.0], counts[k - 1][:-1]))  # of the history, which ends a place earlier
-                    found = (counts[k] > 0) & (before > 0)
-                    known = place >= k
-                    value = np.where(found, np.log(np.maximum(counts[k], 1) / np.maximum(before, 1)), value + np.where(known, math.log(backoff), 0.0))
-                    steps = np.where(found, 0, steps + known)
+                    at[valid] = totals[np.unique(g[valid], return_inverse=True)[1]]
+                    if k:
+                        before[1:], before[:1] = before[:-1].copy(), 1.0  # of the history, which ends a place earlier
+                        found = (at > 0) & (before > 0)
+                        value[valid] += math.log(backoff)
+                        value[found] = np.log(at[found] / before[found])
+                        steps += valid
+                        steps[found] = 0
+                    else:
+                        value, steps = np.log(np.maximum(at, 1) / max(all_words, 1)), np.zeros(len(at), np.int32)
+                    before = at
                 word = place > 0
                 n = len(row["counts"])
                 sums = np.bincount(doc[word], value[word], n)
@@ -196,7 +201,7 @@ def backoff_scores(documents: DataFrame, order: int = ORDER, backoff: float = BA
     all_words = slices.agg(F.sum("n_words")).first()[0] or 0
     partitions = max(4, math.ceil(order * all_words / PARTITION_ENTRIES))
     asked = slices.select("slice", "counts", "words", "vocabulary").mapInArrow(lean(_requests(order, partitions)), "part int, slice long, block array<binary>")
-    totals = asked.groupBy("part").applyInArrow(_count(order, least), "slice long, part int, totals array<binary>")
+    totals = materialise(asked.groupBy("part").applyInArrow(_count(order, least), "slice long, part int, totals array<binary>"), "totals")
     answers = totals.groupBy("slice").agg(F.collect_list(F.struct("part", "totals")).alias("answers"))
     return slices.join(answers, "slice", "left").mapInArrow(lean(_score(order, backoff, all_words)), SCORES)
 
