@@ -146,6 +146,15 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+#: Rows of two numbers that may be broadcast.
+FEW_ROWS = 1_000_000
+
+
+def sized(written: DataFrame, bound: int = FEW_ROWS) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if it has at most ``bound`` of them."""
+    return F.broadcast(written) if written.count() <= bound else written
+
+
 #: Rows of one key beyond which it is dealt out, how many such keys are known, and most pieces of a key.
 HOT_ROWS = 500
 MOST_HOT = 1000
@@ -156,11 +165,12 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, spread: str) -> Data
     """Left join of many rows with a table that has one row a key; rows of a hot key go to several tasks.
 
     The ``MOST_HOT`` most frequent keys (a bounded table, so broadcast) are cut into pieces by the number
-    in ``spread``, and the other side's rows repeated for each piece.  ``spread`` is dropped.
+    in ``spread``, and the other side's rows repeated for each piece.  Rows without a key are dealt out
+too and match nothing.  ``spread`` is dropped.
     """
     counts = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), key).limit(MOST_HOT)
     hot = materialise(counts.select(F.col(key).alias("hot_key"), F.least(F.lit(MOST_PIECES), F.ceil(F.col("n") / HOT_ROWS)).cast("int").alias("pieces")), "hot-keys")
     dealt = lambda df: df.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left").drop("hot_key")
-    own = dealt(rows).withColumn("piece", F.coalesce(F.expr(f"pmod({spread}, pieces)"), F.lit(0)).cast("int")).drop("pieces", spread)
+    own = dealt(rows).withColumn("piece", F.expr(f"cast(case when {key} is null then pmod({spread}, {MOST_PIECES}) else coalesce(pmod({spread}, pieces), 0) end as int)")).drop("pieces", spread)
     other = dealt(side).withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
     return own.join(other, [key, "piece"], "left").drop("piece")

@@ -10,8 +10,8 @@ Candidates are verified exactly: weighted Jaccard similarity of shingles, weight
 Which windows need a fingerprint is decided without loss: a window as similar as asked for shares
 a shingle with the item, so only windows over a shared shingle are built.  What is broadcast has a
 bound that is checked (``MAX_ITEM_ROWS`` shingle rows, ``MAX_KEYS`` index rows); beyond it the same
-joins shuffle.  Documents with a shared shingle, and those found, are written first, so that their
-number is known when they are joined to the texts.
+joins shuffle.  Documents with a shared shingle, and those found, are written and counted first: up to
+a bound their ids are broadcast to the texts, beyond it the texts shuffle.
 
 Words are what stands between the blanks ``\\x20 \\x09-\\x0D``, lower-cased.  Defined cases: null or
 empty texts and items match nothing; an item of fewer than five words is one shingle; a document
@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causelake.llm.common import free_name, materialise, table
+from causelake.llm.common import free_name, materialise, sized, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -151,9 +151,11 @@ def _hits(documents: DataFrame, items: DataFrame, size: int, longest: int, bound
         .select(F.col("doc_id").alias("seed_doc"), F.col("version").alias("seed_version"), F.struct("n", F.array_distinct(F.flatten(spans)).alias("starts")).alias("seed"))
         .groupBy("seed_doc", "seed_version").agg(F.collect_list("seed").alias("seeds"))
     )
-    seeds = materialise(seeds, "seeds")  # written, so that the join sees whether they are few
+    seeds = materialise(seeds, "seeds")
     same = F.col("doc_id").eqNullSafe(F.col("seed_doc")) & (F.col("version") == F.col("seed_version"))
-    runs = docs.join(seeds, same).withColumn("w", words(F.col("text"))).select("doc_id", "version", shingles(F.col("w"), size).alias("s"), F.explode("seeds").alias("seed"))
+    # where few documents have seeds no other text is exchanged
+    seeded = docs.join(sized(seeds.select("seed_doc", "seed_version")), same, "left_semi")
+    runs = seeded.join(seeds, same).withColumn("w", words(F.col("text"))).select("doc_id", "version", shingles(F.col("w"), size).alias("s"), F.explode("seeds").alias("seed"))
     windows = runs.select("doc_id", "version", "s", F.col("seed.n").alias("n"), F.explode("seed.starts").alias("start")).select(
         "doc_id", "version", "n", "start", F.slice("s", F.col("start") + 1, F.col("n") - (size - 1)).alias("window")
     )
@@ -213,7 +215,7 @@ def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFram
     """The rows of ``documents`` in which no benchmark item was found, with all their columns."""
     hit_id, hit_version = (free_name(c, documents.columns) for c in ("hit_id", "hit_version"))
     found = contaminated(documents, benchmark).select(F.col("doc_id").alias(hit_id), F.col("version").alias(hit_version)).distinct()
-    found = materialise(found, "contaminated")  # written, so that the join sees whether they are few
+    found = sized(materialise(found, "contaminated"))
     same = documents["doc_id"].eqNullSafe(F.col(hit_id)) & (F.xxhash64(F.coalesce(documents["text"], F.lit(""))) == F.col(hit_version))
     return documents.join(found, same, "left_anti")
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causelake.llm.common import doc_texts, lean, materialise, table, text_slices
+from causelake.llm.common import doc_texts, lean, materialise, spread_join, table, text_slices
 from causelake.llm.components import connected_components
 from causelake.llm.shingles import mix, shingle_sets
 
@@ -444,7 +444,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """Per document: ``doc_id, n_shingles, component_id``."""
     labelled = labelled_documents(documents)
     least = labelled.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "component", "left").select(
+    return spread_join(labelled.withColumn("spread", F.xxhash64("doc_id")), least, "component", "spread").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
     )
 
