@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from causelake.llm.common import materialise
 
+#: Edges that one task of a round writes.
+TASK_EDGES = 500_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -25,7 +28,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the least node reachable) of each node of ``edges`` (``a, b``, longs).
 
     Every round is written to the shared folder; only two numbers a round reach the driver.
-    Minima are pre-aggregated, so a node with very many edges is one row a task.
+    Minima are pre-aggregated, so a node with very many edges is one row a task.  Rounds never add edges,
+    so a round is written by as many tasks as the edges before it need.
     """
     state, current = None, materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
     while True:
@@ -35,4 +39,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
                 current.select(F.col("b").alias("node"), F.col("b").alias("component"))
             ).distinct()
         state = tuple(sums)
-        current = materialise(_small_star(_large_star(current)), "stars")
+        current = materialise(_small_star(_large_star(current)).coalesce(-(-sums[0] // TASK_EDGES)), "stars")
