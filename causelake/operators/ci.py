@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from causelake.errors import EstimationError
 from causelake.functions import special
 from causelake.operators.estimate import _row
-from causelake.operators.reduce import Gram, gram
+from causelake.operators.reduce import Gram, gram, running
 from causelake.schema import complete_cases
 
 
@@ -72,7 +72,7 @@ def robust_scores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     out = df.join(F.broadcast(n))
     for c in columns:
         levels = df.groupBy(c).agg(F.count("*").alias("__k"))
-        run = levels.withColumn("__a", F.sum("__k").over(Window.orderBy(c)) - (F.col("__k") - 1) / 2.0)
+        run = running(levels, c, {"__below": F.col("__k")}).withColumn("__a", F.col("__below") + (F.col("__k") + 1) / 2.0)
         u = F.col("__a") / (F.col("__n") + 1)
         t = F.sqrt(-2 * F.log(F.least(u, 1 - u)))
         q = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t**3)

@@ -534,7 +534,7 @@ def structure_mcmc(spark, score: GaussianScore, chains: int = 4, steps: int = 20
     """Metropolis over single arrows, one task a chain; the score table of the Gram is broadcast."""
     import pandas as pd
 
-    held = spark.sparkContext.broadcast((score.gram.names, score.gram.matrix))
+    held = spark.sparkContext.broadcast((score.gram.names, score.gram.matrix, score.gram.centred))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         own = GaussianScore(Gram(*held.value))

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from causelake.errors import EstimationError, Unsupported
 from causelake.functions import special
-from causelake.operators.reduce import Fit, gram, irls, linear, sandwich, solve
+from causelake.operators.reduce import Fit, gram, irls, linear, ranged, running, sandwich, solve
 from causelake.schema import complete_cases
+from causelake.scratch import sized, written
 
 TARGETS = ("ate", "att", "atc")
 #: Doses at which a pseudo-outcome's marginal density is tabulated.
@@ -25,6 +26,7 @@ KNOTS = 257
 
 def _row(df: DataFrame, **values) -> DataFrame:
     kinds = {float: "double", int: "long", str: "string", bool: "boolean"}
+    values = {k: float(v) if isinstance(v, np.floating) else v for k, v in values.items()}
     schema = ", ".join(f"{k} {kinds.get(type(v), 'double')}" for k, v in values.items())
     return df.sparkSession.createDataFrame([tuple(values.values())], schema)
 
@@ -69,13 +71,20 @@ def huber_adjustment(df: DataFrame, t: str, y: str, z: Sequence[str] = (), k: fl
 
 
 def glm_adjustment(df: DataFrame, t: str, y: str, z: Sequence[str] = (), active: float = 1.0, control: float = 0.0, family: str = "logit") -> DataFrame:
-    """G-computation through a GLM: mean predicted difference between two levels."""
+    """G-computation through a GLM: mean predicted difference between two levels, with the delta-method error of the coefficients."""
     rows = complete_cases(df, [t, y, *z])
     design = ["1", t, *z]
-    beta, _ = irls(rows, y, design, family)
+    beta, cov = irls(rows, y, design, family)
     mean = {"logit": lambda e: 1 / (1 + F.exp(-e)), "poisson": F.exp, "gaussian": lambda e: e}[family]
+    slope = {"logit": lambda m: m * (1 - m), "poisson": lambda m: m, "gaussian": lambda m: F.lit(1.0)}[family]
     at = lambda level: mean(linear(design, beta, {t: F.lit(level)}))
-    return rows.agg(F.avg(at(active) - at(control)).alias("effect"), F.count("*").alias("n"))
+    x = lambda d, level: F.lit(1.0) if d == "1" else F.lit(float(level)) if d == t else F.col(d).cast("double")
+    pull = [F.avg(slope(at(active)) * x(d, active) - slope(at(control)) * x(d, control)).alias(f"g{i}") for i, d in enumerate(design)]
+    extra = [F.avg((F.col(y).cast("double") - linear(design, beta)) ** 2).alias("v")] if family == "gaussian" else []
+    r = rows.agg(F.avg(at(active) - at(control)).alias("effect"), F.count("*").alias("n"), *pull, *extra).first()
+    g = np.array([r[f"g{i}"] for i in range(len(design))])
+    scale = r["v"] * r["n"] / (r["n"] - len(design)) if extra else 1.0
+    return _row(df, effect=r["effect"], se=math.sqrt(scale * float(g @ cov @ g)), n=int(r["n"]))
 
 
 def conditional_effect(df: DataFrame, t: str, y: str, w: str, z: Sequence[str] = (), delta: float = 1.0) -> DataFrame:
@@ -145,21 +154,22 @@ def ipw_se(df: DataFrame, t: str, y: str, z: Sequence[str], e: str = "e", target
 
 
 def aipw(df: DataFrame, t: str, y: str, e: str = "e", m1: str = "m1", m0: str = "m0", target: str = "ate") -> DataFrame:
-    """Doubly robust mean of the score for the target."""
+    """Doubly robust mean of the score for the target, with the error of its influence function for given scores."""
     a, p, o = F.col(t).cast("double"), F.col(e), F.col(y)
     u1, u0 = F.col(m1), F.col(m0)
     if target == "ate":
-        score = u1 - u0 + a * (o - u1) / p - (1 - a) * (o - u0) / (1 - p)
-        share = F.lit(1.0)
+        score, member = u1 - u0 + a * (o - u1) / p - (1 - a) * (o - u0) / (1 - p), F.lit(1.0)
     elif target == "att":
-        score = a * (o - u0) - (1 - a) * p / (1 - p) * (o - u0)
-        share = F.avg(a)
+        score, member = a * (o - u0) - (1 - a) * p / (1 - p) * (o - u0), a
     elif target == "atc":
-        score = a * (1 - p) / p * (o - u1) - (1 - a) * (o - u1)
-        share = F.avg(1 - a)
+        score, member = a * (1 - p) / p * (o - u1) - (1 - a) * (o - u1), 1 - a
     else:
         raise Unsupported(f"no target {target!r}")
-    return df.agg((F.avg(score) / share).alias("effect"), (F.stddev_samp(score) / F.sqrt(F.count("*")) / share).alias("se_plain"), F.count("*").alias("n"))
+    # the effect solves mean(score - effect * member) = 0; its error is that of this mean over the share of members
+    s = df.agg(F.avg(score).alias("s"), F.avg(member).alias("h"), F.var_samp(score).alias("ss"), F.covar_samp(score, member).alias("sh"), F.var_samp(member).alias("hh"), F.count("*").alias("n"))
+    effect = F.col("s") / F.col("h")
+    spread = F.col("ss") - 2 * effect * F.col("sh") + effect * effect * F.col("hh")
+    return s.select(effect.alias("effect"), (F.sqrt(F.greatest(F.lit(0.0), spread) / F.col("n")) / F.col("h")).alias("se_plain"), "n")
 
 
 def arm_means(df: DataFrame, t: str, y: str, z: Sequence[str]) -> DataFrame:
@@ -190,8 +200,7 @@ def stratify(df: DataFrame, score: str, strata: int, key: Sequence[str], out: st
 
 def global_rank(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     """1-based row numbers in a total order, without sorting all rows in one task."""
-    # the partition number must mean the same in both uses, so the ranges are written first
-    parts = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()).persist()
+    parts = ranged(df, *order)  # written: a range's number must mean the same in both uses
     sizes = parts.groupBy("__p").agg(F.count("*").alias("__c"))
     before = sizes.select("__p", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
     local = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
@@ -240,7 +249,7 @@ def nearest_match(df: DataFrame, t: str, y: str, score: str, key: str, caliper:
     below and above are carried along, across partitions too by the partitions' end controls.
     """
     rows = df.select(F.col(key).alias("key"), F.col(y).alias("y"), F.col(score).alias("s"), (~_treated(t)).alias("control"))
-    rows = rows.repartitionByRange("s").withColumn("p", F.spark_partition_id()).persist()
+    rows = ranged(rows, "s").withColumnRenamed("__p", "p")
     w_down = Window.partitionBy("p").orderBy("s", F.col("control").desc(), "key").rowsBetween(Window.unboundedPreceding, 0)
     w_up = Window.partitionBy("p").orderBy(F.col("s").desc(), F.col("control").desc(), "key").rowsBetween(Window.unboundedPreceding, 0)
     # of equal scores the first key stands for the donor
@@ -346,11 +355,18 @@ def two_stage(df: DataFrame, instruments: Sequence[str], t: str, y: str, x: Sequ
 
 
 def frontdoor_effect(df: DataFrame, t: str, mediators: Sequence[str], y: str, delta: float = 1.0) -> DataFrame:
-    """Sum over mediators of (t -> m) times (m -> y given t and all mediators)."""
-    g = gram(complete_cases(df, [t, *mediators, y]), [t, *mediators, y])
+    """Sum over mediators of (t -> m) times (m -> y given t and all mediators), with the sandwich error of the stacked stages."""
+    rows = complete_cases(df, [t, *mediators, y])
+    g = gram(rows, [t, *mediators, y])
     second = solve(g, y, ["1", t, *mediators])
-    effect = sum(solve(g, m, ["1", t])[t] * second[m] for m in mediators)
-    return _row(df, effect=effect * delta, n=int(g.n))
+    firsts = {m: solve(g, m, ["1", t]) for m in mediators}
+    effect = sum(firsts[m][t] * second[m] for m in mediators)
+    # a row's influence: each stage's coefficient times the other's score through its inverse cross products
+    dot = lambda fit, name: linear(fit.names, fit.inverse[fit.names.index(name)] * g.n)
+    second_error = F.col(y).cast("double") - second.predict()
+    influence = sum((F.lit(second[m]) * dot(f, t) * (F.col(m).cast("double") - f.predict()) + F.lit(f[t]) * dot(second, m) * second_error for m, f in firsts.items()), F.lit(0.0))
+    se = math.sqrt(rows.agg(F.sum(influence * influence)).first()[0]) / g.n
+    return _row(df, effect=effect * delta, se=se * abs(delta), n=int(g.n))
 
 
 def sharp_rd(df: DataFrame, running: str, y: str, cutoff: float, bandwidth: float) -> DataFrame:
@@ -376,20 +392,21 @@ def km_ipcw(df: DataFrame, time: str, event: str, key: str, entry: str | None =
     Censoring times are distinct values, far fewer than rows; the running product is over them.
     Weight G(entry-) / G(time-) for events, 0 for censored rows; below the floor it raises.
     """
-    start = F.col(entry) if entry else F.lit(float("-inf"))
+    start = F.col(entry) if entry else F.lit(None)
     rows = df.select(F.col(key).alias("key"), F.col(time).cast("double").alias("t"), F.col(event).cast("boolean").alias("d"), start.cast("double").alias("l"))
     # at risk at u: entered by u and not yet gone; counted from the numbers of entries and exits up to u
     moves = rows.select(F.col("t").alias("u"), F.lit(1).alias("out"), F.lit(0).alias("into"), (~F.col("d")).cast("int").alias("c"))
-    moves = moves.unionByName(rows.select(F.col("l").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into"), F.lit(0).alias("c")))
+    if entry:
+        moves = moves.unionByName(rows.select(F.col("l").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into"), F.lit(0).alias("c")))
     steps = moves.groupBy("u").agg(F.sum("out").alias("out"), F.sum("into").alias("into"), F.sum("c").alias("c"))
-    w = Window.orderBy("u")
-    steps = steps.withColumn("risk", F.sum("into").over(w) - F.sum("out").over(w) + F.col("out"))
-    factor = F.when(F.col("c") > 0, 1 - F.col("c") / F.col("risk")).otherwise(1.0)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.max((factor <= 0).cast("int")).over(before)
-    g = F.coalesce(F.when(zero > 0, 0.0).otherwise(F.exp(F.sum(F.when(factor > 0, F.log(factor)).otherwise(0.0)).over(before))), F.lit(1.0))
-    curve = steps.select("u", g.alias("g"))
-    at = rows.join(curve.withColumnRenamed("g", "gt"), rows["t"] == F.col("u")).drop("u").join(curve.withColumnRenamed("g", "gl"), F.col("l") == F.col("u")).drop("u")
+    steps = running(steps, "u", {"gone": F.col("out"), "came": F.col("into")})
+    entered = F.col("came") + F.col("into") if entry else F.lit(rows.count())
+    factor = F.when(F.col("c") > 0, 1 - F.col("c") / (entered - F.col("gone"))).otherwise(1.0)
+    steps = running(steps.select("u", factor.alias("f")), "u", {"zeros": (F.col("f") <= 0).cast("int"), "logs": F.when(F.col("f") > 0, F.log("f")).otherwise(0.0)})
+    curve = written(steps.select("u", F.when(F.col("zeros") > 0, 0.0).otherwise(F.exp("logs")).alias("g")), "survival")
+    lookup = sized(curve)
+    at = rows.join(lookup.withColumnRenamed("g", "gt"), rows["t"] == F.col("u")).drop("u")
+    at = at.join(lookup.withColumnRenamed("g", "gl"), F.col("l") == F.col("u")).drop("u") if entry else at.withColumn("gl", F.lit(1.0))
     low = F.raise_error(F.lit("a censoring probability is below the floor")).cast("double")
     return at.select("key", F.when(~F.col("d"), 0.0).when(F.col("gt") < floor, low).otherwise(F.col("gl") / F.col("gt")).alias("weight"))
 
@@ -474,11 +491,11 @@ def pseudo_outcome(df: DataFrame, t: str, y: str, z: Sequence[str], key: str, fo
 
     rows = complete_cases(df, [t, y, *z], [key]).withColumn("__f", F.pmod(F.xxhash64(key), F.lit(folds)).cast("int"))
     grams = gram(rows, [*z, t, y], by=["__f"])
-    whole = sum(g.matrix for g in grams.values())
+    whole = fold(lambda a, b: a + b, grams.values())
     low, high = (float(v) for v in rows.agg(F.min(t), F.max(t)).first())
     parts = []
     for (k,), g in sorted(grams.items()):
-        train = type(g)(g.names, whole - g.matrix)
+        train = whole - g
         density, outcome = solve(train, t, ["1", *z]), solve(train, y, ["1", t, *z])
         sd = math.sqrt(density.rss / density.n)
         own = rows.where(F.col("__f") == k).withColumn("__m", density.predict())

@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from causelake.errors import EstimationError
 from causelake.schema import WEIGHT
+from causelake.scratch import written
 
 #: Columns beyond which a Gram is summed in Arrow batches.
-WIDE = 24
+WIDE = 12
 
 
 def _column(c: str | Column) -> Column:
@@ -29,15 +30,47 @@ def _column(c: str | Column) -> Column:
 
 @dataclass
 class Gram:
-    """Weighted cross products of named columns, the first being the constant."""
+    """Weighted cross products of named columns, the first being the constant.
+
+    ``centred`` holds them about the means, which keeps its digits where means are large.
+    """
 
     names: tuple[str, ...]
     matrix: np.ndarray
+    centred: np.ndarray | None = None
+
+    def __post_init__(self):
+        if self.centred is None:
+            m = self.matrix[0]
+            self.centred = self.matrix - (np.outer(m, m) / m[0] if m[0] else 0.0)
+
+    @classmethod
+    def about(cls, names: Sequence[str], n: float, means: np.ndarray, centred: np.ndarray) -> Gram:
+        """From the weight, the means (1 for the constant) and the cross products about them."""
+        return cls(tuple(names), centred + n * np.outer(means, means), centred)
 
     @property
     def n(self) -> float:
         return float(self.matrix[0, 0])
 
+    @property
+    def means(self) -> np.ndarray:
+        return self.matrix[0] / self.n if self.n else np.zeros(len(self.names))
+
+    def __add__(self, other: Gram) -> Gram:
+        return self._joined(other, 1.0)
+
+    def __sub__(self, other: Gram) -> Gram:
+        return self._joined(other, -1.0)
+
+    def _joined(self, other: Gram, sign: float) -> Gram:
+        n = self.n + sign * other.n
+        if not n or not other.n or not self.n:
+            return self if not other.n else Gram(self.names, self.matrix + sign * other.matrix)
+        means = (self.n * self.means + sign * other.n * other.means) / n
+        gap = other.means - self.means
+        return Gram.about(self.names, n, means, self.centred + sign * other.centred + sign * self.n * other.n / n * np.outer(gap, gap))
+
     def at(self, names: Sequence[str]) -> np.ndarray:
         return np.array([self.names.index(n) for n in names])
 
@@ -47,39 +80,63 @@ class Gram:
     def covariance(self, names: Sequence[str]) -> np.ndarray:
         """Population covariance."""
         i = self.at(names)
-        m = self.matrix[0, i] / self.n
-        return self.matrix[np.ix_(i, i)] / self.n - np.outer(m, m)
+        return self.centred[np.ix_(i, i)] / self.n
 
     def sub(self, rows: Sequence[str], columns: Sequence[str]) -> np.ndarray:
         return self.matrix[np.ix_(self.at(rows), self.at(columns))]
 
 
-def gram(df: DataFrame, columns: dict[str, str | Column] | Sequence[str], by: Sequence[str] = ()) -> Gram | dict[tuple, Gram]:
-    """R1: X'WX of [1, columns] in one aggregate; keyed by group when ``by`` is given (few groups)."""
+def gram(df: DataFrame, columns: dict[str, str | Column] | Sequence[str], by: Sequence[str] = (), batches: bool = False) -> Gram | dict[tuple, Gram]:
+    """R1: X'WX of [1, columns] in one aggregate; keyed by group when ``by`` is given (few groups).
+
+    Without weights Spark's covariances keep the products about the means in the same pass.  Weighted and
+    wide Grams are summed about the columns' plain means, which a pass before gives; ``batches`` asks for the wide form, in Arrow batches.
+    """
     columns = columns if isinstance(columns, dict) else {c: c for c in columns}
     names = ("1", *columns)
-    w = F.col(WEIGHT) if WEIGHT in df.columns else F.lit(1.0)
-    if len(names) > WIDE and not by:
-        return _wide_gram(df, columns, w)
-    values = [F.lit(1.0), *map(_column, columns.values())]
-    k = len(names)
+    values = list(map(_column, columns.values()))
+    k = len(values)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    # sums about a first guess of the means would cost another pass; products are taken in double
-    sums = [F.sum(w * values[i] * values[j]).alias(f"s{i}_{j}") for i, j in pairs]
-    rows = df.groupBy(*by).agg(*sums).collect() if by else [df.agg(*sums).first()]
+    wide, weighted = (batches or len(names) > WIDE) and not by, WEIGHT in df.columns
+    if wide or weighted:
+        guess = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)], F.lit(0).alias("none")).first()
+        shift = np.array([guess[f"m{i}"] or 0.0 for i in range(k)])
+        moved = [v - F.lit(float(c)) for v, c in zip(values, shift)]
+        w = (F.col(WEIGHT) if weighted else F.lit(1.0)).cast("double")
+    if wide:
+        return _about_shift(names, shift, _wide_sums(df, moved, w))
+    if weighted:
+        one = [F.lit(1.0), *moved]
+        full = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+        sums = [F.sum(w * one[i] * one[j]).alias(f"s{i}_{j}") for i, j in full]
+    else:
+        sums = [F.count("*").alias("n"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(values)], *[F.covar_pop(values[i], values[j]).alias(f"c{i}_{j}") for i, j in pairs]]
     out = {}
-    for r in rows:
-        m = np.zeros((k, k))
-        for i, j in pairs:
-            m[i, j] = m[j, i] = r[f"s{i}_{j}"] or 0.0
-        out[tuple(r[b] for b in by)] = Gram(names, m)
+    for r in df.groupBy(*by).agg(*sums).collect() if by else [df.agg(*sums).first()]:
+        if weighted:
+            m = np.zeros((k + 1, k + 1))
+            for i, j in full:
+                m[i, j] = m[j, i] = r[f"s{i}_{j}"] or 0.0
+            g = _about_shift(names, shift, m)
+        else:
+            c = np.zeros((k + 1, k + 1))
+            for i, j in pairs:
+                c[i + 1, j + 1] = c[j + 1, i + 1] = r["n"] * (r[f"c{i}_{j}"] or 0.0)
+            g = Gram.about(names, float(r["n"]), np.array([1.0, *[r[f"m{i}"] or 0.0 for i in range(k)]]), c)
+        out[tuple(r[b] for b in by)] = g
     return out if by else out[()]
 
 
-def _wide_gram(df: DataFrame, columns: dict, w: Column) -> Gram:
-    names = list(columns)
-    k = len(names) + 1
-    design = df.select(w.cast("double").alias("w"), *[_column(c).alias(f"x{i}") for i, c in enumerate(columns.values())])
+def _about_shift(names: Sequence[str], shift: np.ndarray, m: np.ndarray) -> Gram:
+    """A Gram from the sums of [1, columns - shift]."""
+    n = float(m[0, 0])
+    gap = m[0] / n if n else np.zeros(len(m))
+    return Gram.about(names, n, np.array([1.0, *(shift + gap[1:])]), m - n * np.outer(gap, gap))
+
+
+def _wide_sums(df: DataFrame, columns: list[Column], w: Column) -> np.ndarray:
+    k = len(columns) + 1
+    design = df.select(w.alias("w"), *[c.alias(f"x{i}") for i, c in enumerate(columns)])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((k, k))
@@ -93,7 +150,7 @@ def _wide_gram(df: DataFrame, columns: dict, w: Column) -> Gram:
     m = np.zeros((k, k))
     for r in design.mapInArrow(partial, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
         m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["v"]
-    return Gram(("1", *names), m)
+    return m
 
 
 @dataclass
@@ -129,18 +186,34 @@ def linear(names: Sequence[str], beta: Sequence[float], values: dict[str, Column
 
 def solve(g: Gram, outcome: str, design: Sequence[str], ridge: float = 0.0) -> Fit:
     """OLS of ``outcome`` on ``design`` (the constant is "1"), scaled first; a rank-deficient design is refused."""
-    x = g.sub(design, design)
-    xy = g.sub(design, [outcome])[:, 0]
+    if "1" not in design:
+        return _solve(design, g.sub(design, design), g.sub(design, [outcome])[:, 0], float(g.sub([outcome], [outcome])[0, 0]), g.n, ridge)
+    rest = [d for d in design if d != "1"]
+    i, o = g.at(rest) if rest else np.zeros(0, int), g.names.index(outcome)
+    fit = _solve(rest, g.centred[np.ix_(i, i)], g.centred[i, o], float(g.centred[o, o]), g.n, ridge)
+    # the constant comes back: about the means it is apart from the slopes
+    m = g.means[i]
+    beta, inverse = np.zeros(len(design)), np.zeros((len(design), len(design)))
+    at, c = np.array([design.index(d) for d in rest], int), design.index("1")
+    beta[at], beta[c] = fit.beta, g.means[o] - m @ fit.beta
+    inverse[np.ix_(at, at)] = fit.inverse
+    inverse[at, c] = inverse[c, at] = -fit.inverse @ m
+    inverse[c, c] = 1 / g.n + m @ fit.inverse @ m
+    return Fit(tuple(design), beta, fit.rss, inverse, g.n)
+
+
+def _solve(names: Sequence[str], x: np.ndarray, xy: np.ndarray, yy: float, n: float, ridge: float) -> Fit:
+    if not len(names):
+        return Fit((), np.zeros(0), max(0.0, yy), np.zeros((0, 0)), n)
     scale = np.sqrt(np.maximum(np.diag(x), 1e-300))
     unit = x / np.outer(scale, scale)
     if ridge:
-        unit = unit + ridge * np.diag([0.0 if n == "1" else 1.0 for n in design])
-    elif np.linalg.matrix_rank(unit, tol=1e-10 * len(design)) < len(design):
+        unit = unit + ridge * np.eye(len(names))
+    elif np.linalg.matrix_rank(unit, tol=1e-10 * len(names)) < len(names):
         raise EstimationError("the design is rank deficient")
     inverse = np.linalg.inv(unit) / np.outer(scale, scale)
     beta = inverse @ xy
-    yy = float(g.sub([outcome], [outcome])[0, 0])
-    return Fit(tuple(design), beta, max(0.0, yy - 2 * float(beta @ xy) + float(beta @ x @ beta)), inverse, g.n)
+    return Fit(tuple(names), beta, max(0.0, yy - 2 * float(beta @ xy) + float(beta @ x @ beta)), inverse, n)
 
 
 def lasso(g: Gram, outcome: str, design: Sequence[str], penalty: float, rounds: int = 1000) -> dict[str, float]:
@@ -239,6 +312,23 @@ def lag_frame(df: DataFrame, columns: Sequence[str], lags: Sequence[int], time:
     return df.select("*", *[(F.col(c) if k == 0 else F.lag(c, k).over(w)).alias(f"{c}__lag{k}") for c in columns for k in lags])
 
 
+def ranged(df: DataFrame, *order: str) -> DataFrame:
+    """The rows written by ranges of an order, with the range's number ``__p``; rows of equal order share a range."""
+    return written(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+
+
+def running(df: DataFrame, order: str, sums: dict[str, Column]) -> DataFrame:
+    """The rows with sums over all rows that come before in a total order; no task sees more than a range."""
+    parts = ranged(df, order)
+    ahead = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    totals = parts.groupBy("__p").agg(*[F.sum(c).alias(f"__t_{k}") for k, c in sums.items()])
+    before = totals.select("__p", *[F.coalesce(F.sum(f"__t_{k}").over(ahead), F.lit(0)).alias(f"__b_{k}") for k in sums])
+    inside = Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = parts.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__l_{k}") for k, c in sums.items()])
+    joined = local.join(F.broadcast(before), "__p")
+    return joined.select(*df.columns, *[(F.col(f"__l_{k}") + F.col(f"__b_{k}")).alias(k) for k in sums])
+
+
 def replicates(df: DataFrame, count: int) -> DataFrame:
     """R7: each row once per replicate, so that all refits are groups of one job."""
     return df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))

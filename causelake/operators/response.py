@@ -14,7 +14,7 @@ from causelake.errors import EstimationError
 from causelake.functions import special
 from causelake.functions.transforms import bspline_columns, gaussian_density, intervened, uniform
 from causelake.operators.estimate import _row, global_rank
-from causelake.operators.reduce import Fit, _wide_gram, gram, linear, solve
+from causelake.operators.reduce import Fit, gram, linear, solve
 from causelake.schema import WEIGHT, complete_cases
 
 
@@ -118,7 +118,7 @@ def gam(df: DataFrame, y: str, smooth: dict[str, int], linear_terms: Sequence[st
         groups.append((len(columns), len(basis)))
         columns |= {f"s({c}){i}": b for i, b in enumerate(basis)}
     # in Arrow batches: nested basis expressions would be repeated in every product of a sum
-    g = _wide_gram(df, {**columns, y: y}, F.lit(1.0))
+    g = gram(df, {**columns, y: y}, batches=True)
     design = ["1", *columns]
     x, xy = g.sub(design, design), g.sub(design, [y])[:, 0]
     p = 1e-9 * g.n * np.eye(len(design))

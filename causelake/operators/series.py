@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from causelake.errors import DataError
 from causelake.functions import special
 from causelake.operators.estimate import _row
-from causelake.operators.reduce import gram, lag_frame, solve
+from causelake.operators.reduce import gram, lag_frame, ranged, running, solve
+from causelake.scratch import sized, written
 
 
 def event_grid(events: DataFrame, time_us: str, value: str, step_us: int, key: str, by: Sequence[str] = ()) -> DataFrame:
     """Regular grid from the first event: half-open bins, the last event of a bin wins, empty bins are null."""
     start = events.groupBy(*by).agg(F.min(time_us).alias("__t0"), F.max(time_us).alias("__t1"))
+    start = written(start, "starts")  # one row a group: broadcast only if few
     bins = start.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__t1") - F.col("__t0")) / step_us).cast("long"))))
-    joined = events.join(F.broadcast(start), list(by)) if by else events.join(F.broadcast(start))
+    joined = events.join(sized(start), list(by)) if by else events.join(F.broadcast(start))
     held = joined.groupBy(*by, F.floor((F.col(time_us) - F.col("__t0")) / step_us).cast("long").alias("bin")).agg(F.max_by(value, F.struct(time_us, key)).alias("value"))
     return bins.select(*by, "bin").join(held, [*by, "bin"], "left")
 
@@ -55,7 +57,7 @@ def cusum(df: DataFrame, value: str, order: str) -> DataFrame:
 
     The running sum is taken inside ranges and offset by the ranges before, so no task holds the series.
     """
-    parts = df.select(F.col(order).alias("o"), F.col(value).cast("double").alias("x")).repartitionByRange("o").withColumn("p", F.spark_partition_id()).persist()
+    parts = ranged(df.select(F.col(order).alias("o"), F.col(value).cast("double").alias("x")), "o").withColumnRenamed("__p", "p")
     mean = parts.agg(F.avg("x").alias("m"))
     local = parts.join(F.broadcast(mean)).withColumn("d", F.col("x") - F.col("m"))
     sums = local.groupBy("p").agg(F.sum("d").alias("s"))
@@ -83,7 +85,7 @@ def mean_difference(df: DataFrame, value: str, group: Column) -> DataFrame:
 def mann_whitney(df: DataFrame, value: str, group: Column) -> DataFrame:
     """Classifier AUC by average ranks with tie-corrected variance: one row per distinct value is all that is ordered."""
     levels = df.select(F.col(value).alias("v"), group.alias("g")).groupBy("v").agg(F.sum(F.col("g").cast("double")).alias("a"), F.sum((~F.col("g")).cast("double")).alias("b"))
-    run = levels.withColumn("below", F.coalesce(F.sum("b").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    run = running(levels, "v", {"below": F.col("b")})
     t = F.col("a") + F.col("b")
     s = run.agg(F.sum(F.col("a") * (F.col("below") + F.col("b") / 2)).alias("u"), F.sum("a").alias("n1"), F.sum("b").alias("n0"), F.sum(t**3 - t).alias("ties"))
     n = F.col("n1") + F.col("n0")
@@ -92,22 +94,39 @@ def mann_whitney(df: DataFrame, value: str, group: Column) -> DataFrame:
 
 
 def adjust_p(df: DataFrame, p: str = "p", method: str = "bh", out: str = "adjusted") -> DataFrame:
-    """BH, BY, Holm or Bonferroni over the whole table of tests (a table of tests is small; ties share a value)."""
-    n = F.count("*").over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(p))
-    ranked = df.withColumn("__n", n).withColumn("__r", rank)
+    """BH, BY, Holm or Bonferroni over the whole table of tests.
+
+    Ranks and running extremes are taken inside ranges of p and carried over one row a range.
+    """
+    if method not in ("bh", "by", "holm", "bonferroni"):
+        raise DataError(f"no adjustment {method!r}")
+    parts = ranged(df, p)
+    sizes = parts.groupBy("__p").agg(F.count("*").alias("__c"))
+    n = parts.count()
+    ahead, behind = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("__p").rowsBetween(1, Window.unboundedFollowing)
+    before = sizes.select("__p", F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__b"))
+    ranked = parts.withColumn("__l", F.row_number().over(Window.partitionBy("__p").orderBy(p))).join(F.broadcast(before), "__p").withColumn("__r", F.col("__l") + F.col("__b"))
     if method == "bonferroni":
-        q = F.col(p) * F.col("__n")
+        value = F.col(p) * n
     elif method == "holm":
-        q = F.max(F.col(p) * (F.col("__n") - F.col("__r") + 1)).over(Window.orderBy("__r"))
+        value = F.col(p) * (n - F.col("__r") + 1)
     else:
-        c = F.col("__n") / F.col("__r")
-        if method == "by":
-            c = c * F.aggregate(F.sequence(F.lit(1), F.col("__n").cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
-        elif method != "bh":
-            raise DataError(f"no adjustment {method!r}")
-        q = F.min(F.col(p) * c).over(Window.orderBy(F.col("__r").desc()))
-    return ranked.withColumn(out, F.least(F.lit(1.0), q)).drop("__n", "__r")
+        value = F.col(p) * n / F.col("__r") * (harmonic(n) if method == "by" else 1.0)
+    ranked = ranked.withColumn("__v", value)
+    if method != "bonferroni":
+        up = method == "holm"
+        extreme, pick = (F.max, F.greatest) if up else (F.min, F.least)
+        ends = ranked.groupBy("__p").agg(extreme("__v").alias("__e")).select("__p", extreme("__e").over(ahead if up else behind).alias("__o"))
+        inside = Window.partitionBy("__p").orderBy(F.col("__r") if up else F.col("__r").desc())
+        ranked = ranked.withColumn("__i", extreme("__v").over(inside)).join(F.broadcast(ends), "__p").withColumn("__v", pick("__i", "__o"))
+    return ranked.select(*df.columns, F.least(F.lit(1.0), F.col("__v")).alias(out))
+
+
+def harmonic(n: int) -> float:
+    """1 + 1/2 + ... + 1/n."""
+    if n <= 1_000_000:
+        return float((1.0 / np.arange(1, n + 1)).sum())
+    return math.log(n) + 0.5772156649015329 + 1 / (2 * n) - 1 / (12 * n * n)
 
 
 def rolling_regression(df: DataFrame, x: str, y: str, time: str, window: int, by: Sequence[str] = ()) -> DataFrame:

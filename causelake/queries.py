@@ -116,8 +116,8 @@ def ipw_atc(spark, sf_dir):
 
 
 def _aipw_sql(score: str, share: str) -> str:
-    return f"""with {CELLS}, f as (select {score} as s, {share} as h from w)
-select round(avg(s) / avg(h), 4) as effect, round(stddev_samp(s) / sqrt(count(*)) / avg(h), 4) as se_plain, count(*) as n from f"""
+    return f"""with {CELLS}, f as (select {score} as s, {share} as h from w), m as (select avg(s) / avg(h) as m from f)
+select round(max(m), 4) as effect, round(stddev_samp(s - m * h) / sqrt(count(*)) / avg(h), 4) as se_plain, count(*) as n from f cross join m"""
 
 
 @query(_aipw_sql("m1 - m0 + t * (y - m1) / e - (1 - t) * (y - m0) / (1 - e)", "1.0::double"))
@@ -152,15 +152,17 @@ def overlap_report(spark, sf_dir):
     return rounded(est.overlap_report(_scored(spark, sf_dir), "t", thresholds=(0.01, 0.05, 0.1, 0.4)), 6, ess=4)
 
 
-@query(f"""with {BASE}, s as (select count(*)::double as n, covar_pop(z, y) as zy, covar_pop(z, t) as zt, var_pop(z) as vz, var_pop(t) as vt from base)
-select round(zy / zt, 2) as effect, round((zt / vz) ** 2 / ((vt - zt * zt / vz) * n / (n - 2) / (n * vz)), 4) as first_stage_f, n::bigint as n from s""")
+@query(f"""with {BASE}, s as (select count(*)::double as n, covar_pop(z, y) as zy, covar_pop(z, t) as zt, var_pop(z) as vz, var_pop(t) as vt, var_pop(y) as vy, covar_pop(t, y) as ty from base)
+select round(zy / zt, 2) as effect, round(sqrt((vy - 2 * zy / zt * ty + (zy / zt) ** 2 * vt) * n / (n - 2) * vz / n) / abs(zt), 2) as se, round((zt / vz) ** 2 / ((vt - zt * zt / vz) * n / (n - 2) / (n * vz)), 4) as first_stage_f, n::bigint as n from s""")
 def wald_iv(spark, sf_dir):
-    return rounded(est.wald_iv(orders_frame(spark, sf_dir), "z", "t", "y").drop("se"), effect=2)
+    return rounded(est.wald_iv(orders_frame(spark, sf_dir), "z", "t", "y", weak=0.0), effect=2, se=2)
 
 
-@query(f"with {BASE} select round(covar_pop(acct, y) / covar_pop(acct, t), 2) as effect, count(*) as n from base")
+@query(f"""with {BASE}, s as (select count(*)::double as n, covar_pop(acct, y) as zy, covar_pop(acct, t) as zt, var_pop(acct) as vz, var_pop(t) as vt, var_pop(y) as vy, covar_pop(t, y) as ty from base)
+select round(zy / zt, 2) as effect, round(sqrt((vy - 2 * zy / zt * ty + (zy / zt) ** 2 * vt) * n / (n - 2) * vz / n) / abs(zt), 2) as se,
+  round((zt / vz) ** 2 / ((vt - zt * zt / vz) * n / (n - 2) / (n * vz)), 4) as first_stage_f, n::bigint as n from s""")
 def two_stage_least_squares(spark, sf_dir):
-    return rounded(est.two_stage(orders_frame(spark, sf_dir), ["acct"], "t", "y").select("effect", "n"), 2)
+    return rounded(est.two_stage(orders_frame(spark, sf_dir), ["acct"], "t", "y"), 2, first_stage_f=4)
 
 
 def _with_lines(spark, sf_dir):
@@ -171,25 +173,30 @@ def _with_lines(spark, sf_dir):
 LINES = f"{BASE}, lm as (select base.*, k::double as m from base join (select l_orderkey, count(*) as k from lineitem group by 1) on o_orderkey = l_orderkey)"
 
 
-@query(f"""with {LINES}, s as (select covar_pop(t, m) as tm, var_pop(t) as vt, var_pop(m) as vm, covar_pop(m, y) as my, covar_pop(t, y) as ty, count(*) as n from lm)
-select round(tm / vt * (my * vt - tm * ty) / (vm * vt - tm * tm), 4) as effect, n from s""")
+@query(f"""with {LINES}, s as (select covar_pop(t, m) as tm, var_pop(t) as vt, var_pop(m) as vm, covar_pop(m, y) as my, covar_pop(t, y) as ty, avg(t) as at, avg(m) as am, avg(y) as ay from lm),
+k as (select *, tm / vt as a, (my * vt - tm * ty) / (vm * vt - tm * tm) as b, (ty * vm - tm * my) / (vm * vt - tm * tm) as c from s),
+r as (select a, b, vt, vm - a * tm as vr, t - at as dt, (m - am) - a * (t - at) as rm, (y - ay) - b * (m - am) - c * (t - at) as ry from lm cross join k)
+select round(max(a * b), 4) as effect, round(sqrt(sum((b * dt * rm / vt + a * rm * ry / vr) ** 2)) / count(*), 4) as se, count(*) as n from r""")
 def frontdoor_two_stage(spark, sf_dir):
     g = Admg(["t", "m", "y"], [("t", "m"), ("m", "y")], [("t", "y")])
     return rounded(est.frontdoor_effect(_with_lines(spark, sf_dir), "t", idf.frontdoor(g, "t", "y").mediators, "y"))
 
 
-@query("""with r as (select l_quantity - 25 as r, l_extendedprice as y from lineitem where abs(l_quantity - 25) <= 10)
-select round(regr_intercept(y, r) filter (where r >= 0) - regr_intercept(y, r) filter (where r < 0), 4) as effect, count(*) as n from r""")
+@query("""with r as (select l_quantity - 25 as r, l_extendedprice as y from lineitem where abs(l_quantity - 25) <= 10),
+s as (select r >= 0 as side, regr_intercept(y, r) as i, count(*) as n, avg(r) as m, var_pop(r) as v, count(*) * (var_pop(y) - covar_pop(r, y) ** 2 / var_pop(r)) as rss from r group by 1)
+select round(sum(case when side then i else -i end), 4) as effect, round(sqrt(sum(rss) / (sum(n) - 4) * sum(1 / n + m * m / (n * v))), 4) as se, sum(n)::bigint as n from s""")
 def sharp_rd(spark, sf_dir):
-    return rounded(est.sharp_rd(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", 25, 10).drop("se"))
+    return rounded(est.sharp_rd(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", 25, 10))
 
 
 @query(f"""with {BASE}, m as (select avg(acct) as w from base), f as (
   select regr_slope(y, acct) filter (where t > 0.5) as s1, regr_intercept(y, acct) filter (where t > 0.5) as i1,
-         regr_slope(y, acct) filter (where t <= 0.5) as s0, regr_intercept(y, acct) filter (where t <= 0.5) as i0, count(*) as n from base)
-select round(i1 - i0 + (s1 - s0) * w, 4) as effect, round(w, 4) as modifier_mean, n from f cross join m""")
+         regr_slope(y, acct) filter (where t <= 0.5) as s0, regr_intercept(y, acct) filter (where t <= 0.5) as i0, count(*) as n from base),
+a as (select t, count(*) as n, avg(acct) as m, var_pop(acct) as v, count(*) * (var_pop(y) - covar_pop(acct, y) ** 2 / var_pop(acct)) as rss from base group by 1),
+e as (select sqrt(sum(rss) / (sum(n) - 4) * sum(1 / n + (w - m) ** 2 / (n * v))) as se from a cross join m group by w)
+select round(i1 - i0 + (s1 - s0) * w, 4) as effect, round(se, 4) as se, round(w, 4) as modifier_mean, n from f cross join m cross join e""")
 def conditional_effect(spark, sf_dir):
-    return rounded(est.conditional_effect(orders_frame(spark, sf_dir), "t", "y", "acct").drop("se"))
+    return rounded(est.conditional_effect(orders_frame(spark, sf_dir), "t", "y", "acct"))
 
 
 @query(f"""with {BASE}, a as (select seg, avg(case when t > 0.5 then yb end) as y1, avg(case when t <= 0.5 then yb end) as y0, count(*)::double as k from base group by 1)
@@ -232,10 +239,11 @@ LAGGED = """l as (select user_id, event_id, value as y, lag(value, 1) over w as
 k as (select * from l where x1 is not null and x2 is not null)"""
 
 
-@query(f"""with {LAGGED}, s as (select count(*) as n, var_pop(x1) as va, var_pop(x2) as vb, covar_pop(x1, x2) as ab, covar_pop(x1, y) as ay, covar_pop(x2, y) as byy from k)
-select round((ay * vb - ab * byy) / (va * vb - ab * ab), 6) as effect, n from s""")
+@query(f"""with {LAGGED}, s as (select count(*) as n, var_pop(y) as vy, var_pop(x1) as va, var_pop(x2) as vb, covar_pop(x1, x2) as ab, covar_pop(x1, y) as ay, covar_pop(x2, y) as byy from k),
+b as (select *, (ay * vb - ab * byy) / (va * vb - ab * ab) as b1, (byy * va - ab * ay) / (va * vb - ab * ab) as b2 from s)
+select round(b1, 6) as effect, round(sqrt((vy - b1 * ay - b2 * byy) / (n - 3) / (va - ab * ab / vb)), 6) as se, n from b""")
 def temporal_adjustment(spark, sf_dir):
-    return rounded(ser.temporal_adjustment(table(spark, sf_dir, "events"), "value", "value", "event_id", 1, [("value", 2)], ["user_id"]).drop("se"), 6)
+    return rounded(ser.temporal_adjustment(table(spark, sf_dir, "events"), "value", "value", "event_id", 1, [("value", 2)], ["user_id"]), 6)
 
 
 @query(f"""with {LAGGED} select count(*) as rows_kept, round(sum(x1), 2) as sum_lag1, round(sum(x2), 2) as sum_lag2, round(sum(y * x1), 0) as cross_lag1 from k""")
@@ -430,12 +438,13 @@ w as (select *, region <= 2 as i, (1 - s) / s * case when t > 0.5 then 1 / e els
 
 @query(f"""with {TRIAL} select round(sum(case when i then g * w * y end) / sum(case when i then 0 else 1 end), 4) as ipw,
   round(sum(case when i then g * w * (y - case when t > 0.5 then m1 else m0 end) else m1 - m0 end) / sum(case when i then 0 else 1 end), 4) as aipw,
-  sum(case when i then 0 else 1 end)::bigint as n_target from w""")
+  round(sum(case when i and t > 0.5 then w end) ** 2 / sum(case when i and t > 0.5 then w * w end), 4) as ess_treated,
+  round(sum(case when i and t <= 0.5 then w end) ** 2 / sum(case when i and t <= 0.5 then w * w end), 4) as ess_control, sum(case when i then 0 else 1 end)::bigint as n_target from w""")
 def trial_transport(spark, sf_dir):
     o = orders_frame(spark, sf_dir).withColumn("trial", F.col("region") <= 2)
     inside = lambda c: F.when(F.col("trial") & c, F.col("y"))
     s = o.groupBy("seg").agg(F.avg(F.col("trial").cast("double")).alias("s"), F.avg(F.when(F.col("trial"), F.col("t"))).alias("e"), F.avg(inside(F.col("t") > 0.5)).alias("m1"), F.avg(inside(F.col("t") <= 0.5)).alias("m0"))
-    return rounded(est.trial_transport(o.join(s, "seg"), "y", "t", "trial", "s", "e", "m1", "m0").select("ipw", "aipw", "n_target"))
+    return rounded(est.trial_transport(o.join(s, "seg"), "y", "t", "trial", "s", "e", "m1", "m0"))
 
 
 @query("""with d as (select lang, source, quality from documents left join labels using (doc_id)),
