@@ -143,6 +143,14 @@ def intervened(column: str, kind: str, value: float | Sequence[tuple[float, floa
     raise DataError(f"no intervention {kind!r}")
 
 
+def derivative_scale(kind: str, slope: Column, treatment: Column, outcome: Column) -> Column:
+    """A derivative dy/dt on another scale: of log t, of log y, or of both (an elasticity)."""
+    scales = {"identity": slope, "log_treatment": slope * treatment, "log_outcome": slope / outcome, "log_log": slope * treatment / outcome}
+    if kind not in scales:
+        raise DataError(f"no derivative scale {kind!r}")
+    return scales[kind]
+
+
 def uniform(seed: int, stream: str | int, *keys: str | Column) -> Column:
     """A uniform on (0, 1) that depends on the seed, the stream and the row's key only."""
     h = F.xxhash64(F.lit(seed), F.lit(str(stream)), *[F.col(k) if isinstance(k, str) else k for k in keys])

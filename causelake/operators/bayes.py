@@ -178,6 +178,13 @@ def mixture_prior(parts: Sequence[tuple[float, float, float]]) -> tuple[float, f
     return mean, sum(w * (v + (m - mean) ** 2) for w, m, v in parts) / total
 
 
+def intersect_intervals(intervals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``low, high`` that all identified intervals of a group share; null where they share none."""
+    s = intervals.groupBy(*by).agg(F.max("low").alias("l"), F.min("high").alias("h"))
+    held = F.col("l") <= F.col("h")
+    return s.select(*by, F.when(held, F.col("l")).alias("low"), F.when(held, F.col("h")).alias("high"))
+
+
 def effect_envelope(graphs: DataFrame) -> DataFrame:
     """Mixture over graphs of (weight, effect or null): unidentified mass is reported, never spread over the rest."""
     known = F.col("effect").isNotNull()

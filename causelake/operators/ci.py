@@ -92,6 +92,33 @@ def g_squared(df: DataFrame, x: str, y: str, z: Sequence[str] = ()) -> DataFrame
     return _row(df, statistic=g, dof=int(d), p=special.chi2_sf(g, d))
 
 
+def symbolic_cmi(df: DataFrame, x: str, y: str, z: Sequence[str] = (), bins: int | None = None) -> DataFrame:
+    """Conditional mutual information of symbols (nats) with its G-squared test: columns as they are, or binned to equal widths."""
+    from causelake.functions.transforms import equal_width_bin
+
+    for c in (x, y, *z) if bins else ():
+        df = equal_width_bin(df, c, bins, f"__s_{c}").drop(c).withColumnRenamed(f"__s_{c}", c)
+    g = g_squared(df, x, y, z).first()
+    n = complete_cases(df, [x, y, *z]).count()
+    return _row(df, cmi=g["statistic"] / (2 * n) if n else 0.0, statistic=g["statistic"], dof=int(g["dof"]), p=g["p"])
+
+
+def named_test(df: DataFrame, name: str, columns: Sequence[str] = (), graph=None) -> Callable[[str, str, Sequence[str]], tuple[float, float]]:
+    """A test for the searches by name: ``parcorr`` (also ``regression``), ``robust_parcorr``, ``g_squared``, ``symbolic_cmi``, ``oracle``."""
+    if name in ("parcorr", "regression"):
+        return Covariance.of(df, list(columns)).test
+    if name == "robust_parcorr":
+        scored = robust_scores(df, columns).select(*[F.col(f"{c}__score").alias(c) for c in columns])
+        return Covariance.of(scored, list(columns)).test
+    if name == "g_squared":
+        return discrete_test(df)
+    if name == "symbolic_cmi":
+        return lambda x, y, z=(): (lambda r: (r["cmi"], r["p"]))(symbolic_cmi(df, x, y, z).first())
+    if name == "oracle":
+        return oracle_test(graph)
+    raise EstimationError(f"no independence test {name!r}")
+
+
 def discrete_test(df: DataFrame) -> Callable[[str, str, Sequence[str]], tuple[float, float]]:
     """A test function over G-squared, for the searches."""
 

@@ -129,6 +129,16 @@ def ipw_weights(t: str, e: str, target: str) -> Column:
     raise Unsupported(f"no target {target!r}")
 
 
+def rank_by_positivity(df: DataFrame, t: str, sets: Sequence[Sequence[str]], floor: float = 0.05) -> DataFrame:
+    """Adjustment sets by how well both arms occur in their cells: share of rows in cells without positivity, then least share, then name."""
+    parts = []
+    for z in sets:
+        cells = df.groupBy(*z).agg(F.avg(_treated(t).cast("double")).alias("e"), F.count("*").alias("n"))
+        side = F.least("e", 1 - F.col("e"))
+        parts.append(cells.agg(F.lit(",".join(z)).alias("adjustment"), (F.sum(F.when(side < floor, F.col("n")).otherwise(0)) / F.sum("n")).alias("violating"), F.min(side).alias("least_share")))
+    return fold(DataFrame.unionByName, parts).orderBy("violating", F.desc("least_share"), "adjustment")
+
+
 def trim(df: DataFrame, e: str, threshold: float) -> DataFrame:
     """Drops rows whose raw score lies outside [threshold, 1 - threshold]."""
     return df.where(F.col(e).between(threshold, 1 - threshold))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from causelake.errors import DataError
 from causelake.functions import special
 from causelake.operators.estimate import _row
-from causelake.operators.reduce import gram, lag_frame, ranged, running, solve
+from causelake.operators.reduce import gram, lag_frame, linear, ranged, running, solve
+from causelake.schema import TIME
 from causelake.scratch import sized, written
 
 
@@ -52,6 +53,49 @@ def temporal_response(df: DataFrame, t: str, y: str, time: str, lags: Sequence[i
     return df.sparkSession.createDataFrame(out, "dose double, horizon long, mean double")
 
 
+def lagged_model(df: DataFrame, template: Sequence[tuple[str, int, str]], time: str, by: Sequence[str] = ()) -> dict[tuple[str, int, str], float]:
+    """Coefficients of a linear lagged model: each effect regressed on its lagged causes, all lags from one frame."""
+    frame = df
+    for c in sorted({a for a, _, _ in template}):
+        frame = lag_frame(frame, [c], sorted({k for a, k, _ in template if a == c}), time, by)
+    out = {}
+    for y in sorted({b for _, _, b in template}):
+        parents = sorted({(a, k) for a, k, b in template if b == y})
+        names = [f"{a}__lag{k}" for a, k in parents]
+        rows = frame
+        for n in [*names, y]:
+            rows = rows.where(F.col(n).isNotNull())
+        fit = solve(gram(rows, [*names, y]), y, ["1", *names])
+        out |= {(a, k, y): fit[n] for (a, k), n in zip(parents, names)}
+    return out
+
+
+def temporal_mediation_effect(df: DataFrame, template: Sequence[tuple[str, int, str]], t: str, y: str, horizon: int, time: str, by: Sequence[str] = (), delta: float = 1.0) -> DataFrame:
+    """Total, direct and mediated effect of t on y over a horizon, by products of lagged coefficients along the paths."""
+    from causelake.plans.identify import temporal_mediation
+
+    b = lagged_model(df, template, time, by)
+    paths = temporal_mediation(template, t, y, horizon)
+    share = {path: math.prod(b[step] for step in path) * delta for path in paths}
+    direct = sum(v for path, v in share.items() if len(path) == 1)
+    total = sum(share.values())
+    return _row(df, total=float(total), direct=float(direct), mediated=float(total - direct), paths=len(paths))
+
+
+def temporal_predict(df: DataFrame, y: str, parents: Sequence[tuple[str, int]], time: str, by: Sequence[str] = (), do: dict[tuple[str, int], float] | None = None, out: str = "prediction") -> DataFrame:
+    """Rows with the linear prediction of y from its lagged parents, some of them set; null where a parent is missing."""
+    frame = df
+    for c in sorted({a for a, _ in parents}):
+        frame = lag_frame(frame, [c], sorted({k for a, k in parents if a == c}), time, by)
+    names = [f"{a}__lag{k}" for a, k in parents]
+    rows = frame
+    for n in [*names, y]:
+        rows = rows.where(F.col(n).isNotNull())
+    fit = solve(gram(rows, [*names, y]), y, ["1", *names])
+    fixed = {f"{a}__lag{k}": F.lit(float(v)) for (a, k), v in (do or {}).items()}
+    return frame.withColumn(out, linear(fit.names, fit.beta, fixed)).drop(*names)
+
+
 def cusum(df: DataFrame, value: str, order: str) -> DataFrame:
     """Largest absolute cumulative demeaned sum and where it is reached, over one series.
 
@@ -184,6 +228,13 @@ def phase_surrogate(df: DataFrame, unit: str, time: str, value: str, seed: int)
 # --- splits: by the hash of a key, never by partition
 
 
+def random_split(df: DataFrame, key: Sequence[str], fraction: float, seed: int = 0, allow_temporal: bool = False) -> DataFrame:
+    """:func:`hash_split`, refused for rows with a declared time unless allowed: it would put the future into training."""
+    if TIME in df.columns and not allow_temporal:
+        raise DataError("a random split of ordered rows leaks the future: split by time, or allow it")
+    return hash_split(df, key, fraction, seed)
+
+
 def hash_split(df: DataFrame, key: Sequence[str], fraction: float, seed: int = 0) -> DataFrame:
     from causelake.functions.transforms import uniform
 

@@ -173,9 +173,9 @@ def _with_lines(spark, sf_dir):
 LINES = f"{BASE}, lm as (select base.*, k::double as m from base join (select l_orderkey, count(*) as k from lineitem group by 1) on o_orderkey = l_orderkey)"
 
 
-@query(f"""with {LINES}, s as (select covar_pop(t, m) as tm, var_pop(t) as vt, var_pop(m) as vm, covar_pop(m, y) as my, covar_pop(t, y) as ty, avg(t) as at, avg(m) as am, avg(y) as ay from lm),
+@query(f"""with {LINES}, s as (select covar_pop(t, m) as tm, var_pop(t) as vt, var_pop(m) as vm, covar_pop(m, y) as my, covar_pop(t, y) as ty, avg(t) as mt0, avg(m) as mm0, avg(y) as my0 from lm),
 k as (select *, tm / vt as a, (my * vt - tm * ty) / (vm * vt - tm * tm) as b, (ty * vm - tm * my) / (vm * vt - tm * tm) as c from s),
-r as (select a, b, vt, vm - a * tm as vr, t - at as dt, (m - am) - a * (t - at) as rm, (y - ay) - b * (m - am) - c * (t - at) as ry from lm cross join k)
+r as (select a, b, vt, vm - a * tm as vr, t - mt0 as dt, (m - mm0) - a * (t - mt0) as rm, (y - my0) - b * (m - mm0) - c * (t - mt0) as ry from lm cross join k)
 select round(max(a * b), 4) as effect, round(sqrt(sum((b * dt * rm / vt + a * rm * ry / vr) ** 2)) / count(*), 4) as se, count(*) as n from r""")
 def frontdoor_two_stage(spark, sf_dir):
     g = Admg(["t", "m", "y"], [("t", "m"), ("m", "y")], [("t", "y")])
