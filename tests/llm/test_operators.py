@@ -2,9 +2,12 @@
 
 import hashlib
 import random
+import sys
+import unicodedata
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -144,11 +147,75 @@ def test_byte_bpe_equals_library():
         assert own.decode(got) == tk.decode(want, skip_special_tokens=False)
 
 
+def test_letters_that_lower_case_parts_equal_library():
+    """Every code point whose normalised lower case is no run of letters, and a sample of the others, before symbols."""
+    import pyarrow as pa
+
+    from causelake.llm.wordmemo import encode_dropping_space, library_tokenizer, space_free_memo
+
+    spec = bpe.public_spec("word_bpe_49k.json")
+    tk, memo = library_tokenizer(spec), space_free_memo(spec)
+    points = [chr(i) for i in range(1, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+    odd = [c for c in points if c.isalpha() and not unicodedata.normalize("NFC", c).lower().isalpha()]
+    texts = [f.replace("{}", c) for c in odd + points[:0x600] + points[::211] for f in ("a{}.!", "{}?!b", "x {}\n{}'s")] + ["DENİZLİ.", "İ!"]
+    assert "\u0130" in odd
+    ids, n = encode_dropping_space(memo, pa.array(texts))
+    ends = np.cumsum(n)
+    for t, e, a, b in zip(texts, tk.encode_batch(texts, add_special_tokens=False), ends - n, ends):
+        assert e.ids == ids[a:b].tolist(), t
+
+
+def test_long_words_equal_library():
+    tk, own = library("byte_bpe_50k.json"), bpe.ByteBPE(bpe.public_spec("byte_bpe_50k.json"))
+    assert own._ascending
+    rng = random.Random(7)
+    texts = ["a" * n for n in (199, 200, 201, 202, 1001)] + ["ab" * 400, "aab" * 300, "=-" * 300, "é" * 300]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(180, 1200))) for letters in ("ab", "aab", "etaoin", "éèàü日本") * 20]
+    ids, n = own.encode_batch(texts)
+    ends = np.cumsum(n)
+    for t, a, b in zip(texts, ends - n, ends):
+        assert tk.encode(t, add_special_tokens=False).ids == ids[a:b].tolist()
+
+
+def test_bpe_query_hashes(spark):
+    from causelake.llm import registry
+
+    tk = library("byte_bpe_50k.json")
+    got = {r["doc_id"]: r for r in registry.QUERIES["op8_numpy_bpe"](spark, "/root/testdata/sf0.001").collect()}
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        ids = tk.encode(r["text"] or "", add_special_tokens=False).ids
+        said = tk.decode(ids, skip_special_tokens=False)
+        want = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(said.encode()).hexdigest())
+        assert (got[r["doc_id"]]["n_tokens"], got[r["doc_id"]]["ids_sha256"], got[r["doc_id"]]["decoded_sha256"]) == want
+
+
+def test_token_query_equals_library(spark):
+    from causelake.llm import registry
+
+    tk = library("word_bpe_49k.json")
+    got = {r["doc_id"]: r for r in registry.QUERIES["op2_token_wavelet"](spark, "/root/testdata/sf0.001").collect()}
+    at = 0
+    for r in sorted(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect(), key=lambda r: r["doc_id"]):
+        ids = tk.encode(r["text"] or "", add_special_tokens=False).ids + [1]
+        row = got[r["doc_id"]]
+        assert (row["start"], row["n_tokens"], row["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert (row["last_id"], row["n_end_ids"]) == (1, ids.count(1))
+        at += len(ids)
+
+
+def test_lookups_touch_few_chunks():
+    ids = np.random.default_rng(3).integers(0, 40_000, 400_000)
+    w = token_shards.WaveletMatrix(token_shards.build_shard(ids, [1], np.array([len(ids)])))
+    assert w.access([123_456])[0] == ids[123_456] and w.loaded.sum() <= w.bits
+    assert w.count(int(ids[5]), 100_000, 300_000) == (ids[100_000:300_000] == ids[5]).sum()
+    assert w.loaded.sum() <= 3 * w.bits < w.loaded.size
+
+
 def test_shards_equal_library(docs):
     tk = library("word_bpe_49k.json")
     rows = [(i, t) for i, t in enumerate(TEXTS * 3)] + [(100, None)]
     shards = token_shards.write_shards(docs(rows), bpe.public_spec("word_bpe_49k.json"), shard_tokens=40)
-    got = {r["doc_id"]: tuple(r)[1:] for r in token_shards.read_shards(token_shards.materialise(shards, "t")).collect()}
+    got = {r["doc_id"]: tuple(r)[1:4] for r in token_shards.read_shards(token_shards.materialise(shards, "t")).collect()}
     at = 0
     for i, t in rows:
         ids = tk.encode(t or "", add_special_tokens=False).ids + [1]
@@ -188,6 +255,51 @@ def test_spans_equal_brute_force(docs):
     assert len(got) == len(rows) and all(r["s"] == brute_spans(r["text"]) for r in got)
 
 
+def test_ledger_query_equals_brute_force_over_two_runs(spark, docs, monkeypatch, tmp_path):
+    rows = [(i, t) for i, t in AWKWARD if i is not None] + [(k, SECRETS if k % 3 else f"{k} clean") for k in range(20, 60)]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, scan = [], secrets.scan
+
+    def counted(versions, ledger=None, rules=secrets.RULES):
+        out = secrets.materialise(scan(versions, ledger, rules), "counted")
+        seen.append({(bytes(r["blob"]), r["rule"]) for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(secrets, "scan", counted)
+    got = secrets.op9_secret_ledger(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["spans"]) for r in got) == sorted((i, brute_spans(t or "")) for i, t in rows)
+    first, second = seen
+    assert first and second and not first & second and {k for _, k in first} == {"assign@1", "access@1", "hex@0"}
+    blobs = len({t or "" for _, t in rows})
+    assert len({p for p in first | second if not p[1].endswith("@0")}) == 3 * blobs
+
+
+def test_few_unseen_blobs_are_scanned_alone(docs, monkeypatch):
+    v = docs([(k, f"token=abcdefgh{k:04d}") for k in range(30)]).select("doc_id", "text")
+    first = secrets.materialise(secrets.scan(v.where("doc_id < 28")), "first")
+    for few in (0, 100):
+        monkeypatch.setattr(secrets, "FEW_BLOBS", few)
+        assert secrets.scan(v, first).count() == 2 * len(secrets.RULES)
+
+
+def test_findings_keep_clashing_columns(docs):
+    d = docs([(1, SECRETS), (2, None)])
+    out = secrets.findings(d, secrets.scan(d.select(F.coalesce("text", F.lit("")).alias("text"))))
+    assert out.columns == [*d.columns, "blob_", "spans_"] and {r["spans"] for r in out.collect()} == {"x"}
+    assert {r["doc_id"]: len(r["spans_"]) > 0 for r in out.collect()} == {1: True, 2: False}
+
+
+def test_hot_paths_join_alike(docs, monkeypatch):
+    from causelake.llm import common
+
+    rows = [(k, SECRETS) for k in range(40)] + [(50, "clean"), (51, None)]
+    d = docs(rows).select("doc_id", "text")
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    v = d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    got = secrets.findings(v, secrets.scan(v)).select("doc_id", secrets.spans_text(F.col("spans")).alias("s")).collect()
+    assert sorted((r["doc_id"], r["s"]) for r in got) == sorted((i, brute_spans(t or "")) for i, t in rows)
+
+
 def test_ledger_scans_only_unseen_pairs(docs):
     v = docs([(1, SECRETS), (2, SECRETS), (3, "clean")]).select("doc_id", "text")
     first = secrets.scan(v)
@@ -246,6 +358,36 @@ def test_decontamination_equals_brute_force(spark, docs):
     assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(d) for d, _ in rows if not any(k[0] == d for k in want))
 
 
+def test_multi_index_loses_nothing_within_its_radius(spark):
+    rng = random.Random(9)
+    items = [(i, 10, rng.getrandbits(60)) for i in range(60)]
+    windows = []
+    for i, n, p in items:
+        for flips in range(0, 24, 2):
+            q = p
+            for b in rng.sample(range(60), flips):
+                q ^= 1 << b
+            windows.append((len(windows), n, q))
+    windows += [(len(windows) + k, 10, rng.getrandbits(60)) for k in range(2000)]
+    w, x = spark.createDataFrame(windows, "w long, n int, print long"), spark.createDataFrame(items, "item_id long, n int, item_print long")
+    got = [(r["w"], r["item_id"], r["hamming"]) for r in decontaminate.candidates(w, x).collect()]
+    want = {(a, i, (p ^ q).bit_count()) for a, _, p in windows for i, _, q in items if (p ^ q).bit_count() <= decontaminate.RADIUS}
+    assert len(got) == len(set(got)) and set(got) == want
+    # keys met before the Hamming filter: well below all pairs
+    met = w.select("w", "n", F.inline(decontaminate.window_keys(F.col("print"), decontaminate.RADIUS))).join(
+        x.select("item_id", "n", F.inline(decontaminate.item_keys(F.col("item_print"), decontaminate.RADIUS))), ["n", "block", "key"]
+    ).count()
+    assert met < 0.4 * len(windows) * len(items)
+
+
+def test_query_finds_planted_items(spark, docs, tmp_path):
+    rng = random.Random(11)
+    item = sample(rng, 40)
+    docs([(1, " ".join(sample(rng, 50) + item + sample(rng, 50))), (2, " ".join(sample(rng, 140))), (3, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r["doc_id"], r["item_id"], r["start_word"], r["similarity"]) for r in decontaminate.op10_simhash_decontamination(spark, str(tmp_path)).collect()] == [(1, 7, 50, 1.0)]
+
+
 # --- scores
 
 
@@ -346,6 +488,72 @@ def test_text_outside_cells_and_drawings_is_kept(page, want):
     assert html.page_text(page).strip("\n") == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p title=Bob's>Hello world</p><p>second para</p>", "Hello world\n\nsecond para"),
+        ("<a href=x'>link</a> rest", "link rest"),
+        ("<p = x a==b>k<p a='q>w'>l", "k\n\nl"),
+        ("<!-->a<!--->b<!-- x --!>c</3>d", "abcd"),
+        ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b></div>", "yes"),
+        ("<style>.h{display:none} #i, p.q {visibility:hidden}</style><p class='a h'>no</p><p id=i>no</p><p class=q>no<i style='visibility:visible'>yes</i></p>", "yes"),
+        ("<style>.h{display:none} .open .h{display:block}</style><p class=h>shown</p>", "shown"),
+        ("<style>@media print{.x{display:none}}</style><p class=x>a</p>", "a"),
+        ("<input type=submit value=Go> <input type=hidden value=no> <input value=v> <input type=password value=no>", "Go v"),
+        ("<details><summary>S</summary>body</details><details open><summary>T</summary>more</details>", "S\nT\nmore"),
+        ("<ol reversed><li>a<li>b</ol><ol><li value=7>x<li>y</ol>", "2. a\n1. b\n\n7. x\n8. y"),
+        ("<svg><text><![CDATA[a<b]]></text></svg>", "a<b"),
+    ],
+)
+def test_attributes_and_visibility(page, want):
+    assert html.page_text(page).strip("\n") == want
+
+
+class Walker(HTMLParser):
+    """Visible text by a stack of open tags alone, independent of the operator."""
+
+    VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+    SKIPPED = {"script", "style", "head", "title", "noscript", "template", "iframe", "object", "audio", "video", "canvas"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.out = [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag == "img" and not any(h for _, h in self.open):
+            self.out.append(f" {a.get('alt') or ''} ")
+        if tag == "body":
+            self.open = []
+        if tag not in self.VOID:
+            gone = re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style") or "")
+            self.open.append((tag, tag in self.SKIPPED or "hidden" in a or bool(gone)))
+
+    def handle_endtag(self, tag):
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                return
+
+    def handle_data(self, data):
+        if not any(h for _, h in self.open):
+            self.out.append(data)
+
+
+def test_query_shows_what_an_independent_walker_shows(spark):
+    from causelake.llm import registry
+
+    got = {r["page_id"]: r["text"] for r in registry.QUERIES["op1_html_layout"](spark, "/root/testdata/sf0.01").collect()}
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for p in pages:
+        walker = Walker()
+        walker.feed(p["html"] or "")
+        walker.close()
+        words, shown = ("".join(re.findall(r"\w", x)) for x in ("".join(walker.out), re.sub(r"(?m)^[ >]*\d+\. ", "", got[p["page_id"]])))
+        assert Counter(words) == Counter(shown), p["page_id"]
+
+
 def test_odd_pages_do_not_fail():
     for page in ("<div>" * 20_000 + "x", "<b " * 5000, "<table>" * 200 + "x", "<!--" * 2000, "<a href='" * 500, "<p" + " a=1" * 5000, "&#99999999;", "<plaintext>a<b>"):
         html.page_text(page)
@@ -356,6 +564,38 @@ def test_extraction_keeps_rows(spark):
     assert sorted(str(r["text"]) for r in html.extract_text(p).collect()) == ["", "a", "a"]
 
 
+def test_sample_is_bounded_and_whole(spark, docs):
+    long = "word " * 40_000  # 200,000 characters
+    d = docs([(1, f"copy {k}") for k in range(1000)] + [(2, long), (3, "other"), (9, "unlabelled")])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (2, 0, 0), (3, 0, 1), (4, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    rows, sizes = quality.labelled_sample(d, labels, "quality", F.lit(True), 5)
+    assert sizes == {1: 2, 0: 1}  # labels without a document do not count
+    assert len(rows) == 3 and (long, 1) in rows and ("other", 0) in rows
+    assert len(quality.labelled_sample(d, labels, "quality", F.lit(True), 1)[0]) == 2
+
+
+def test_quality_is_calibrated(spark):
+    """Of held-out texts scored about p a share of about p has label 1."""
+    got = {r["doc_id"]: r for r in quality.op4_zstd_quality(spark, "/root/testdata/sf0.01").collect() if r["held_out"]}
+    pairs = [(got[r["doc_id"]]["score"], r["quality"]) for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect() if r["doc_id"] in got and r["quality"] is not None]
+    assert len(pairs) > 50 and abs(np.mean([s for s, _ in pairs]) - np.mean([y for _, y in pairs])) < 0.1
+    assert np.mean([(s - y) ** 2 for s, y in pairs]) < 0.12  # Brier score; 0.25 says nothing
+
+
+def test_toxicity_query_locates_spans(spark):
+    rows = toxicity.op7_noisy_or_toxicity(spark, "/root/testdata/sf0.01").collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    for r in rows:
+        spans = [tuple(map(int, s.split(":"))) for s in r["spans"].split(",") if s]
+        assert bool(spans) <= bool(r["predicted"]) and all(0 <= a < b <= len(texts[r["doc_id"]]) for a, b in spans)
+    assert any(r["spans"] for r in rows)
+
+
+def test_sentences_end_at_full_width_signs():
+    model = toxicity.NoisyOrModel({"坏": 9.0}, 0.01)
+    assert [(a, b) for a, b, _ in model.sentences("你好。坏！世界。")] == [(3, 5)]
+
+
 def test_dictionaries_see_whole_texts():
     rng = random.Random(3)
     head = " ".join(sample(rng, 900))[:3000]  # the same in all texts
@@ -409,6 +649,47 @@ def test_mpeg_parsing():
     assert mpeg.parse(b"").duration is None and mpeg.parse(b"nothing here").frames == 0
 
 
+def frame(raw, body=b""):
+    return raw + body + bytes(mpeg.header(raw).size - len(raw) - len(body))
+
+
+def test_mpeg_layer_two_checksums():
+    """A protected layer II stereo frame (MPEG-1, 192 kbit/s, 44.1 kHz) whose CRC guards allocation and scale-factor selection."""
+    head = bytes((0xFF, 0xFC, 0xA0, 0x00))
+    h = mpeg.header(head)
+    assert (h.layer, h.protected, h.channels, h.kbps) == (2, True, 2, 192) and sum(mpeg.allocation_bits(h)) == 94
+    body = bytes((0x30, 0x05)) + bytes(range(60))
+    bits = 16 + mpeg.guarded_bits(body, h)
+    assert bits == 16 + 2 * 94 + 2 * sum(int.from_bytes(body) >> (8 * len(body) - at - n) & ((1 << n) - 1) > 0 for at, n in zip(np.cumsum([0] + [n for n in mpeg.allocation_bits(h) for _ in (0, 1)]).tolist(), [n for n in mpeg.allocation_bits(h) for _ in (0, 1)]))
+    good = frame(head, mpeg.crc16(head[2:] + body, bits).to_bytes(2) + body)
+    assert mpeg.parse(good * 3).bad_crc == 0 and mpeg.parse(good * 3).frames == 3
+    broken = bytearray(good)
+    broken[6] ^= 0x10
+    assert mpeg.parse(good + bytes(broken) + good).bad_crc == 1
+
+
+def test_mpeg_tags_rates_and_free_format():
+    a, b = (frame(bytes((0xFF, 0xFB, i, 0xC0))) for i in (0x90, 0x94))  # 44.1 and 48 kHz
+    s = mpeg.parse(a * 4 + b * 4)
+    assert s.frames == 8 and s.skipped == 0 and s.duration == (4 * 1152 * (48000 + 44100) // np.gcd(4 * 1152 * 92100, 44100 * 48000), 44100 * 48000 // np.gcd(4 * 1152 * 92100, 44100 * 48000))
+    tag = b"TAG" + b"Title".ljust(30, b"\0") + b"Artist".ljust(30, b"\0") + bytes(30) + b"1999" + b"c".ljust(28, b"\0") + bytes((0, 3, 17))
+    item = (5).to_bytes(4, "little") + bytes(4) + b"Album\0Songs"
+    ape = lambda flags: b"APETAGEX" + b"".join(v.to_bytes(4, "little") for v in (2000, len(item) + 32, 1, flags)) + bytes(8)
+    s = mpeg.parse(a * 3 + ape(0xA0000000) + item + ape(0x80000000) + tag)
+    assert s.frames == 3 and s.skipped == 0
+    assert s.tags == {"id3v1.title": "Title", "id3v1.artist": "Artist", "id3v1.year": "1999", "id3v1.comment": "c", "id3v1.track": "3", "id3v1.genre": "17", "ape.Album": "Songs"}
+    free = bytes((0xFF, 0xFB, 0x00, 0xC0)) + bytes(396)
+    s = mpeg.parse(free * 5)
+    assert s.frames == 5 and s.seek.tolist() == [0, 400, 800, 1200, 1600] and s.duration == (5 * 1152, 44100)
+    info = bytearray(a)
+    info[21 : 21 + 8] = b"Info" + (1).to_bytes(4)
+    info[29:33] = (9).to_bytes(4)
+    info[33:42] = b"LAME3.100"
+    info[54:57] = (576 << 12 | 1000).to_bytes(3)
+    s = mpeg.parse(bytes(info) + a * 9)
+    assert (s.encoder, s.delay, s.padding, s.table_frames) == ("LAME3.100", 576, 1000, 9) and s.played == (9 * 1152 - 1576, 44100)
+
+
 # --- every operator on awkward and empty tables
 
 
@@ -427,9 +708,22 @@ def ops(spark, d):
         "bpe": bpe.encode_documents(d, spec8),
         "secrets": secrets.redacted(d),
         "leaks": decontaminate.without_contaminated(d, bench),
+        "located": toxicity.located_scores(d, toxicity.toxicity_model(d, labels)),
+        "digests": mpeg.media_digests(mpeg.text_media(d)),
+        "findings": secrets.findings(d, secrets.scan(d.select(F.coalesce("text", F.lit("")).alias("text")))),
     }
 
 
+def test_empty_results(spark, docs):
+    """What reports findings only is empty on an empty table, and on a table without any."""
+    empty, model = docs(AWKWARD).limit(0), toxicity.fit([("bad grumbleface!", 1), ("fine.", 0)] * 20, {0: 20, 1: 20})
+    bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    pages = spark.createDataFrame([], "page_id long, url string, html string, text int")
+    assert toxicity.toxic_sentences(empty, model).count() == decontaminate.contaminated(empty, bench).count() == html.extract_text(pages).count() == 0
+    assert decontaminate.contaminated(docs(AWKWARD), bench.limit(0)).count() == 0
+    assert decontaminate.contaminated(docs(AWKWARD), bench).select("doc_id").collect()[0]["doc_id"] is None
+
+
 def test_awkward_rows(spark, docs):
     d = docs(AWKWARD)
     counts = {k: v.count() for k, v in ops(spark, d).items()}
