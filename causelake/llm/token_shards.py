@@ -80,15 +80,16 @@ class WaveletMatrix:
         at += DIRECTORY.size
         self._docs, at = shard[at : at + held], at + held
         self._chunks = -(-self.n // CHUNK)
-        raw, k = zstandard.ZstdDecompressor().decompress(shard[at : at + size]), 8 * self.bits * (self._chunks + 1)
+        self._unpack = zstandard.ZstdDecompressor().decompress
+        raw, k = self._unpack(shard[at : at + size]), 8 * self.bits * (self._chunks + 1)
         self._ranks = np.frombuffer(raw[:k], "<u8").reshape(self.bits, -1).astype(np.int64)
         ends = at + size + np.cumsum(np.frombuffer(raw[k:], "<u4"), dtype=np.int64)
-        self._ends = np.concatenate(([at + size], ends)).reshape(-1)
+        self._ends = [at + size, *ends.tolist()]
         self._shard = shard
         self._zeros = (self.n - self._ranks[:, -1]).tolist()
         # filled chunk by chunk: words of the planes, and ones before each word
         self._words = np.zeros((self.bits, self._chunks * CHUNK_WORDS + 1), np.uint64)
-        self._before = np.zeros(self._words.shape, np.int64)
+        self._before = np.empty(self._words.shape, np.int64)
         self._before[:, -1] = self._ranks[:, -1]
         self.loaded = np.zeros((self.bits, self._chunks), bool)
 
@@ -111,17 +112,22 @@ class WaveletMatrix:
         return self._doc_table[1]
 
     def _load(self, plane: int, chunks: np.ndarray) -> None:
-        """Decompresses the chunks of a plane that are not yet there."""
-        for c in chunks[~self.loaded[plane, chunks]].tolist():
-            k = plane * self._chunks + c
-            raw = zstandard.ZstdDecompressor().decompress(self._shard[self._ends[k] : self._ends[k + 1]])
-            here = slice(c * CHUNK_WORDS, (c + 1) * CHUNK_WORDS)
-            words = self._words[plane, here]
+        """Decompresses the chunks of a plane that are not yet there, runs of them at once."""
+        missing = chunks[~self.loaded[plane, chunks]]
+        for run in np.split(missing, np.flatnonzero(np.diff(missing) != 1) + 1):
+            if not len(run):
+                continue
+            first, last = int(run[0]), int(run[-1])
+            ends = self._ends[plane * self._chunks + first : plane * self._chunks + last + 2]
+            raw = b"".join([self._unpack(self._shard[a:b]) for a, b in zip(ends[:-1], ends[1:])])
+            begin, end = first * CHUNK_WORDS, (last + 1) * CHUNK_WORDS
+            words = self._words[plane, begin:end]
             words[:] = np.frombuffer(raw, np.uint64)
-            ones = np.cumsum(np.bitwise_count(words), dtype=np.int64)
-            self._before[plane, here.start] = self._ranks[plane, c]
-            self._before[plane, here.start + 1 : here.stop] = self._ranks[plane, c] + ones[:-1]
-            self.loaded[plane, c] = True
+            before = self._before[plane, begin:end]
+            before[0] = self._ranks[plane, first]
+            np.cumsum(np.bitwise_count(words[:-1]), dtype=np.int64, out=before[1:])
+            before[1:] += before[0]
+            self.loaded[plane, first : last + 1] = True
 
     def _rank1(self, plane: int, i: np.ndarray) -> np.ndarray:
         """Ones among the first ``i`` bits."""
