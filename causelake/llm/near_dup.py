@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causelake.llm.common import doc_texts, lean, materialise, spread_join, table, text_slices
+from causelake.llm.common import doc_texts, lean, materialise, sized, spread_join, table, text_slices
 from causelake.llm.components import connected_components
 from causelake.llm.shingles import mix, shingle_sets
 
@@ -323,11 +323,12 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame) -> DataFrame:
     """Of candidate pairs of sets, the links: exact, on whole texts, one text standing for each set."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    stand = sets.join(nodes, "set").groupBy("set").agg(F.min("version").alias("version"))
-    # not every copy's text travels: copies are reduced before the exchange
+    stand = materialise(sets.join(nodes, "set").groupBy("set").agg(F.min("version").alias("version")), "stand")
+    wanted = sized(materialise(stand.select("version").distinct(), "wanted"))
+    # only wanted texts travel, and not every copy's: copies are reduced before the exchange
     texts = (
         doc_texts(documents).select(F.xxhash64("text").alias("version"), "text")
-        .join(stand.select("version").distinct(), "version").groupBy("version").agg(F.first("text").alias("text"))
+        .join(wanted, "version", "left_semi").groupBy("version").agg(F.first("text").alias("text"))
         .join(stand, "version").select("set", "text")
     )
     texts = materialise(texts, "verify-texts")
