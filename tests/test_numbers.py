@@ -215,3 +215,87 @@ def test_functional_effect_refuses_missing_support(spark):
     assert ask(full) == pytest.approx(1.0)
     with pytest.raises(Exception, match="no support"):
         ask(full.where("not (z = 1 and t = 0)"))
+
+
+def test_large_means_keep_their_digits(spark):
+    d = spark.range(4000).select((1.7e9 + F.col("id") * 21.6).alias("t"), (1e6 + F.col("id") % 11).alias("x"), tf.normal(1, "e", "id").alias("e"))
+    d = d.withColumn("y", 3 + 2e-3 * (F.col("t") - 1.7e9) + 0.5 * (F.col("x") - 1e6) + F.col("e"))
+    rows = d.toPandas()
+    x = np.column_stack([rows["t"] - rows["t"].mean(), rows["x"] - rows["x"].mean()])
+    want = np.linalg.lstsq(x, rows["y"] - rows["y"].mean(), rcond=None)[0]
+    fit = red.solve(red.gram(d, ["t", "x", "y"]), "y", ["1", "t", "x"])
+    assert [fit["t"], fit["x"]] == pytest.approx(want, rel=1e-8)
+    weighted = red.solve(red.gram(d.withColumn("__w", F.lit(2.0)), ["t", "x", "y"]), "y", ["1", "t", "x"])
+    assert [weighted["t"], weighted["x"]] == pytest.approx(want, rel=1e-8)
+    thirds = red.gram(d.withColumn("g", F.col("x") % 3), ["t", "x", "y"], by=["g"])
+    parts = list(thirds.values())
+    whole = parts[0] + parts[1] + parts[2]
+    assert red.solve(whole, "y", ["1", "t", "x"])["x"] == pytest.approx(want[1], rel=1e-8)
+    assert red.solve(whole - parts[0], "y", ["1", "t", "x"])["t"] == pytest.approx(red.solve(parts[1] + parts[2], "y", ["1", "t", "x"])["t"], rel=1e-8)
+
+
+def test_aipw_errors_of_the_treated(spark):
+    from causelake.operators import estimate as est
+
+    d = spark.range(4000).select((tf.uniform(1, "t", "id") < 0.5).cast("double").alias("t"), tf.normal(1, "n", "id").alias("n"))
+    d = d.select("t", (10 * F.col("t") + F.col("n")).alias("y"), F.lit(0.5).alias("e"), F.lit(10.0).alias("m1"), F.lit(0.0).alias("m0"))
+    for target in ("ate", "att", "atc"):
+        r = est.aipw(d, "t", "y", target=target).first()
+        assert r["effect"] == pytest.approx(10, abs=0.15) and r["se_plain"] == pytest.approx(0.0316, rel=0.15), target
+
+
+def test_glm_and_front_door_errors_match_replicates(spark):
+    """The stated error is near the spread of estimates over independent samples."""
+    from causelake.operators import estimate as est
+
+    effects, errors, fronts, front_errors = [], [], [], []
+    for seed in range(12):
+        d = spark.range(600).select(tf.normal(seed, "t", "id").alias("t"), tf.normal(seed, "m", "id").alias("a"), tf.normal(seed, "y", "id").alias("b"), tf.uniform(seed, "u", "id").alias("u"))
+        d = d.select("t", (F.col("t") + F.col("a")).alias("m"), (F.col("t") + 2 * F.col("a") + F.col("b")).alias("y"), (F.col("u") < 1 / (1 + F.exp(-F.col("t")))).cast("double").alias("yb"))
+        g, f = est.glm_adjustment(d, "t", "yb").first(), est.frontdoor_effect(d, "t", ["m"], "y").first()
+        effects.append(g["effect"])
+        errors.append(g["se"])
+        fronts.append(f["effect"])
+        front_errors.append(f["se"])
+    assert 0.5 < np.std(effects, ddof=1) / np.mean(errors) < 1.8
+    assert 0.5 < np.std(fronts, ddof=1) / np.mean(front_errors) < 1.8
+
+
+def test_ranges_give_global_ranks_and_extremes(spark):
+    from causelake.operators import series as ser
+
+    d = spark.range(500).select("id", F.round(tf.uniform(3, "p", "id"), 2).alias("p")).repartition(7)
+    rows = sorted((r["p"], r["id"]) for r in d.collect())
+    p = np.array([v for v, _ in rows])
+    n = len(p)
+    bh = np.minimum(1, np.minimum.accumulate((p * n / np.arange(1, n + 1))[::-1])[::-1])
+    holm = np.minimum(1, np.maximum.accumulate(p * (n - np.arange(n))))
+    for method, want in (("bh", bh), ("by", np.minimum(1, np.minimum.accumulate((p * n / np.arange(1, n + 1) * ser.harmonic(n))[::-1])[::-1])), ("holm", holm)):
+        got = sorted((r["p"], r["adjusted"]) for r in ser.adjust_p(d, method=method).collect())
+        assert [a for _, a in got] == pytest.approx(sorted(want.tolist())), method
+    assert ser.harmonic(2_000_000) == pytest.approx(float((1 / np.arange(1, 2_000_001)).sum()), abs=1e-9)
+    run = {r["id"]: r["before"] for r in red.running(d.select("id"), "id", {"before": F.col("id")}).collect()}
+    assert run == {i: i * (i - 1) // 2 for i in range(500)}
+
+
+def test_entry_times_and_split_guard(spark):
+    from causelake.errors import DataError
+    from causelake.operators import estimate as est
+    from causelake.operators import series as ser
+    from causelake.sources import frames
+
+    rows = [(k, float(k % 5 + 2), k % 3 != 0, float(k % 2)) for k in range(40)]
+    d = spark.createDataFrame(rows, "k long, time double, event boolean, entry double")
+
+    def curve(u):  # Kaplan-Meier of censoring just before u, by counting
+        g = 1.0
+        for v in sorted({t for _, t, _, _ in rows if t < u}):
+            risk = sum(t >= v and e <= v for _, t, _, e in rows)
+            g *= 1 - sum(t == v and not ev for _, t, ev, _ in rows) / risk
+        return g
+
+    got = {r["key"]: r["weight"] for r in est.km_ipcw(d, "time", "event", "k", "entry").collect()}
+    assert got == pytest.approx({k: curve(e) / curve(t) if ev else 0.0 for k, t, ev, e in rows})
+    with pytest.raises(DataError):
+        ser.random_split(frames.time_series(d, "time"), ["k"], 0.5)
+    assert ser.random_split(frames.time_series(d, "time"), ["k"], 0.5, allow_temporal=True).count() == 40
