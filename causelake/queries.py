@@ -537,9 +537,12 @@ def response_curve(spark, sf_dir):
     return est.local_polynomial(po, "l_discount", "pseudo", [0.02, 0.04, 0.06, 0.08], bandwidth=0.02)
 
 
-@query()
+@query(f"""with {BASE}, m as (select stddev_samp(acct) as sa, stddev_samp(region) as sr from base), a as (select * from base where t > 0.5),
+d as (select acct, region, min(o_orderkey) as k, arg_min(y, o_orderkey) as dy from base where t <= 0.5 group by 1, 2),
+p as (select a.o_orderkey, a.y, arg_min(dy, {{'d': round(((a.acct - d.acct) / sa) ** 2 + ((a.region - d.region) / sr) ** 2, 15), 'k': d.k}}) as dy from a cross join d cross join m group by 1, 2)
+select round(avg(y - dy), 4) as effect, count(*) as n from p""")
 def distance_match(spark, sf_dir):
-    return est.match_effect(est.distance_match(orders_frame(spark, sf_dir), "t", "y", ["acct", "region"], "o_orderkey"))
+    return rounded(est.match_effect(est.distance_match(orders_frame(spark, sf_dir), "t", "y", ["acct", "region"], "o_orderkey")))
 
 
 @query()
@@ -552,9 +555,19 @@ def phase_surrogates(spark, sf_dir):
     return ser.phase_surrogate(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 7)
 
 
-@query()
+def _projected(v: str) -> str:
+    """Coefficients of a column on quantity and tax, by the two-regressor formula."""
+    return f"({v}q * xx - {v}x * qx) / (qq * xx - qx * qx) as {v}1, ({v}x * qq - {v}q * qx) / (qq * xx - qx * qx) as {v}2"
+
+
+@query(f"""with r as (select l_discount as t, l_extendedprice as y, l_quantity as q, l_tax as x from lineitem),
+s as (select avg(t) as mt, avg(y) as my, avg(q) as mq, avg(x) as mx, var_pop(q) as qq, var_pop(x) as xx, covar_pop(q, x) as qx, covar_pop(t, q) as tq, covar_pop(t, x) as tx, covar_pop(y, q) as yq, covar_pop(y, x) as yx from r),
+c as (select *, {_projected('t')}, {_projected('y')} from s),
+e as (select (t - mt) - t1 * (q - mq) - t2 * (x - mx) as u, (y - my) - y1 * (q - mq) - y2 * (x - mx) as v from r cross join c), b as (select covar_pop(u, v) / var_pop(u) as b, var_pop(u) as s2 from e),
+k as (select b + u / s2 * (v - b * u) as score from e cross join b)
+select round(avg(score), 3) as effect, round(stddev_samp(score) / sqrt(count(*)), 3) as se, count(*) as n from k""")
 def average_derivative(spark, sf_dir):
-    return est.average_derivative(table(spark, sf_dir, "lineitem"), "l_discount", "l_extendedprice", ["l_quantity", "l_tax"])
+    return rounded(est.average_derivative(table(spark, sf_dir, "lineitem"), "l_discount", "l_extendedprice", ["l_quantity", "l_tax"]), 3)
 
 
 # --- structural models, attribution, posteriors, decisions, discovery
