@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
-from itertools import combinations, permutations
+from itertools import combinations, permutations, product
 
 import numpy as np
 import pandas as pd
@@ -530,6 +530,82 @@ def exact_posterior(score: GaussianScore, prior_edge: float = 0.5) -> list[tuple
     return list(zip(masks, weights.tolist()))
 
 
+def _acyclic_parents(p: int, pairs: Sequence[tuple[int, int]], most: int) -> Iterable[list[frozenset[int]]]:
+    """Parent sets of every DAG whose arrows lie on the given pairs."""
+    if 3 ** len(pairs) > most:
+        raise Unsupported(f"{3 ** len(pairs)} orientations are more than {most}; use structure_mcmc")
+    for kinds in product((0, 1, 2), repeat=len(pairs)):
+        parents: list[set[int]] = [set() for _ in range(p)]
+        for (i, j), kind in zip(pairs, kinds):
+            if kind:
+                a, b = (i, j) if kind == 1 else (j, i)
+                parents[b].add(a)
+        left = set(range(p))
+        while left:
+            free = {n for n in left if not parents[n] & left}
+            if not free:
+                break
+            left -= free
+        if not left:
+            yield [frozenset(x) for x in parents]
+
+
+def screened_posterior(score: GaussianScore, left: Mixed, prior_edge: float = 0.5, most: int = 200_000) -> dict[tuple[str, str], float]:
+    """Probability of each arrow over the DAGs inside a skeleton that tests left; exact there, zero outside it."""
+    names = score.names
+    at = {n: i for i, n in enumerate(names)}
+    pairs = sorted(tuple(sorted(at[n] for n in e)) for e in left.skeleton())
+    odds = math.log(prior_edge / (1 - prior_edge))
+    graphs = list(_acyclic_parents(len(names), pairs, most))
+    logs = np.array([sum(score.local(names[n], [names[a] for a in x]) + odds * len(x) for n, x in enumerate(g)) for g in graphs])
+    weights = np.exp(logs - logs.max())
+    weights /= weights.sum()
+    out = {(names[a], names[b]): 0.0 for i, j in pairs for a, b in ((i, j), (j, i))}
+    for g, w in zip(graphs, weights.tolist()):
+        for n, x in enumerate(g):
+            for a in x:
+                out[names[a], names[n]] += w
+    return out
+
+
+def dbn_posterior(df: DataFrame, names: Sequence[str], max_lag: int, time: str, by: Sequence[str] = (), prior_edge: float = 0.5, most_lagged: int = 3, most: int = 200_000) -> dict[tuple[str, int, str], float]:
+    """Probability of each lagged and contemporaneous arrow of a stationary template, from one Gram of the lag frame.
+
+    Lagged parents (at most ``most_lagged`` a node) never close a cycle, so they are summed out node by node; what is
+    enumerated are the contemporaneous DAGs.
+    """
+    lags = [(n, k) for n in names for k in range(1, max_lag + 1)]
+    frame = lag_frame(df, names, list(range(max_lag + 1)), time, by)
+    columns = [_column(n, 0) for n in names] + [_column(*x) for x in lags]
+    score = GaussianScore(gram(complete_cases(frame, columns), columns))
+    odds, p = math.log(prior_edge / (1 - prior_edge)), len(names)
+    subsets = [c for k in range(min(most_lagged, len(lags)) + 1) for c in combinations(lags, k)]
+    cache: dict[tuple[int, frozenset[int]], tuple[float, dict[tuple[str, int], float]]] = {}
+
+    def node(n: int, now: frozenset[int]) -> tuple[float, dict[tuple[str, int], float]]:
+        """(log of the sum over lagged parents, probability of each of them) of a node with its contemporaneous parents."""
+        if (n, now) not in cache:
+            base = [_column(names[a], 0) for a in sorted(now)]
+            logs = np.array([score.local(_column(names[n], 0), [*base, *[_column(*x) for x in c]]) + odds * (len(c) + len(now)) for c in subsets])
+            w = np.exp(logs - logs.max())
+            each = {x: float(sum(v for c, v in zip(subsets, w) if x in c) / w.sum()) for x in lags}
+            cache[n, now] = float(logs.max() + math.log(w.sum())), each
+        return cache[n, now]
+
+    graphs = list(_acyclic_parents(p, list(combinations(range(p), 2)), most))
+    logs = np.array([sum(node(n, x)[0] for n, x in enumerate(g)) for g in graphs])
+    weights = np.exp(logs - logs.max())
+    weights /= weights.sum()
+    out = {(a, 0, b): 0.0 for a in names for b in names if a != b} | {(a, k, b): 0.0 for a, k in lags for b in names}
+    for g, w in zip(graphs, weights.tolist()):
+        for n, x in enumerate(g):
+            for a in x:
+                out[names[a], 0, names[n]] += w
+            for (a, k), v in node(n, x)[1].items():
+                out[a, k, names[n]] += w * v
+    return out
+
+
 def structure_mcmc(spark, score: GaussianScore, chains: int = 4, steps: int = 2000, seed: int = 0) -> DataFrame:
     """Metropolis over single arrows, one task a chain; the score table of the Gram is broadcast."""
     import pandas as pd

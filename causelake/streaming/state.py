@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -152,17 +152,66 @@ class CausalState:
         at = self.artifacts[kind, name]
         return any(v > at and k == kind and n == name for v, _, k, n in self.log)
 
-    def admit(self, name: str, size: int) -> bool:
-        """Whether a cache entry fits the budget; refused entries are not held."""
-        if sum(self.held.values()) + size > self.budget_bytes:
+    def admit(self, name: str, size: int, evict: bool = False) -> bool:
+        """Whether a cache entry fits the budget; refused entries are not held.
+
+        With ``evict`` the entries longest unused go first until it fits; one larger than the budget is still refused.
+        """
+        old = self.held.pop(name, None)
+        room = self.budget_bytes - sum(self.held.values())
+        if size > self.budget_bytes or (size > room and not evict):
+            if old is not None:
+                self.held[name] = old
             return False
+        while size > self.budget_bytes - sum(self.held.values()):
+            gone = next(iter(self.held))
+            self.log.append((self.version, "evict", "cache", gone))
+            del self.held[gone]
         self.held[name] = size
         return True
 
+    def touch(self, name: str) -> None:
+        """Marks a cache entry as used now."""
+        self.held[name] = self.held.pop(name)
+
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.log, "version long, event string, kind string, name string")
 
 
+@dataclass(frozen=True)
+class Retention:
+    """What raw history a component needs: ``raw`` (all), ``window`` (the latest ``rows`` of each key) or ``statistics`` (sums only)."""
+
+    kind: str = "raw"
+    rows: int | None = None
+
+    def __post_init__(self):
+        if self.kind not in ("raw", "window", "statistics") or (self.kind == "window") != (self.rows is not None and self.rows > 0):
+            raise DataError("retention is raw, statistics, or a window of a positive number of rows")
+
+    def keep(self, history: DataFrame, order: str, by: Sequence[str], columns: Sequence[str] = ()) -> DataFrame:
+        """The history that is to stay: all rows, the latest of each key (ties by the other columns), or one row of cross products.
+
+        A window is ranked within its key, so a rank limit is pushed below the shuffle and no task holds more than its keys' latest rows.
+        """
+        if self.kind == "raw":
+            return history
+        if self.kind == "statistics":
+            return gram_rows(history, columns)
+        if not by:
+            raise DataError("a window is kept for each key")
+        w = Window.partitionBy(*by).orderBy(F.col(order).desc(), F.xxhash64(*history.columns))
+        return history.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= self.rows).drop("__r")
+
+
+def strictest(needs: Sequence[Retention]) -> Retention:
+    """The least history that serves all components: everything, else the longest window, else sums."""
+    if any(n.kind == "raw" for n in needs):
+        return Retention("raw")
+    windows = [n.rows for n in needs if n.kind == "window"]
+    return Retention("window", max(windows)) if windows else Retention("statistics")
+
+
 def delta_score(before: float, local_before: float, local_after: float) -> float:
     """A graph's score after one node's parents change."""
     return before - local_before + local_after

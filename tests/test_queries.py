@@ -4,7 +4,7 @@ import oracle
 import pytest
 from oracle import SF
 
-from causelake import unit_queries  # noqa: F401 - registers
+from causelake import model_queries, unit_queries  # noqa: F401 - register
 from causelake.queries import ORACLES, QUERIES
 
 
