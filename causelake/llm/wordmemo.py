@@ -87,6 +87,13 @@ def unlike_letters() -> str:
     return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in found) + "]"
 
 
+def blank_free_list(words: pa.Array) -> list[str]:
+    """Words without blanks as a list: joined on Arrow's side and parted again, which makes no Arrow scalar a word."""
+    if not len(words):
+        return []
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ")
+
+
 class LetterWords:
     """Encodes chunks for a tokenizer whose pre-tokens are runs of letters or of symbols.
 
@@ -121,7 +128,7 @@ class LetterWords:
 
     def _look_up(self, memo: WordMemo, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         coded = words.dictionary_encode()
-        starts, counts, store = memo.encode(coded.dictionary.to_pylist())
+        starts, counts, store = memo.encode(blank_free_list(coded.dictionary))
         at = coded.indices.to_numpy()
         return starts[at], counts[at], store
 
@@ -162,7 +169,7 @@ def encode_dropping_space(memo: WordMemo, texts: pa.Array) -> tuple[np.ndarray,
     chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
     per_text = pc.list_value_length(chunks).to_numpy(zero_copy_only=False)
     words = chunks.flatten().dictionary_encode()
-    starts, counts, flat = memo.encode(words.dictionary.to_pylist())
+    starts, counts, flat = memo.encode(blank_free_list(words.dictionary))
     at = words.indices.to_numpy()
     counts = counts[at]
     ends = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum(per_text)))]

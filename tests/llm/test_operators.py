@@ -734,3 +734,19 @@ def test_awkward_rows(spark, docs):
 def test_empty_table(spark, docs):
     d = docs(AWKWARD).limit(0)
     assert all(v.count() == 0 for v in ops(spark, d).values())
+
+
+def test_blank_free_list_keeps_words_apart():
+    import random
+
+    import pyarrow as pa
+
+    from causelake.llm.wordmemo import blank_free_list
+
+    rng = random.Random(1)
+    for words in ([], [""], ["", ""], ["a", "", "b"]):
+        assert blank_free_list(pa.array(words, pa.string())) == words
+    for _ in range(200):
+        words = ["".join(chr(rng.choice([0, 10, 11, 13, 0x85, 0xA0, 0x2028, 97, 0x130, 0x1F600])) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(0, 30))]
+        assert blank_free_list(pa.array(words, pa.string())) == words
+    assert blank_free_list(pa.array(["x", "a", "b", "c"]).slice(1, 2)) == ["a", "b"]
