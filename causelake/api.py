@@ -181,7 +181,7 @@ def estimate(df: DataFrame, query, estimand: Estimand, estimator: str | None = N
         raise Unsupported("strata and matches need a row key for a stable order")
     if name == "propensity.stratification":
         return est.stratified_effect(est.stratify(rows, "e", options.get("strata", 5), [key]), t, y, target=target)
-    return est.match_effect(est.nearest_match(rows, t, y, "e", key))
+    return est.matched_error(est.nearest_match(rows, t, y, "e", key), rows, t, y, "e", key)
 
 
 def validate(df: DataFrame, estimand: Estimand, key: str, tier: str = "standard") -> DataFrame:

@@ -6,10 +6,16 @@ from pyspark.sql import functions as F
 
 from causelake.functions import transforms as tf
 from causelake.graphs.dag import Dag
+from causelake.operators import estimate as est
 from causelake.operators import models, priors
+from causelake.operators import series as ser
+from causelake.operators import validate as val
 from causelake.operators.reduce import gram
 from causelake.operators.scm import Model
-from causelake.queries import CHAIN, _chain, query, rounded, table
+from causelake.plans import expr
+from causelake.plans import identify as idf
+from causelake.queries import BASE, CHAIN, _chain, orders_frame, query, rounded, table
+from causelake.schema import sample, with_mask
 from causelake.streaming.state import Retention
 
 FORK = Dag(["q", "d", "p"], [("q", "d"), ("q", "p")])
@@ -138,3 +144,77 @@ def probit_terms(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, 0.0).otherwise(1.0).alias("y"))
     t = tf.likelihood_terms("probit", F.col("y"), F.lit(0.0))
     return s.select("s_suppkey", "y", F.round(t["value"], 6).alias("value_at_zero"), F.round(t["score"], 5).alias("score_at_zero"), F.round(t["curvature"], 5).alias("curvature_at_zero"))
+
+
+# --- matching, holdouts, policies, schedules
+
+
+@query(f"""with {BASE}, a as (select * from base where t > 0.5), d as (select acct, min(o_orderkey) as k, arg_min(y, o_orderkey) as dy from base where t <= 0.5 group by 1),
+m as (select a.o_orderkey, a.y, arg_min({{'k': d.k, 'y': dy}}, {{'d': abs(a.acct - d.acct), 'k': d.k}}) as b from a cross join d group by 1, 2),
+p as (select b.k as k, y - b.y as gap from m), u as (select k, count(*)::double as n from p group by 1),
+c as (select o_orderkey as k, y, acct - lag(acct) over w as down, lag(y) over w as py, lead(acct) over w - acct as up, lead(y) over w as ny from base where t <= 0.5 window w as (order by acct, o_orderkey)),
+x as (select coalesce(sum(n * (n - 1) * 0.5 * pow(y - case when down is not null and (up is null or down <= up) then py else ny end, 2)), 0) as x from u join c using (k))
+select round(avg(gap), 4) as effect, round(sqrt(count(*) * var_pop(gap) + max(x)) / count(*), 4) as se, count(*) as n from p cross join x""")
+def matched_effect_error(spark, sf_dir):
+    """Matches on the account balance, with the error that counts how often a donor serves."""
+    o = orders_frame(spark, sf_dir)
+    return rounded(est.matched_error(est.nearest_match(o, "t", "y", "acct", "o_orderkey"), o, "t", "y", "acct", "o_orderkey"))
+
+
+@query("""with e as (select l_returnflag as f, l_quantity as x, l_extendedprice as y from lineitem), g as (select distinct f from e),
+b as (select g.f, regr_slope(y, x) as s, regr_intercept(y, x) as i from g join e on e.f <> g.f group by 1)
+select e.f as environment, count(*) as n, round(sqrt(avg(pow(y - i - s * x, 2))), 4) as rmse from e join b on e.f = b.f group by 1""")
+def environment_holdout(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    return rounded(ser.holdout_errors(li, "y", ["x"], "l_returnflag"))
+
+
+@query("""select case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'discovery' else 'estimation' end as part, count(*) as n from orders where o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM') group by 1""")
+def regime_holdout(spark, sf_dir):
+    return ser.group_holdout(table(spark, sf_dir, "orders"), "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM"], 2).groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query("""with e as (select case when s_suppkey % 4 = 0 then null else s_acctbal end as v, s_nationkey < 15 as m from supplier)
+select 'honor' as mask, count(*) as n, round(sum(v), 2) as total from e where m and v is not null union all select 'ignore', count(*), round(sum(v), 2) from e where v is not null""")
+def sample_policies(spark, sf_dir):
+    s = with_mask(table(spark, sf_dir, "supplier").select(F.when(F.col("s_suppkey") % 4 != 0, F.col("s_acctbal")).alias("v"), "s_nationkey"), F.col("s_nationkey") < 15)
+    parts = [sample(s, ["v"], mask=m).agg(F.lit(m).alias("mask"), F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("total")) for m in ("honor", "ignore")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("""with e as (select 0.02 + 0.96 * (s_nationkey / 24.0) as e from supplier), r as (select avg(case when e between 0.1 and 0.9 then 1.0 else 0.0 end) as kept from e)
+select 'overlap.rule' as validator, case when kept >= 0.5 then 'pass' else 'fail' end as verdict, round(kept::double, 8) as statistic, 0.5::double as reference from r""")
+def overlap_rule(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select((F.lit(0.02) + 0.96 * (F.col("s_nationkey") / 24.0)).alias("e"), (F.col("s_suppkey") % 2).cast("double").alias("t"))
+    return rounded(val.overlap_rule(s, "t").drop("detail"), 8)
+
+
+SCHEDULE = Dag(["a", "l", "b", "y"], [("a", "l"), ("a", "y"), ("l", "b"), ("l", "y"), ("b", "y")])
+
+
+@query("""with e as (select l_orderkey % 2 as a, l_linenumber % 3 as l, l_suppkey % 2 as b, floor(l_quantity / 10)::bigint as y from lineitem),
+m as (select a, l, b, avg(y) as m from e group by 1, 2, 3), p as (select a, l, count(*)::double / sum(count(*)) over (partition by a) as p from e group by 1, 2)
+select round(sum(case when a = 1 then p * m else -p * m end), 8) as value from p join m using (a, l) where a = b""")
+def schedule_contrast(spark, sf_dir):
+    """Two treatments set one after the other, with a variable between that the first moves and the second follows."""
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 2).alias("a"), (F.col("l_linenumber") % 3).alias("l"), (F.col("l_suppkey") % 2).alias("b"), F.floor(F.col("l_quantity") / 10).alias("y"))
+    e = idf.identify_schedule(SCHEDULE, "y", ["a", "b"])
+    return rounded(expr.schedule_contrast(e.functional, li, "y", {"a": 1, "b": 1}, {"a": 0, "b": 0}), 8)
+
+
+@query("""with e as (select user_id, event_id, value as y, lag(value) over w as x from events window w as (partition by user_id order by event_id)), d as (select * from e where event_id % 5 <> 0 and x is not null and y is not null),
+b as (select regr_slope(y, x) as s, regr_intercept(y, x) as i, avg(x) as mx, var_pop(x) as v, count(*) as n from d),
+r as (select user_id, event_id, (y - i - s * x) * (x - mx) as q from d cross join b),
+k as (select sum(q * q) as own from r), h as (select l, sum(r.q * o.q) as c from r join (select unnest([1, 2]) as l) on true join r o on o.user_id = r.user_id and o.event_id = r.event_id - l group by 1)
+select round(max(s), 8) as effect, round(sqrt(max(own) + 2 * sum((1 - l / 3.0) * c)) / max(n * v), 8) as se from b cross join k cross join h""")
+def panel_error(spark, sf_dir):
+    """A panel with gaps: lags in the error go by the time label."""
+    from pyspark.sql import Window
+
+    from causelake.operators.reduce import sandwich, solve
+
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("value").alias("y"))
+    e = e.withColumn("x", F.lag("y").over(Window.partitionBy("user_id").orderBy("event_id"))).where("event_id % 5 <> 0 and x is not null and y is not null")
+    fit = solve(gram(e, ["x", "y"]), "y", ["1", "x"])
+    cov = sandwich(e, fit, "y", "panel_hac", ["user_id"], "event_id", 2)
+    return rounded(spark.createDataFrame([(fit["x"], float(cov[1, 1]) ** 0.5)], "effect double, se double"), 8)

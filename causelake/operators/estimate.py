@@ -287,21 +287,48 @@ def nearest_match(df: DataFrame, t: str, y: str, score: str, key: str, caliper:
 
 
 def distance_match(df: DataFrame, t: str, y: str, z: Sequence[str], key: str, most_donors: int = 200_000) -> DataFrame:
-    """Each treated row with its control nearest in standardised Euclidean distance, by blocks of a checked donor table."""
-    import pyarrow as pa
+    """Each treated row with its control nearest in standardised Euclidean distance (ties: first in key order).
 
+    Up to ``most_donors`` controls are one broadcast table that treated rows are compared with in blocks.  More are cut into
+    tables of about that size by the first covariate; a treated row meets only the tables that can hold a nearer donor than
+    the one next to it in that covariate, so the result is the same.
+    """
     stats = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(z) for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
     scaled = df.select(F.col(key).alias("key"), F.col(y).cast("double").alias("y"), _treated(t).alias("a"), *[((F.col(c) - stats[f"m{i}"]) / (stats[f"s{i}"] or 1.0)).alias(f"z{i}") for i, c in enumerate(z)])
-    donors = scaled.where("not a")
-    if donors.count() > most_donors:
-        raise EstimationError(f"more than {most_donors} donors: match on a score instead")
+    donors, units = scaled.where("not a").drop("a"), scaled.where("a").drop("a")
+    count, kind = donors.count(), dict(df.dtypes)[key]
+    if count <= most_donors:
+        return _nearest_of(units, donors, len(z), kind)
+    # a donor next to the row in the first covariate bounds how far the nearest can be
+    near = nearest_match(scaled.withColumn("t", F.col("a").cast("double")), "t", "y", "z0", "key").select("key", "donor")
+    names = [f"z{i}" for i in range(len(z))]
+    there = donors.select(F.col("key").alias("donor"), *[F.col(c).alias(f"d{c}") for c in names])
+    reach = near.join(there, "donor").join(units, "key")
+    bound = F.sqrt(sum(((F.col(c) - F.col(f"d{c}")) ** 2 for c in names[1:]), (F.col("z0") - F.col("dz0")) ** 2))
+    reach = written(reach.select("key", "y", *names, (bound * (1 + 1e-12) + 1e-12).alias("__r")), "match-units")
+    tables = math.ceil(1.3 * count / most_donors)
+    donors = written(donors.repartitionByRange(tables, "z0", "key").withColumn("__p", F.spark_partition_id()), "match-donors")
+    found = []
+    for r in donors.groupBy("__p").agg(F.min("z0").alias("low"), F.max("z0").alias("high")).collect():
+        possible = reach.where((F.col("z0") + F.col("__r") >= r["low"]) & (F.col("z0") - F.col("__r") <= r["high"])).drop("__r")
+        found.append(written(_nearest_of(possible, donors.where(F.col("__p") == r["__p"]).drop("__p"), len(z), kind), "matches"))
+    best = fold(DataFrame.unionByName, found).groupBy("key").agg(F.first("y").alias("y"), F.min(F.struct("distance", "donor", "donor_y")).alias("b"))
+    return best.select("key", "y", "b.donor", "b.donor_y", "b.distance")
+
+
+def _nearest_of(units: DataFrame, donors: DataFrame, width: int, kind: str) -> DataFrame:
+    """Units with the nearest of a donor table whose size the caller has bounded."""
+    import pyarrow as pa
+
     held = donors.orderBy("key").toPandas()
-    table = df.sparkSession.sparkContext.broadcast((held["key"].to_numpy(), held["y"].to_numpy(), held[[f"z{i}" for i in range(len(z))]].to_numpy()))
+    table = units.sparkSession.sparkContext.broadcast((held["key"].to_numpy(), held["y"].to_numpy(), held[[f"z{i}" for i in range(width)]].to_numpy()))
 
     def match(batches):
         keys, ys, zs = table.value
         for b in batches:
-            x = np.stack([b.column(f"z{i}").to_numpy() for i in range(len(z))], 1)
+            if not b.num_rows or not len(zs):
+                continue
+            x = np.stack([b.column(f"z{i}").to_numpy() for i in range(width)], 1)
             best, at = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
             for i in range(0, len(zs), 2048):
                 d = ((x[:, None, :] - zs[None, i : i + 2048]) ** 2).sum(2)
@@ -311,8 +338,7 @@ def distance_match(df: DataFrame, t: str, y: str, z: Sequence[str], key: str, mo
                 best[nearer], at[nearer] = v[nearer], i + j[nearer]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("y"), pa.array(keys[at]), pa.array(ys[at]), pa.array(np.sqrt(best))], ["key", "y", "donor", "donor_y", "distance"])
 
-    kind = dict(df.dtypes)[key]
-    return scaled.where("a").drop("a").mapInArrow(match, f"key {kind}, y double, donor {kind}, donor_y double, distance double")
+    return units.mapInArrow(match, f"key {kind}, y double, donor {kind}, donor_y double, distance double")
 
 
 def match_effect(matches: DataFrame) -> DataFrame:
@@ -320,6 +346,31 @@ def match_effect(matches: DataFrame) -> DataFrame:
     return matches.agg(F.avg(F.col("y") - F.col("donor_y")).alias("effect"), F.count("*").alias("n"))
 
 
+def matched_error(matches: DataFrame, df: DataFrame, t: str, y: str, score: str, key: str) -> DataFrame:
+    """``effect, se, n`` of single matches with replacement on a score, with an error that counts how often a donor serves.
+
+    The variance of the treated's mean difference is that of the pair differences, and K (K - 1) times a donor's outcome
+    variance for each donor used K times; that variance is half the squared difference to the nearest other control
+    (of equal gaps the one before).
+    """
+    used = matches.groupBy("donor").agg(F.count("*").cast("double").alias("k")).where("k > 1")
+    controls = ranged(df.where(~_treated(t)).select(F.col(score).alias("s"), F.col(key).alias("donor"), F.col(y).cast("double").alias("y")), "s")
+    own = F.struct("s", "donor", "y")
+    w = Window.partitionBy("__p").orderBy("s", "donor")
+    ends = controls.groupBy("__p").agg(F.min(own).alias("first"), F.max(own).alias("last"))  # one row a range
+    around = ends.select("__p", F.lag("last").over(Window.orderBy("__p")).alias("under"), F.lead("first").over(Window.orderBy("__p")).alias("over"))
+    near = controls.withColumn("below", F.lag(own).over(w)).withColumn("above", F.lead(own).over(w)).join(F.broadcast(around), "__p")
+    near = near.withColumn("below", F.coalesce("below", "under")).withColumn("above", F.coalesce("above", "over"))
+    down, up = F.col("s") - F.col("below.s"), F.col("above.s") - F.col("s")
+    other = F.when(F.col("below").isNotNull() & (F.col("above").isNull() | (down <= up)), F.col("below.y")).otherwise(F.col("above.y"))
+    extra = used.join(near.select("donor", (0.5 * (F.col("y") - other) ** 2).alias("v")), "donor").agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1) * F.col("v")), F.lit(0.0)).alias("x")).first()["x"]
+    gap = F.col("y") - F.col("donor_y")
+    r = matches.agg(F.avg(gap).alias("m"), F.var_pop(gap).alias("v"), F.count("*").alias("n")).first()
+    if not r["n"]:
+        raise EstimationError("no row was matched")
+    return _row(df, effect=r["m"], se=math.sqrt(r["n"] * r["v"] + extra) / r["n"], n=int(r["n"]))
+
+
 def bias_adjusted(matches: DataFrame, df: DataFrame, t: str, y: str, z: Sequence[str], key: str) -> DataFrame:
     """Mean matched difference less what a linear fit of the donors expects from unequal covariates."""
     fit = solve(gram(df.where(~_treated(t)), [*z, y]), y, ["1", *z])

@@ -367,10 +367,14 @@ def sandwich(df: DataFrame, fit: Fit, outcome: str, kind: str = "HC1", clusters:
             m += sign * groups / (groups - 1) * (n - 1) / (n - k) * meat(summed)
     elif kind in ("newey_west", "panel_hac"):
         unit = list(clusters)
+        if kind == "panel_hac" and not unit:
+            raise EstimationError("a panel needs its unit")
         w = Window.partitionBy(*unit).orderBy(time)
+        # in a panel a lag is one of the (whole-numbered) time label, so that a gap in a unit's series is no neighbour
+        behind = (lambda c, lag: F.sum(c).over(w.rangeBetween(-lag, -lag))) if kind == "panel_hac" else (lambda c, lag: F.lag(c, lag).over(w))
         m = meat(scored)
         for lag in range(1, max_lag + 1):
-            shifted = scored.select("*", *[F.lag(f"s{i}", lag).over(w).alias(f"l{i}") for i in range(k)]).where(F.col("l0").isNotNull())
+            shifted = scored.select("*", *[behind(f"s{i}", lag).alias(f"l{i}") for i in range(k)]).where(F.col("l0").isNotNull())
             g = meat(shifted, "l")
             m += (1 - lag / (max_lag + 1)) * (g + g.T)
     else:

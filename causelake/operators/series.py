@@ -278,3 +278,29 @@ def stationary_resample(df: DataFrame, time: str, n: int, mean_length: float, re
     held = F.last(start, ignorenulls=True).over(Window.partitionBy("replicate").orderBy("position"))
     p = p.withColumn("__b", held).select("replicate", "position", ((F.col("__b.s") + F.col("position") - F.col("__b.at")) % n).alias(time))
     return p.join(df, time)
+
+
+def group_holdout(df: DataFrame, column: str, ids: Sequence[object], discovery: int, part: str = "part") -> DataFrame:
+    """Whole environments or regimes on one side: the first ``discovery`` of the listed ids for discovery, the others for estimation.
+
+    Rows of ids that are not listed go; nothing is copied, ``part`` says the side.
+    """
+    if len(set(ids)) != len(ids) or not 0 < discovery < len(ids):
+        raise DataError("list distinct ids, with at least one on each side")
+    side = F.when(F.col(column).isin(list(ids[:discovery])), "discovery").when(F.col(column).isin(list(ids[discovery:])), "estimation")
+    return df.withColumn(part, side).where(F.col(part).isNotNull())
+
+
+def holdout_errors(df: DataFrame, y: str, x: Sequence[str], environment: str) -> DataFrame:
+    """``environment, n, rmse``: each environment predicted by a linear fit of all the others, from one grouped Gram (few environments)."""
+    grams = gram(df, [*x, y], by=[environment])
+    if len(grams) < 2:
+        raise DataError("a holdout needs two environments")
+    rows = []
+    for key, own in grams.items():
+        others = [g for k, g in grams.items() if k != key]
+        fit = solve(sum(others[1:], others[0]), y, ["1", *x])
+        v = np.append(-np.array([fit[c] for c in ("1", *x)]), 1.0)
+        names = ["1", *x, y]
+        rows.append((str(key[0]), int(own.n), math.sqrt(max(0.0, float(v @ own.sub(names, names) @ v)) / own.n)))
+    return df.sparkSession.createDataFrame(rows, "environment string, n long, rmse double")

@@ -151,3 +151,12 @@ def decide(actions: DataFrame, draws: DataFrame, utility, constraint=None, chanc
 
 def graph_entropy(graphs: DataFrame, weight: str = "weight") -> DataFrame:
     return graphs.agg((-F.sum(F.when(F.col(weight) > 0, F.col(weight) * F.log(weight)).otherwise(0.0))).alias("entropy"))
+
+
+def overlap_rule(df: DataFrame, t: str, e: str = "e", eps: float = 0.1, least: float = 0.5) -> DataFrame:
+    """Whether enough rows keep a propensity inside [eps, 1 - eps] for the trimmed population to stand for the whole, in one aggregate."""
+    eps = min(max(eps, 1e-6), 0.49)
+    r = df.where(F.col(t).isNotNull() & F.col(e).isNotNull()).agg(F.avg(F.col(e).between(eps, 1 - eps).cast("double")).alias("kept"), F.min(e).alias("low"), F.max(e).alias("high")).first()
+    if r["kept"] is None:
+        return _report(df, "overlap.rule", None, math.nan, least, "no rows")
+    return _report(df, "overlap.rule", r["kept"] >= least, r["kept"], least, f"scores in [{r['low']:.6f}, {r['high']:.6f}], band [{eps}, {1 - eps}]")

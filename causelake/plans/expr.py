@@ -206,3 +206,21 @@ def path_contrast(e: SumOut, df: DataFrame, outcome: str, treatment: str, throug
     on = mean({c: active if c in through else control for c in children}).withColumnRenamed("v", "a")
     off = mean(dict.fromkeys(children, control)).withColumnRenamed("v", "b")
     return on.crossJoin(off).select((F.col("a") - F.col("b")).alias("value"))  # one row each
+
+
+def schedule_contrast(e, df: DataFrame, outcome: str, active: dict[str, object], control: dict[str, object]) -> DataFrame:
+    """One row ``value``: the mean with every scheduled treatment at its active level, less that at the control levels.
+
+    Both sides come from one compiled frame; a side whose cells do not hold all the mass raises.
+    """
+    x, names = compile_frame(e, df)
+
+    def mean(levels: dict[str, object]):
+        here = F.lit(True)
+        for t, v in levels.items():
+            here = here & (F.col(t) == F.lit(v)) if t in names else here  # a treatment the functional does not depend on
+        mass = F.sum(F.when(here, F.col("p")))
+        value = F.sum(F.when(here, F.col(outcome).cast("double") * F.col("p"))) / mass
+        return F.when(F.coalesce(F.abs(mass - 1) < 1e-6, F.lit(False)), value).otherwise(F.raise_error(F.lit("no support for a level of the schedule in some cells")).cast("double"))
+
+    return x.agg((mean(active) - mean(control)).alias("value"))

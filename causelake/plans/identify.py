@@ -351,3 +351,11 @@ def binary_iv_bounds(cells: dict[tuple[int, int, int], float]) -> tuple[float, f
     if low > high:
         raise NotIdentified("the data violate the instrumental inequality")
     return low, high
+
+
+def identify_schedule(g: Admg, y: str, schedule: Iterable[str]) -> Estimand:
+    """The distribution of y when all treatments of a schedule are set: ID for several nodes at once; a hedge raises."""
+    t = tuple(schedule)
+    if not t or len(set(t)) != len(t) or y in t:
+        raise NotIdentified("a schedule names distinct treatments other than the outcome")
+    return Estimand("id", t, y, functional=identify_do(g, [y], t))

@@ -86,3 +86,28 @@ def population(df: DataFrame, kind: str = "all", **options) -> DataFrame:
     if kind == "predicate":
         return df.where(options["where"])
     raise DataError(f"no population {kind!r}")
+
+
+def sample(df: DataFrame, columns: Sequence[str], missing: str = "complete_case", mask: str = "honor", weight: str = "honor", keep: Sequence[str] = ()) -> DataFrame:
+    """The prepared sample of a declared request: used columns, missing values, mask and weights each by a named policy.
+
+    ``missing``: ``complete_case`` drops rows with a missing used column, ``error`` refuses them.  ``mask``: ``honor`` or
+    ``ignore`` the analysis mask.  ``weight``: ``honor`` the weights (1 where there are none), ``unit`` gives every row 1,
+    ``ignore`` leaves the column out.
+    """
+    for value, known in ((missing, ("complete_case", "error")), (mask, ("honor", "ignore")), (weight, ("honor", "unit", "ignore"))):
+        if value not in known:
+            raise DataError(f"no policy {value!r}")
+    rows = df.where(F.coalesce(F.col(MASK), F.lit(False))) if mask == "honor" and MASK in df.columns else df
+    if missing == "error":
+        holes = rows.agg(*[F.count_if(F.col(c).isNull()).alias(f"h{i}") for i, c in enumerate(columns)]).first()
+        found = [c for i, c in enumerate(columns) if holes[f"h{i}"]]
+        if found:
+            raise DataError(f"missing values in {', '.join(found)}")
+    else:
+        for c in columns:
+            rows = rows.where(F.col(c).isNotNull())
+    names = [F.col(c) for c in dict.fromkeys([*columns, *keep])]
+    if weight != "ignore":
+        names.append(F.col(WEIGHT) if weight == "honor" and WEIGHT in df.columns else F.lit(1.0).alias(WEIGHT))
+    return rows.select(*names)

@@ -72,17 +72,79 @@ def mixed_from_json(text: str) -> Mixed:
     return g
 
 
+def _gml_text(n: str) -> str:
+    return n.replace("&", "&amp;").replace('"', "&quot;")
+
+
+def _gml_nodes(text: str) -> dict[int, str]:
+    return {int(i): n.replace("&quot;", '"').replace("&amp;", "&") for i, n in re.findall(r'node\s*\[\s*id\s+(\d+)\s+label\s+"([^"]*)"\s*\]', text)}
+
+
+_DOT_MARKS = {"-": "none", ">": "normal", "o": "odot"}
+
+
+def mixed_to_dot(g: Mixed) -> str:
+    """Partial graphs as DOT: the mark at each end is its arrow shape."""
+    quote = lambda n: '"' + n.replace("\\", "\\\\").replace('"', '\\"') + '"'
+    lines = [f"  {quote(n)};" for n in g.nodes]
+    for a, edge, b in g.edges():
+        tail, head = _DOT_MARKS[{"<": ">"}.get(edge[0], edge[0])], _DOT_MARKS[edge[-1]]
+        lines.append(f"  {quote(a)} -> {quote(b)} [dir=both, arrowtail={tail}, arrowhead={head}];")
+    return "digraph {\n" + "\n".join(lines) + "\n}\n"
+
+
+def mixed_from_dot(text: str) -> Mixed:
+    """Partial graphs from DOT: shapes at both ends where given, ``->`` a directed edge, ``--`` an undirected one."""
+    body = re.search(r"graph[^{]*\{(.*)\}", text, re.S)
+    if not body:
+        raise GraphError("not a graph")
+    shapes = {v: k for k, v in _DOT_MARKS.items()}
+    name = lambda a, b: re.sub(r"\\(.)", r"\1", a) if a is not None else b
+    nodes, edges = [], []
+    for line in re.split(r"[;\n]", body.group(1)):
+        line = line.strip()
+        if not line or line.startswith("//") or re.match(r"(graph|node|edge)\b", line):
+            continue
+        head, _, attributes = line.partition("[")
+        parts = [name(*m.groups()) for m in re.finditer(_ID, head.replace("--", " -- "))]
+        nodes += parts
+        given = dict(re.findall(r"(dir|arrowtail|arrowhead)\s*=\s*\"?(\w+)", attributes))
+        if "->" in head or "--" in head:
+            plain = "-" if "--" in head else ">"
+            at_a, at_b = shapes.get(given.get("arrowtail"), ">" if given.get("dir") == "both" else "-"), shapes.get(given.get("arrowhead"), plain)
+            edges += [(a, b, at_a, at_b) for a, b in zip(parts, parts[1:])]
+    g = Mixed(dict.fromkeys(nodes))
+    for a, b, at_a, at_b in edges:
+        g.connect(a, b, at_a, at_b)
+    return g
+
+
+def mixed_to_gml(g: Mixed) -> str:
+    at = {n: i for i, n in enumerate(g.nodes)}
+    out = ["graph [", "  directed 1", *[f'  node [ id {i} label "{_gml_text(n)}" ]' for n, i in at.items()]]
+    out += [f'  edge [ source {at[a]} target {at[b]} marks "{ {"<": ">"}.get(e[0], e[0]) }{e[-1]}" ]' for a, e, b in g.edges()]
+    return "\n".join([*out, "]"]) + "\n"
+
+
+def mixed_from_gml(text: str) -> Mixed:
+    names = _gml_nodes(text)
+    g = Mixed(names.values())
+    for a, b, marks in re.findall(r'edge\s*\[\s*source\s+(\d+)\s+target\s+(\d+)\s+marks\s+"([->o]{2})"\s*\]', text):
+        g.connect(names[int(a)], names[int(b)], *marks)
+    return g
+
+
 def to_gml(g: Admg) -> str:
     at = {n: i for i, n in enumerate(g.nodes)}
     out = ["graph [", "  directed 1"]
-    out += [f'  node [ id {i} label "{n}" ]' for n, i in at.items()]
+    out += [f'  node [ id {i} label "{_gml_text(n)}" ]' for n, i in at.items()]
     out += [f"  edge [ source {at[a]} target {at[b]} ]" for a, b in g.edges]
     out += [f'  edge [ source {at[a]} target {at[b]} kind "bidirected" ]' for a, b in g.bidirected]
     return "\n".join([*out, "]"]) + "\n"
 
 
 def from_gml(text: str) -> Admg:
-    names = {int(i): n for i, n in re.findall(r'node\s*\[\s*id\s+(\d+)\s+label\s+"([^"]*)"\s*\]', text)}
+    names = _gml_nodes(text)
     directed, both = [], []
     for a, b, rest in re.findall(r"edge\s*\[\s*source\s+(\d+)\s+target\s+(\d+)([^\]]*)\]", text):
         (both if "bidirected" in rest else directed).append((names[int(a)], names[int(b)]))

@@ -326,3 +326,104 @@ def test_column_functions(spark):
     assert t.select("s").distinct().count() == 30_000
     with pytest.raises(DataError):
         tf.categorical(1, "c", [("x", -1.0)], "id")
+
+
+# --- matching, policies, schedules, formats
+
+
+def test_distance_match_in_tables_equals_one_table(spark):
+    from causelake.operators.estimate import distance_match
+
+    d = spark.range(3000).select(F.col("id").alias("k"), tf.normal(1, "a", "id").alias("a"), tf.normal(1, "b", "id").alias("b"), (tf.uniform(1, "t", "id") < 0.2).cast("double").alias("t"), tf.normal(1, "y", "id").alias("y"))
+    d = d.unionByName(d.where("k % 50 = 0").withColumn("k", F.col("k") + 10_000)).persist()  # equal distances
+    one = {r["key"]: r for r in distance_match(d, "t", "y", ["a", "b"], "k").collect()}
+    many = {r["key"]: r for r in distance_match(d, "t", "y", ["a", "b"], "k", most_donors=300).collect()}
+    assert len(one) == d.where("t = 1").count() and one.keys() == many.keys()
+    assert all(one[k]["donor"] == many[k]["donor"] and one[k]["distance"] == pytest.approx(many[k]["distance"]) for k in one)
+
+
+def test_sample_policies_refuse(spark):
+    from causelake.schema import WEIGHT, sample, with_weight
+
+    d = spark.createDataFrame([(1.0, 2.0), (None, 1.0)], "v double, w double")
+    with pytest.raises(DataError, match="missing values in v"):
+        sample(d, ["v"], missing="error")
+    with pytest.raises(DataError):
+        sample(d, ["v"], mask="maybe")
+    weighted = with_weight(d, F.col("w"))
+    assert sample(weighted, ["v"]).first()[WEIGHT] == 2.0 and sample(weighted, ["v"], weight="unit").first()[WEIGHT] == 1.0
+    assert sample(weighted, ["v"], weight="ignore").columns == ["v"]
+
+
+def test_schedules_holdouts_and_rules_refuse(spark):
+    from causelake.errors import NotIdentified
+    from causelake.graphs.dag import Admg
+    from causelake.operators.series import group_holdout, holdout_errors
+    from causelake.operators.validate import overlap_rule
+    from causelake.plans import expr
+    from causelake.plans.identify import identify_schedule
+
+    hidden = Admg(["a", "b", "y"], [("a", "b"), ("b", "y"), ("a", "y")], [("b", "y")])
+    with pytest.raises(NotIdentified):
+        identify_schedule(hidden, "y", ["a", "b"])
+    with pytest.raises(NotIdentified):
+        identify_schedule(hidden, "y", [])
+    d = spark.createDataFrame([(0, 0, 1), (1, 1, 2), (0, 1, 3)], "a long, b long, y long")
+    e = identify_schedule(Dag("aby", [("a", "y"), ("b", "y")]), "y", ["a", "b"])
+    assert expr.schedule_contrast(e.functional, d, "y", {"a": 1, "b": 1}, {"a": 0, "b": 0}).first()["value"] == 1.0
+    with pytest.raises(Exception, match="no support"):
+        expr.schedule_contrast(e.functional, d, "y", {"a": 1, "b": 0}, {"a": 0, "b": 0}).collect()
+    for ids, n in ((["x"], 1), (["x", "x"], 1), (["x", "y"], 2)):
+        with pytest.raises(DataError):
+            group_holdout(d, "a", ids, n)
+    with pytest.raises(DataError):
+        holdout_errors(d.where("a = 0"), "y", ["b"], "a")
+    none = overlap_rule(spark.createDataFrame([], "t double, e double"), "t").first()
+    assert none["verdict"] == "not applicable"
+
+
+def test_partial_graphs_in_text():
+    from causelake.sources import graphs as formats
+
+    g = Mixed(["a b", 'c"&\\', "d", "e"])
+    g.connect("a b", 'c"&\\', "o", ">")
+    g.connect('c"&\\', "d", ">", ">")
+    g.connect("d", "e", "-", "-")
+    g.connect("a b", "e", "o", "o")
+    for write, read in ((formats.mixed_to_dot, formats.mixed_from_dot), (formats.mixed_to_gml, formats.mixed_from_gml)):
+        h = read(write(g))
+        assert h.nodes == g.nodes and h.mark == g.mark
+    assert formats.mixed_from_dot("graph { a -- b; b -- c }").edges() == [("a", "---", "b"), ("b", "---", "c")]
+    d = Dag(['x"&y', "z"], [('x"&y', "z")])
+    assert formats.from_gml(formats.to_gml(d)).edges == d.edges
+
+
+def test_edge_posterior_equals_enumeration(spark, chain):
+    from causelake.operators.discovery import edge_posterior
+
+    _, rows = chain
+    d = rows.select("a", "b", "c", (0.1 * F.col("a") + tf.normal(9, "e", "row")).alias("d")).limit(300)
+    score = GaussianScore(gram(d, list("abcd")))
+    whole = {}
+    for mask, w in exact_posterior(score, 0.3):
+        for i in range(4):
+            for j in range(4):
+                if mask >> (i * 4 + j) & 1:
+                    whole[score.names[i], score.names[j]] = whole.get((score.names[i], score.names[j]), 0.0) + w
+    for e, v in edge_posterior(score, 0.3).items():
+        assert v == pytest.approx(whole.get(e, 0.0), abs=1e-9)
+    with pytest.raises(Unsupported):
+        edge_posterior(score, most=3)
+
+
+def test_matched_error_covers_the_spread_of_repeated_draws(spark):
+    from causelake.operators.estimate import matched_error, nearest_match
+
+    effects, errors = [], []
+    for seed in range(12):
+        d = spark.range(400).select(F.col("id").alias("k"), tf.uniform(seed, "s", "id").alias("s"), (tf.uniform(seed, "t", "id") < 0.4).cast("double").alias("t"))
+        d = d.withColumn("y", 2 * F.col("s") + F.col("t") + tf.normal(seed, "y", "k"))
+        r = matched_error(nearest_match(d, "t", "y", "s", "k"), d, "t", "y", "s", "k").first()
+        effects.append(r["effect"])
+        errors.append(r["se"])
+    assert np.mean(effects) == pytest.approx(1.0, abs=0.15) and 0.6 < np.std(effects, ddof=1) / np.mean(errors) < 1.6
