@@ -73,6 +73,115 @@ class DiscontinuityEffect:
     bandwidth: float
 
 
+@dataclass(frozen=True)
+class PulseEffect:
+    """One step's treatment, ``lag`` steps before the outcome."""
+
+    treatment: str
+    outcome: str
+    lag: int
+    time: str
+    by: tuple[str, ...] = ()
+    adjust: tuple[tuple[str, int], ...] = ()
+    active: float = 1.0
+    control: float = 0.0
+
+
+@dataclass(frozen=True)
+class SustainedEffect:
+    """The treatment held over several steps before the outcome."""
+
+    treatment: str
+    outcome: str
+    lags: tuple[int, ...]
+    time: str
+    by: tuple[str, ...] = ()
+    active: float = 1.0
+    control: float = 0.0
+
+
+@dataclass(frozen=True)
+class MediationEffect:
+    treatment: str
+    outcome: str
+    mediators: tuple[str, ...]
+    active: float = 1.0
+    control: float = 0.0
+
+
+@dataclass(frozen=True)
+class Counterfactual:
+    """Each row's outcome had some nodes been at other values: ``do`` has (node, value)."""
+
+    outcome: str
+    do: tuple[tuple[str, float], ...]
+
+
+@dataclass(frozen=True)
+class TemporalMediationEffect:
+    treatment: str
+    outcome: str
+    template: tuple[tuple[str, int, str], ...]
+    horizon: int
+    time: str
+    by: tuple[str, ...] = ()
+    active: float = 1.0
+    control: float = 0.0
+
+
+@dataclass(frozen=True)
+class AverageDerivative:
+    treatment: str
+    outcome: str
+
+
+@dataclass(frozen=True)
+class PointDerivative:
+    treatment: str
+    outcome: str
+    dose: float
+    degree: int = 2
+
+
+@dataclass(frozen=True)
+class Elasticity(PointDerivative):
+    """d ln y / d ln t of the mean response at a dose."""
+
+
+@dataclass(frozen=True)
+class SemiElasticity(PointDerivative):
+    """d ln y / dt of the mean response at a dose."""
+
+
+@dataclass(frozen=True)
+class DirectionalDerivative:
+    """The slope of the joint response along (treatment, weight, dose) entries."""
+
+    outcome: str
+    direction: tuple[tuple[str, float, float], ...]
+    degree: int = 2
+
+
+@dataclass(frozen=True)
+class ResponseJacobian:
+    """Slopes of each outcome's mean response in each treatment, at the treatments' means or given (treatment, dose)."""
+
+    treatments: tuple[str, ...]
+    outcomes: tuple[str, ...]
+    doses: tuple[tuple[str, float], ...] = ()
+    degree: int = 2
+
+
+@dataclass(frozen=True)
+class InterventionResponse:
+    """Mean outcomes under named policies: (name, kind, value) as in ``intervention_response``."""
+
+    treatment: str
+    outcome: str
+    policies: tuple[tuple[str, str, object], ...]
+    key: str = "id"
+
+
 #: Estimators each identification strategy licenses; the first is the default.
 SUPPORT: dict[str, tuple[str, ...]] = {
     "backdoor.adjustment": ("linear.adjustment.ate", "glm.adjustment", "propensity.weighting", "propensity.stratification", "propensity.matching", "distance.matching", "aipw", "functional.effect"),
@@ -198,6 +307,71 @@ def analyze(df: DataFrame, graph, query, strategy: str | None = None, estimator:
     return Result(e, name, estimate(df, query, e, name, key, **options), checks)
 
 
+def _joint_adjustment(graph: Admg, treatments: Sequence[str], y: str) -> list[str]:
+    """The treatments' other parents, an adjustment set of the joint intervention if none of them follows a treatment and nothing hidden touches one."""
+    parents = sorted({p for t in treatments for p in graph.parents[t]} - set(treatments))
+    after = graph.descendants(list(treatments)) - set(treatments)
+    if y in parents or set(parents) & after or any(graph.siblings[t] for t in treatments):
+        raise Unsupported("the treatments' parents are no adjustment set of setting them together")
+    return parents
+
+
+def answer(df: DataFrame, graph: Admg | Mixed | None, query) -> DataFrame:
+    """The answer to a query whose estimate needs no choice of estimator; the graph decides the adjustment first.
+
+    Temporal queries carry their own template or lags and need no graph.
+    """
+    from causelake.operators import response as rs
+    from causelake.operators import series as ser
+    from causelake.operators.scm import Model
+
+    if isinstance(graph, Mixed):
+        graph = idf.require_reviewed(graph)
+    delta = getattr(query, "active", 1.0) - getattr(query, "control", 0.0)
+    if isinstance(query, PulseEffect):
+        return ser.temporal_adjustment(df, query.treatment, query.outcome, query.time, query.lag, list(query.adjust), list(query.by), delta)
+    if isinstance(query, SustainedEffect):
+        template = [(query.treatment, k, query.outcome) for k in query.lags]
+        b = ser.lagged_model(df, template, query.time, list(query.by))
+        return df.sparkSession.createDataFrame([(float(delta * sum(b[s] for s in template)), len(template))], "effect double, steps long")
+    if isinstance(query, TemporalMediationEffect):
+        return ser.temporal_mediation_effect(df, list(query.template), query.treatment, query.outcome, query.horizon, query.time, list(query.by), delta)
+    if graph is None:
+        raise Unsupported(f"{type(query).__name__} needs a graph")
+    if isinstance(query, (MediationEffect, Counterfactual)):
+        if not isinstance(graph, Dag):
+            raise Unsupported("this needs a graph without hidden causes")
+        model = Model.fit(df, graph)
+        if isinstance(query, Counterfactual):
+            return model.counterfactual(df, [dict(query.do)]).select(*df.columns, F.col(f"cf_{query.outcome}").alias("counterfactual"))
+        shares = model.path_shares(query.treatment, query.outcome)
+        through = sum(v for path, v in shares.items() if set(path) & set(query.mediators))
+        return df.sparkSession.createDataFrame([(delta * sum(shares.values()), delta * (sum(shares.values()) - through), delta * through)], "total double, direct double, mediated double")
+    if isinstance(query, ResponseJacobian):
+        # each entry is the response to one treatment alone, adjusted by its own back-door set
+        entries = [(y, t) for y in query.outcomes for t in query.treatments]
+        parts = [rs.derivatives(df, y, [t], list(idf.backdoor(graph, t, y).adjustment), dict(query.doses), query.degree).select(F.lit(y).alias("outcome"), "treatment", "dose", "derivative") for y, t in entries]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    if isinstance(query, DirectionalDerivative):
+        names = [t for t, _, _ in query.direction]
+        d = rs.derivatives(df, query.outcome, names, _joint_adjustment(graph, names, query.outcome), {t: a for t, _, a in query.direction}, query.degree)
+        weight = F.create_map(*[F.lit(v) for t, w, _ in query.direction for v in (t, float(w))])
+        return d.agg(F.sum(F.col("derivative") * F.element_at(weight, F.col("treatment"))).alias("derivative"))
+    t, y = query.treatment, query.outcome
+    z = list(idf.backdoor(graph, t, y).adjustment)
+    if isinstance(query, AverageDerivative):
+        return est.average_derivative(df, t, y, z)
+    if isinstance(query, PointDerivative):
+        column = {Elasticity: "elasticity", SemiElasticity: "semi_elasticity"}.get(type(query), "derivative")
+        return rs.derivatives(df, y, [t], z, {t: query.dose}, query.degree).select("dose", F.col(column).alias("effect"))
+    if isinstance(query, InterventionResponse):
+        return rs.intervention_response(df, t, y, z, {name: (kind, value) for name, kind, value in query.policies}, query.key)
+    raise Unsupported(f"no direct answer for {type(query).__name__}; use analyze")
+
+
 @dataclass
 class Prepared:
     """Identified once; the used columns are cached and serve many estimates, refreshes and refutations."""
@@ -244,4 +418,8 @@ def many(df: DataFrame, graph: Admg, queries: Sequence[AverageEffect]) -> DataFr
     return df.sparkSession.createDataFrame(rows, "treatment string, outcome string, effect double, se double, adjustment string")
 
 
-__all__ = ["AverageEffect", "ConditionalEffect", "DiscontinuityEffect", "InterventionalDistribution", "PathSpecificEffect", "Prepared", "ResponseCurve", "Result", "ReviewRequired", "analyze", "estimate", "identify", "many", "supported", "validate"]
+__all__ = [
+    "AverageDerivative", "AverageEffect", "ConditionalEffect", "Counterfactual", "DirectionalDerivative", "DiscontinuityEffect", "Elasticity", "InterventionResponse", "InterventionalDistribution", "MediationEffect",
+    "PathSpecificEffect", "PointDerivative", "Prepared", "PulseEffect", "ResponseCurve", "ResponseJacobian", "Result", "ReviewRequired", "SemiElasticity", "SustainedEffect", "TemporalMediationEffect", "analyze",
+    "answer", "estimate", "identify", "many", "supported", "validate",
+]

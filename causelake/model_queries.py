@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from causelake import api
 from causelake.functions import transforms as tf
 from causelake.graphs.dag import Dag
 from causelake.operators import estimate as est
@@ -218,3 +219,37 @@ def panel_error(spark, sf_dir):
     fit = solve(gram(e, ["x", "y"]), "y", ["1", "x"])
     cov = sandwich(e, fit, "y", "panel_hac", ["user_id"], "event_id", 2)
     return rounded(spark.createDataFrame([(fit["x"], float(cov[1, 1]) ** 0.5)], "effect double, se double"), 8)
+
+
+# --- queries by class
+
+
+@query(f"""with {CHAIN}, n as (select mp + bqp * (30 - mq) as m, bqp, bdp, bqd, qp / vq as slope, dp / vd as dslope, mq, md from b)
+select 'elasticity' as query, round(slope * 30 / (mp + slope * (30 - m.mq)), 8) as value from n, m union all select 'semi', round(slope / (mp + slope * (30 - m.mq)), 8) from n, m
+union all select 'point', round(slope, 8) from n union all select 'direction', round(0.6 * bqp + 0.8 * bdp, 8) from n
+union all select 'jacobian p q', round(slope, 8) from n union all select 'jacobian p d', round(bdp, 8) from n union all select 'jacobian d q', round(bqd, 8) from n
+union all select 'mediated', round(10 * bqd * bdp, 8) from n union all select 'direct', round(10 * bqp, 8) from n""")
+def derivative_queries(spark, sf_dir):
+    """Point slopes, elasticities, a direction, a Jacobian and a mediation query over the chain, linear in the doses."""
+    li, g = _chain(spark, sf_dir)
+    ask = lambda q: api.answer(li, g, q)
+    value = lambda name, q, c="effect": ask(q).select(F.lit(name).alias("query"), F.col(c).alias("value"))
+    parts = [
+        value("elasticity", api.Elasticity("q", "p", 30.0, 1)), value("semi", api.SemiElasticity("q", "p", 30.0, 1)), value("point", api.PointDerivative("q", "p", 30.0, 1)),
+        value("direction", api.DirectionalDerivative("p", (("q", 0.6, 30.0), ("d", 0.8, 5.0)), 1), "derivative"), value("mediated", api.MediationEffect("q", "p", ("d",), 30.0, 20.0), "mediated"),
+        value("direct", api.MediationEffect("q", "p", ("d",), 30.0, 20.0), "direct"),
+        ask(api.ResponseJacobian(("q", "d"), ("p",), degree=1)).select(F.concat_ws(" ", F.lit("jacobian"), "outcome", "treatment").alias("query"), F.col("derivative").alias("value")),
+        ask(api.ResponseJacobian(("q",), ("d",), degree=1)).select(F.concat_ws(" ", F.lit("jacobian"), "outcome", "treatment").alias("query"), F.col("derivative").alias("value")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return rounded(out, 8)
+
+
+@query("""with e as (select user_id, value as y, lag(value, 1) over w as x1, lag(value, 2) over w as x2 from events window w as (partition by user_id order by event_id)), d as (select * from e where y is not null and x1 is not null and x2 is not null),
+s as (select var_pop(x1) as va, var_pop(x2) as vb, covar_pop(x1, x2) as ab, covar_pop(x1, y) as ay, covar_pop(x2, y) as byy from d)
+select round(3 * ((ay * vb - ab * byy) + (byy * va - ab * ay)) / (va * vb - ab * ab), 8) as effect, 2::bigint as steps from s""")
+def sustained_effect(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("value").alias("x"), F.col("value").alias("y"))
+    return rounded(api.answer(e, None, api.SustainedEffect("x", "y", (1, 2), "event_id", ("user_id",), 3.0)), 8)

@@ -452,3 +452,31 @@ def custom_test(df: DataFrame, queries: Sequence[tuple[str, str, Sequence[str]]]
         return pd.DataFrame({"query": [g["query"].iloc[0]], "statistic": [float(s)], "p": [float(p)]})
 
     return parts.groupBy("query").applyInPandas(run, "query int, statistic double, p double")
+
+
+def dose_response(df: DataFrame, y: str, treatments: Sequence[str], z: Sequence[str], degree: int = 2) -> tuple[dict[str, list[float]], dict[str, float], float]:
+    """(polynomial coefficients of each treatment, means of the treatments, mean outcome) of an additive polynomial model, from one Gram.
+
+    The mean response at doses is the mean outcome plus each polynomial's value there less its mean over the rows.
+    """
+    rows = complete_cases(df, [y, *treatments, *z])
+    powers = {f"__{t}^{k}": F.col(t).cast("double") ** k for t in treatments for k in range(1, degree + 1)}
+    g = gram(rows, {**powers, **{c: c for c in z}, y: y})
+    fit = solve(g, y, ["1", *powers, *z])
+    return {t: [fit[f"__{t}^{k}"] for k in range(1, degree + 1)] for t in treatments}, {n: g.mean(n) for n in powers}, g.mean(y)
+
+
+def derivatives(df: DataFrame, y: str, treatments: Sequence[str], z: Sequence[str], at: dict[str, float] | None = None, degree: int = 2) -> DataFrame:
+    """``treatment, dose, response, derivative, elasticity, semi_elasticity``: slopes of the mean response at chosen doses (the means, where none is given).
+
+    The response at one treatment's dose leaves the other treatments as they are.  An elasticity is d ln y / d ln t and a
+    semi-elasticity d ln y / dt, both of the mean response; null where that is not positive.
+    """
+    poly, means, level = dose_response(df, y, treatments, z, degree)
+    rows = []
+    for t in treatments:
+        a = float((at or {}).get(t, means[f"__{t}^1"]))
+        response = level + sum(b * (a**k - means[f"__{t}^{k}"]) for k, b in enumerate(poly[t], 1))
+        slope = sum(k * b * a ** (k - 1) for k, b in enumerate(poly[t], 1))
+        rows.append((t, a, response, slope, slope * a / response if response > 0 else None, slope / response if response > 0 else None))
+    return df.sparkSession.createDataFrame(rows, "treatment string, dose double, response double, derivative double, elasticity double, semi_elasticity double")

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from causelake.errors import DataError
 
 FORMAT = 2
-QUERY_CLASSES = ("AverageEffect", "ConditionalEffect", "InterventionalDistribution", "PathSpecificEffect", "ResponseCurve", "DiscontinuityEffect")
+QUERY_CLASSES = (
+    "AverageEffect", "ConditionalEffect", "InterventionalDistribution", "PathSpecificEffect", "ResponseCurve", "DiscontinuityEffect", "PulseEffect", "SustainedEffect", "MediationEffect", "Counterfactual",
+    "TemporalMediationEffect", "AverageDerivative", "PointDerivative", "Elasticity", "SemiElasticity", "DirectionalDerivative", "ResponseJacobian", "InterventionResponse",
+)
 
 
 def write_artifact(path: str, kind: str, sections: Mapping[str, DataFrame], meta: Mapping | None = None) -> None:
@@ -98,7 +101,12 @@ def payload(kind: str, query, variables: list[str], result: Mapping | None = Non
 
     if not is_dataclass(query) or kind not in ("query", "result"):
         raise DataError("a payload is a query or a result, of a query class")
-    named = [v for v in asdict(query).values() if isinstance(v, str) and v in variables]
+    held: list = [asdict(query)]
+    named = set()
+    while held:  # names may stand anywhere in the fields
+        v = held.pop()
+        held += v.values() if isinstance(v, dict) else v if isinstance(v, (list, tuple)) else []
+        named |= {v} if isinstance(v, str) and v in variables else set()
     body = {"format": FORMAT, "kind": kind, "class": type(query).__name__, "fields": asdict(query), "variables": variables, "uses": sorted({variables.index(v) for v in named})}
     return json.dumps(body | ({"result": dict(result)} if result is not None else {}), sort_keys=True)
 

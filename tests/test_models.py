@@ -427,3 +427,48 @@ def test_matched_error_covers_the_spread_of_repeated_draws(spark):
         effects.append(r["effect"])
         errors.append(r["se"])
     assert np.mean(effects) == pytest.approx(1.0, abs=0.15) and 0.6 < np.std(effects, ddof=1) / np.mean(errors) < 1.6
+
+
+def test_queries_answered_by_class(spark, chain):
+    from causelake.errors import NotIdentified
+    from causelake.graphs.dag import Admg
+
+    model, rows = chain
+    m = api.answer(rows, CHAIN, api.MediationEffect("a", "c", ("b",))).first()
+    assert m["total"] == pytest.approx(1.4, abs=0.05) and m["direct"] == 0.0 and m["mediated"] == m["total"]
+    cf = api.answer(rows, CHAIN, api.Counterfactual("c", (("b", 0.0),))).agg(F.avg(F.col("c") - F.col("counterfactual") - 0.7 * F.col("b"))).first()[0]
+    assert cf == pytest.approx(0.0, abs=0.1)
+    policies = api.answer(rows, CHAIN, api.InterventionResponse("b", "c", (("zero", "set", 0.0), ("up", "shift", 1.0)), "row")).collect()
+    assert {r["policy"] for r in policies} == {"zero", "up"}
+    assert api.answer(rows, CHAIN, api.AverageDerivative("b", "c")).first()["effect"] == pytest.approx(0.7, abs=0.03)
+    pulse = api.answer(rows, None, api.PulseEffect("a", "b", 0, "row")).first()
+    assert pulse["effect"] == pytest.approx(2.0, abs=0.05)
+    with pytest.raises(Unsupported):  # a parent of the second treatment follows the first
+        api.answer(rows, Dag("xlyt", [("x", "l"), ("l", "t"), ("t", "y"), ("x", "y")]), api.DirectionalDerivative("y", (("x", 1.0, 0.0), ("t", 1.0, 0.0))))
+    with pytest.raises(NotIdentified):
+        api.answer(rows, Admg("bc", [("b", "c")], [("b", "c")]), api.PointDerivative("b", "c", 0.0))
+    for bad in (api.Counterfactual("c", (("b", 0.0),)), api.AverageDerivative("b", "c")):
+        with pytest.raises(Unsupported):
+            api.answer(rows, None, bad)
+    with pytest.raises(Unsupported):
+        api.answer(rows, CHAIN, api.AverageEffect("a", "c"))
+
+
+def test_derivatives_of_a_curve(spark):
+    d = spark.range(-50, 51).select((F.col("id") / 10).alias("t"), (3 + 2 * F.col("id") / 10 + 0.5 * (F.col("id") / 10) ** 2).alias("y"))
+    g = Dag("ty", [("t", "y")])
+    assert api.answer(d, g, api.PointDerivative("t", "y", 2.0)).first()["effect"] == pytest.approx(4.0)
+    assert api.answer(d, g, api.Elasticity("t", "y", 2.0)).first()["effect"] == pytest.approx(4.0 * 2 / 9)
+    assert api.answer(d, g, api.SemiElasticity("t", "y", 2.0)).first()["effect"] == pytest.approx(4.0 / 9)
+    low = d.withColumn("y", F.col("y") - 100)
+    assert api.answer(low, g, api.Elasticity("t", "y", 2.0)).first()["effect"] is None
+
+
+@pytest.mark.parametrize("query", [
+    api.PulseEffect("a", "b", 1, "t", adjust=(("a", 2),)), api.SustainedEffect("a", "b", (1, 2), "t"), api.MediationEffect("a", "c", ("b",)), api.Counterfactual("c", (("a", 1.0),)),
+    api.TemporalMediationEffect("a", "c", (("a", 1, "c"),), 2, "t"), api.Elasticity("a", "b", 1.0), api.DirectionalDerivative("c", (("a", 1.0, 0.5),)), api.ResponseJacobian(("a",), ("b", "c")),
+    api.InterventionResponse("a", "b", (("s", "set", 1.0),)),
+])
+def test_payloads_of_every_class(query):
+    text = artifacts.payload("query", query, ["a", "b", "c"])
+    assert artifacts.read_payload(text)[0] == query and artifacts.json.loads(text)["uses"]
