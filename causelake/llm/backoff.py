@@ -53,6 +53,31 @@ def _unpack(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind)
 
 
+def _pack_apart(a: np.ndarray) -> bytes:
+    """The same with each plane by itself: a plane of zeros is nothing, one that does not shrink stays as it is.
+
+    Deltas of hashes have random low bytes, which one code for all planes would spread over the others.
+    """
+    planes, compress, out = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T), zstandard.ZstdCompressor(level=1).compress, []
+    for plane in planes:
+        raw = plane.tobytes() if plane.any() else b""
+        packed = compress(raw) if raw else raw
+        out.append(packed if len(packed) < len(raw) else raw)
+    return np.array([len(a), *map(len, out)], "<u4").tobytes() + b"".join(out)
+
+
+def _unpack_apart(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    n, *lengths = np.frombuffer(raw[: 4 * (size + 1)], "<u4").tolist()
+    planes, at = np.zeros((size, n), np.uint8), 4 * (size + 1)
+    for plane, held in zip(planes, lengths):
+        part = raw[at : at + held]
+        if held:
+            plane[:] = np.frombuffer(part if held == n else zstandard.ZstdDecompressor().decompress(part), np.uint8)
+        at += held
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
 def word_slices(documents: DataFrame) -> DataFrame:
     """Documents as slices: ids, word counts, and words as numbers in the slice's own vocabulary."""
 
@@ -126,7 +151,7 @@ def _requests(order: int, partitions: int):
                     cuts = np.concatenate(([0], np.searchsorted(u, edges), [len(u)]))
                     for p in range(partitions):
                         a, b = cuts[p], cuts[p + 1]
-                        blocks[p] += [_pack(np.diff(u[a:b], prepend=np.uint64(0))), _pack(c[a:b].astype(np.uint32))]
+                        blocks[p] += [_pack_apart(np.diff(u[a:b], prepend=np.uint64(0))), _pack(c[a:b].astype(np.uint32))]
                         sizes[p] += b - a
                 asked = np.flatnonzero(sizes).tolist()
                 rows = [pa.array(asked, pa.int32()), pa.array([row["slice"]] * len(asked), pa.int64()), pa.array([blocks[p] for p in asked], pa.list_(pa.binary()))]
@@ -142,7 +167,7 @@ def _count(order: int, least: int):
         blocks = group.column("block").to_pylist()
         answers: list[list[bytes]] = [[] for _ in blocks]
         for k in range(order):
-            grams = [np.cumsum(_unpack(b[2 * k], "<u8"), dtype=np.uint64) for b in blocks]
+            grams = [np.cumsum(_unpack_apart(b[2 * k], "<u8"), dtype=np.uint64) for b in blocks]
             counts = np.concatenate([_unpack(b[2 * k + 1], "<u4") for b in blocks])
             _, which = np.unique(np.concatenate(grams), return_inverse=True)
             totals = np.bincount(which, counts).astype(np.uint64)

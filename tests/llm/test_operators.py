@@ -750,3 +750,17 @@ def test_blank_free_list_keeps_words_apart():
         words = ["".join(chr(rng.choice([0, 10, 11, 13, 0x85, 0xA0, 0x2028, 97, 0x130, 0x1F600])) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(0, 30))]
         assert blank_free_list(pa.array(words, pa.string())) == words
     assert blank_free_list(pa.array(["x", "a", "b", "c"]).slice(1, 2)) == ["a", "b"]
+
+
+def test_planes_packed_apart_come_back():
+    import numpy as np
+
+    from causelake.llm.backoff import _pack_apart, _unpack_apart
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 7, 8, 500, 4000):
+        for top in (1, 2, 255, 256, 1 << 44, 1 << 63):
+            a = rng.integers(0, top, n, dtype=np.uint64)
+            assert (_unpack_apart(_pack_apart(a), "<u8") == a).all() and len(_unpack_apart(_pack_apart(a), "<u8")) == n
+    top = np.full(3, np.iinfo(np.uint64).max, np.uint64)
+    assert (_unpack_apart(_pack_apart(top), "<u8") == top).all()
