@@ -226,7 +226,7 @@ def backoff_scores(documents: DataFrame, order: int = ORDER, backoff: float = BA
     all_words = slices.agg(F.sum("n_words")).first()[0] or 0
     partitions = max(4, math.ceil(order * all_words / PARTITION_ENTRIES))
     asked = slices.select("slice", "counts", "words", "vocabulary").mapInArrow(lean(_requests(order, partitions)), "part int, slice long, block array<binary>")
-    totals = materialise(asked.groupBy("part").applyInArrow(_count(order, least), "slice long, part int, totals array<binary>"), "totals")
+    totals = materialise(asked.groupBy("part").applyInArrow(_count(order, least), "slice long, part int, totals array<binary>"), "totals", release=True)
     answers = totals.groupBy("slice").agg(F.collect_list(F.struct("part", "totals")).alias("answers"))
     return slices.join(answers, "slice", "left").mapInArrow(lean(_score(order, backoff, all_words)), SCORES)
 

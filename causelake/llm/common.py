@@ -81,16 +81,35 @@ def _remove_scratch() -> None:
 atexit.register(_remove_scratch)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: Whether the files of an execution's own exchanges go when it ends (else when the driver's JVM next finds its plan unreachable).
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def exchanges_released(spark: SparkSession):
+    """What is executed inside drops its exchanges' files when it ends; the session's setting is put back."""
+    held = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_UP, held)
+
+
+def materialise(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
+    With ``release`` the exchanges that the write needed go as soon as it ends, for a large step whose
+    exchanged rows would else lie beside those of the next.
+
     Cuts lineage: a lost executor never recomputes what came before, as the files are
     committed in shared storage.  Scratch folders go when the driver ends.
     """
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with exchanges_released(spark) if release else contextlib.nullcontext():
+        df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     _SCRATCH.append((jvm_path, jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())))
     return spark.read.schema(df.schema).parquet(path)
