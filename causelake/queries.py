@@ -745,11 +745,13 @@ def validation_suite(spark, sf_dir):
     return suite(orders_frame(spark, sf_dir), "t", "y", ["acct"], "o_orderkey", 20)
 
 
-@query()
+@query(f"""with {BASE}, {MOMENTS}, e as (select b1, sqrt(n * (vy - b1 * ty - b2 * zy) / (n - 3) * vz / (n * (vt * vz - tz * tz))) as se, n - 3 as dof from b),
+g as (select unnest([0.01, 0.05, 0.1, 0.2])::double as r), k as (select b1, se, dof, x.r as rt, y.r as ry, se * sqrt(dof * y.r * x.r / (1 - x.r)) as bias, abs(b1 / se) / sqrt(dof) as f from e cross join g as x cross join g as y)
+select rt as r2_treatment, ry as r2_outcome, round(b1 - sign(b1) * bias, 4) as adjusted, round(bias, 4) as bias, round(0.5 * (sqrt(pow(f, 4) + 4 * f * f) - f * f), 8) as robustness_value from k""")
 def sensitivity_grid(spark, sf_dir):
     from causelake.operators.validate import partial_r2_grid
 
-    return partial_r2_grid(orders_frame(spark, sf_dir), "t", "y", ["acct"])
+    return rounded(partial_r2_grid(orders_frame(spark, sf_dir), "t", "y", ["acct"]), 4, robustness_value=8)
 
 
 @query()
