@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from causelake.errors import EstimationError, Unsupported
 from causelake.functions import special
+from causelake.operators.neighbours import PAIRS, Tree, halved, home, levels_of, within
 from causelake.operators.reduce import Fit, gram, irls, linear, ranged, running, sandwich, solve
 from causelake.schema import complete_cases
 from causelake.scratch import sized, written
@@ -289,56 +290,120 @@ def nearest_match(df: DataFrame, t: str, y: str, score: str, key: str, caliper:
 def distance_match(df: DataFrame, t: str, y: str, z: Sequence[str], key: str, most_donors: int = 200_000) -> DataFrame:
     """Each treated row with its control nearest in standardised Euclidean distance (ties: first in key order).
 
-    Up to ``most_donors`` controls are one broadcast table that treated rows are compared with in blocks.  More are cut into
-    tables of about that size by the first covariate; a treated row meets only the tables that can hold a nearer donor than
-    the one next to it in that covariate, so the result is the same.
+    Squared distances are compared to 15 decimals.  A tree of boxes finds the nearest donor exactly; of donors with equal
+    covariates only the first in key order is held.  Up to ``most_donors`` such donors are one broadcast tree.  More are cut
+    into cells of about that size by a sample that only plans; a treated row is searched for in the cell next to it, and then in
+    every other cell whose box is as near as what it found, so the result is the same.  A treated row without all
+    covariates is as far from all donors and gets the first one, at infinity; such donors are nobody's nearest.
     """
-    stats = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(z) for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
-    scaled = df.select(F.col(key).alias("key"), F.col(y).cast("double").alias("y"), _treated(t).alias("a"), *[((F.col(c) - stats[f"m{i}"]) / (stats[f"s{i}"] or 1.0)).alias(f"z{i}") for i, c in enumerate(z)])
-    donors, units = scaled.where("not a").drop("a"), scaled.where("a").drop("a")
-    count, kind = donors.count(), dict(df.dtypes)[key]
-    if count <= most_donors:
-        return _nearest_of(units, donors, len(z), kind)
-    # a donor next to the row in the first covariate bounds how far the nearest can be
-    near = nearest_match(scaled.withColumn("t", F.col("a").cast("double")), "t", "y", "z0", "key").select("key", "donor")
-    names = [f"z{i}" for i in range(len(z))]
-    there = donors.select(F.col("key").alias("donor"), *[F.col(c).alias(f"d{c}") for c in names])
-    reach = near.join(there, "donor").join(units, "key")
-    bound = F.sqrt(sum(((F.col(c) - F.col(f"d{c}")) ** 2 for c in names[1:]), (F.col("z0") - F.col("dz0")) ** 2))
-    reach = written(reach.select("key", "y", *names, (bound * (1 + 1e-12) + 1e-12).alias("__r")), "match-units")
-    tables = math.ceil(1.3 * count / most_donors)
-    donors = written(donors.repartitionByRange(tables, "z0", "key").withColumn("__p", F.spark_partition_id()), "match-donors")
-    found = []
-    for r in donors.groupBy("__p").agg(F.min("z0").alias("low"), F.max("z0").alias("high")).collect():
-        possible = reach.where((F.col("z0") + F.col("__r") >= r["low"]) & (F.col("z0") - F.col("__r") <= r["high"])).drop("__r")
-        found.append(written(_nearest_of(possible, donors.where(F.col("__p") == r["__p"]).drop("__p"), len(z), kind), "matches"))
-    best = fold(DataFrame.unionByName, found).groupBy("key").agg(F.first("y").alias("y"), F.min(F.struct("distance", "donor", "donor_y")).alias("b"))
-    return best.select("key", "y", "b.donor", "b.donor_y", "b.distance")
-
-
-def _nearest_of(units: DataFrame, donors: DataFrame, width: int, kind: str) -> DataFrame:
-    """Units with the nearest of a donor table whose size the caller has bounded."""
     import pyarrow as pa
 
-    held = donors.orderBy("key").toPandas()
-    table = units.sparkSession.sparkContext.broadcast((held["key"].to_numpy(), held["y"].to_numpy(), held[[f"z{i}" for i in range(width)]].to_numpy()))
+    names, kind = [f"z{i}" for i in range(len(z))], dict(df.dtypes)[key]
+    rows = written(df.select(F.col(key).alias("key"), F.col(y).cast("double").alias("y"), _treated(t).alias("a"), *[F.col(c).cast("double").alias(n) for c, n in zip(z, names)]), "match-rows")
+    stats = rows.agg(*[F.stddev_samp(n).alias(n) for n in names]).first()
+    scale = np.array([stats[n] or 1.0 for n in names])
+    donors = written(rows.where("not a").groupBy(*names).agg(F.min("key").alias("key"), F.min_by("y", "key").alias("y")), "match-donors")
+    whole = fold(Column.__and__, [F.col(n).isNotNull() & ~F.isnan(n) for n in names])
+    count, first, first_y = donors.agg(F.count(F.when(whole, 1)), F.min("key"), F.min_by("y", "key")).first()
+    units, donors = rows.where("a").drop("a"), donors.where(whole)
+    schema = f"key {kind}, y double, donor {kind}, donor_y double, distance double"
+    if not count:
+        return df.sparkSession.createDataFrame([], schema)
+    if count > most_donors:
+        return _nearest_in_cells(units.where(whole), donors, names, scale, kind, count, most_donors).unionByName(
+            units.where(~whole).select("key", "y", F.lit(first).cast(kind).alias("donor"), F.lit(first_y).cast("double").alias("donor_y"), F.lit(math.inf).alias("distance"))
+        )
+    held = donors.orderBy("key").toArrow()
+    keys, ys = held["key"].combine_chunks(), held["y"].combine_chunks()
+    table = df.sparkSession.sparkContext.broadcast((keys, ys, Tree(_matrix(held, names), scale)))
 
     def match(batches):
-        keys, ys, zs = table.value
+        keys, ys, tree = table.value
         for b in batches:
-            if not b.num_rows or not len(zs):
-                continue
-            x = np.stack([b.column(f"z{i}").to_numpy() for i in range(width)], 1)
-            best, at = np.full(len(x), np.inf), np.zeros(len(x), np.int64)
-            for i in range(0, len(zs), 2048):
-                d = ((x[:, None, :] - zs[None, i : i + 2048]) ** 2).sum(2)
-                j = d.argmin(1)
-                v = d[np.arange(len(x)), j]
-                nearer = v < best  # strictly: of equal distances the first donor stays
-                best[nearer], at[nearer] = v[nearer], i + j[nearer]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("y"), pa.array(keys[at]), pa.array(ys[at]), pa.array(np.sqrt(best))], ["key", "y", "donor", "donor_y", "distance"])
-
-    return units.mapInArrow(match, f"key {kind}, y double, donor {kind}, donor_y double, distance double")
+            x = _matrix(b, names)
+            known = np.isfinite(x).all(1)
+            at, d = tree.nearest(x[known])
+            took = pa.array(at)
+            if not known.all():
+                place = np.cumsum(known) - 1
+                took = pa.array(np.where(known, at[place] if len(at) else 0, 0), mask=~known)
+                d = np.where(known, d[place] if len(d) else 0.0, np.inf)
+            k, v = keys.take(took), ys.take(took)
+            if not known.all():
+                k = pa.array([first if not s else u for s, u in zip(known, k.to_pylist())], keys.type)
+                v = pa.array([first_y if not s else u for s, u in zip(known, v.to_pylist())], ys.type)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("y"), k, v, pa.array(np.sqrt(d))], ["key", "y", "donor", "donor_y", "distance"])
+
+    return units.mapInArrow(match, schema)
+
+
+def _matrix(rows, names: Sequence[str]) -> np.ndarray:
+    """Columns of Arrow rows as a matrix; missing values are NaN."""
+    return np.stack([np.asarray(rows.column(n).to_numpy(zero_copy_only=False) if not hasattr(rows.column(n), "num_chunks") else rows.column(n).to_numpy(), np.float64) for n in names], 1)
+
+
+def _nearest_in_cells(units: DataFrame, donors: DataFrame, names: list[str], scale: np.ndarray, kind: str, count: int, most: int) -> DataFrame:
+    """Units with the nearest of more donors than one table should hold, searched for cell by cell."""
+    import pyarrow as pa
+
+    depth = max(1, math.ceil(math.log2(1.3 * count / most)))
+    share = 200 * (1 << depth) / count
+    sampled = donors.where(F.pmod(F.xxhash64(*names), F.lit(1_000_000)) < math.ceil(1e6 * share)).select(*names).toArrow()
+    points = _matrix(sampled, names)
+    while depth and len(points) < 1 << depth:
+        depth -= 1
+    if not len(points):
+        points = _matrix(donors.select(*names).limit(1).toArrow(), names)
+    ends = len(points) * np.arange((1 << depth) + 1) >> depth
+    ordered = points[halved(points, scale, depth)]
+    planned = levels_of(np.minimum.reduceat(ordered, ends[:-1]), np.maximum.reduceat(ordered, ends[:-1]))
+
+    def routed(levels):
+        def route(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home(levels, scale, _matrix(b, names)))], [*b.schema.names, "cell"])
+
+        return route
+
+    columns = f"key {kind}, y double, {', '.join(f'{n} double' for n in names)}"
+    donors = written(donors.select("key", "y", *names).mapInArrow(routed(planned), f"{columns}, cell long"), "match-cells")
+    boxes = donors.groupBy("cell").agg(*[f(n).alias(f"{k}{n}") for n in names for k, f in (("l", F.min), ("h", F.max))]).collect()
+    low, high = np.full((1 << depth, len(names)), np.inf), np.full((1 << depth, len(names)), -np.inf)  # a cell without donors is infinitely far
+    for r in boxes:
+        low[r["cell"]], high[r["cell"]] = [r[f"l{n}"] for n in names], [r[f"h{n}"] for n in names]
+    levels = levels_of(low, high)
+
+    def search(left, right):
+        right = right.sort_by("key")
+        at, d = Tree(_matrix(right, names), scale).nearest(_matrix(left, names))
+        took = pa.array(at)
+        return pa.table([*[left[c] for c in ("key", "y", *names, "unit", "cell")], right["key"].take(took), right["y"].take(took), pa.array(d)], names=["key", "y", *names, "unit", "cell", "donor", "donor_y", "d"])
+
+    def searched(asked: DataFrame) -> DataFrame:
+        """Asked units with the nearest donor of their cell; units of a cell with many go to several tasks."""
+        many = asked.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias("pieces"))
+        many = F.broadcast(written(many, "match-pieces"))
+        left = asked.join(many, "cell").withColumn("piece", F.pmod(F.xxhash64("unit"), F.col("pieces")).cast("int")).drop("pieces")
+        right = donors.join(many, "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+        found = left.groupBy("cell", "piece").cogroup(right.groupBy("cell", "piece")).applyInArrow(search, f"{columns}, unit long, cell long, donor {kind}, donor_y double, d double")
+        return written(found, "matches")
+
+    def others(batches):
+        for b in batches:
+            x, d, own = _matrix(b, names), b.column("d").to_numpy(), b.column("cell").to_numpy()
+            for i in range(0, len(x), step):
+                who, cell = within(levels, scale, x[i : i + step], d[i : i + step])
+                other = cell != own[i : i + step][who]
+                held = b.select(["key", "y", *names, "unit"]).take(pa.array(who[other] + i))
+                yield pa.RecordBatch.from_arrays([*held.columns, pa.array(cell[other])], [*held.schema.names, "cell"])
+
+    step = max(1, min(10_000, PAIRS >> (depth + 1)))
+    asked = written(units.select("key", "y", *names).mapInArrow(routed(levels), f"{columns}, cell long").withColumn("unit", F.monotonically_increasing_id()), "match-units")
+    near = searched(asked.select("key", "y", *names, "unit", "cell"))
+    again = written(near.mapInArrow(others, f"{columns}, unit long, cell long"), "match-others")
+    more = searched(again).select("unit", F.struct("d", "donor", "donor_y").alias("other")).groupBy("unit").agg(F.min("other").alias("other"))
+    best = F.least(F.struct("d", "donor", "donor_y"), F.coalesce("other", F.struct("d", "donor", "donor_y")))
+    return near.join(more, "unit", "left").withColumn("b", best).select("key", "y", "b.donor", "b.donor_y", F.sqrt("b.d").alias("distance"))
 
 
 def match_effect(matches: DataFrame) -> DataFrame:

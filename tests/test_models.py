@@ -342,6 +342,31 @@ def test_distance_match_in_tables_equals_one_table(spark):
     assert all(one[k]["donor"] == many[k]["donor"] and one[k]["distance"] == pytest.approx(many[k]["distance"]) for k in one)
 
 
+def test_distance_match_ties_gaps_and_jobs(spark):
+    """Equal distances go to the first key whatever rounding makes of them; rows without a covariate; jobs do not grow with donors."""
+    from causelake.operators.estimate import distance_match
+
+    rows = [(9, 1.0, 0.3, 0.0, 1.0), (2, 0.0, 0.1, 0.0, 2.0), (1, 0.0, 0.5, 0.0, 3.0), (4, 0.0, None, 0.0, 4.0), (8, 1.0, None, 0.0, 5.0), (7, 1.0, 0.5, 0.0, 6.0), (6, 0.0, 0.5, 0.0, 7.0)]
+    d = spark.createDataFrame([(k, t, a * 1000 if a else a, b, y) for k, t, a, b, y in rows], "k long, t double, a double, b double, y double")
+    for most in (100, 1):
+        got = {r["key"]: (r["donor"], r["donor_y"]) for r in distance_match(d, "t", "y", ["a", "b"], "k", most_donors=most).collect()}
+        assert got == {9: (1, 3.0), 8: (1, 3.0), 7: (1, 3.0)}
+
+    g = spark.range(4000).select(F.col("id").alias("k"), *[F.round(tf.normal(1, c, "id"), 2).alias(c) for c in "ab"], (tf.uniform(1, "t", "id") < 0.3).cast("double").alias("t"), tf.normal(1, "y", "id").alias("y")).persist()
+    frame = g.toPandas()
+    units, donors, s = frame[frame.t > 0.5], frame[frame.t < 0.5].sort_values("k"), frame[["a", "b"]].std().to_numpy()
+    apart = np.round((((units[["a", "b"]].to_numpy()[:, None] - donors[["a", "b"]].to_numpy()[None]) / s) ** 2).sum(2), 15)
+    want = dict(zip(units.k, donors.k.to_numpy()[apart.argmin(1)]))
+    jobs = {}
+    for most in (10_000, 1500, 60):
+        spark.sparkContext.setJobGroup(f"match-{most}", "")
+        got = {r["key"]: r["donor"] for r in distance_match(g, "t", "y", ["a", "b"], "k", most_donors=most).collect()}
+        jobs[most] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"match-{most}"))
+        assert got == want
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[60] <= jobs[1500] + 8  # 25 times as many cells
+
+
 def test_sample_policies_refuse(spark):
     from causelake.schema import WEIGHT, sample, with_weight
 
